@@ -43,3 +43,9 @@ def days_between(later: Column, earlier: Column) -> Column:
 
 def at_midnight(day: Column) -> Column:
     return day.cast("timestamp")
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Round half up. The tiny shift makes values that are exact decimal halves round up however
+    the last bits of a floating-point sum fell."""
+    return F.round(value + F.lit(1e-10), digits) + F.lit(0.0)

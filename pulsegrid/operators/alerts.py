@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pulsegrid import fixed
+from pulsegrid.functions.grid import rounded
 from pulsegrid.functions.text import top_features_text
 from pulsegrid.operators.rank import SLICE, threshold_runs
 
@@ -68,8 +69,8 @@ def sustained_alerts(
         "device_serial",
         "cmms_reg",
         "alert_level",
-        F.round("score", 4).alias("anomaly_score"),
-        F.round("pct", 4).alias("fleet_percentile"),
+        rounded(F.col("score"), 4).alias("anomaly_score"),
+        rounded(F.col("pct"), 4).alias("fleet_percentile"),
         F.when(is_run, F.lit(top)).otherwise("").alias("top_contributing_features"),
         advice(F.col("alert_level")).alias("recommended_action"),
         F.when(is_run, F.col("alert_start")).alias("alert_start"),

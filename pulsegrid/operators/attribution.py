@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pulsegrid.functions.grid import at_midnight, days_between
+from pulsegrid.functions.grid import at_midnight, days_between, rounded
 from pulsegrid.functions.text import human_name
 from pulsegrid.models.forest import KEY, FlatTree, IsolationForest, flat_trees
 from pulsegrid.models.linear_svm import subsample
@@ -227,11 +227,11 @@ def report(attribution: DataFrame, events: DataFrame, top_n: int = 10) -> DataFr
             F.col("event_date").alias("failure_date"),
             "description",
             "n_windows",
-            F.round("mean_score", 4).alias("mean_anomaly_score"),
-            F.round("max_score", 4).alias("max_anomaly_score"),
+            rounded(F.col("mean_score"), 4).alias("mean_anomaly_score"),
+            rounded(F.col("max_score"), 4).alias("max_anomaly_score"),
             F.col("rank").alias("feature_rank"),
             "feature_name",
             human_name(F.col("feature_name")).alias("human_name"),
-            F.round("mean_attribution", 6).alias("mean_attribution"),
+            rounded(F.col("mean_attribution"), 6).alias("mean_attribution"),
         )
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from pulsegrid import fixed
 from pulsegrid.dims import registry as registry_view
-from pulsegrid.functions.grid import bin_index, bin_start, seconds
+from pulsegrid.functions.grid import bin_index, bin_start, rounded, seconds
 from pulsegrid.operators.messages import status_flags
 
 VARIABLE_OF = {"click": 635, "view": 2782, "purchase": 2098, "signup": 2097, "error": 1889}
@@ -30,12 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 
 
-def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded and timestamps without zone, for comparison with another engine."""
+def tidy(df: DataFrame, digits: int | None = 6) -> DataFrame:
+    """Doubles rounded, days as text and timestamps without zone, for comparison with another
+    engine."""
     out = {}
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.DoubleType):
-            out[f.name] = F.round(f.name, digits) + F.lit(0.0)
+        if isinstance(f.dataType, T.DoubleType) and digits is not None:
+            out[f.name] = rounded(F.col(f.name), digits)
+        elif isinstance(f.dataType, T.DateType):
+            out[f.name] = F.col(f.name).cast("string")
         elif isinstance(f.dataType, T.TimestampType):
             out[f.name] = F.col(f.name).cast("timestamp_ntz")
     return df.withColumns(out) if out else df
@@ -112,7 +115,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         telemetry(spark, sf_dir, status=False)
         .where(F.col("variable_id") != fixed.STANDBY_VARIABLE)
         .groupBy("device_serial", bin_index(F.col("timestamp"), step).alias("bin"))
-        .agg(F.round(F.avg("value"), 6).alias("anomaly_score"))
+        .agg(rounded(F.avg("value"), 6).alias("anomaly_score"))
     )
     return binned.select(
         "device_serial",

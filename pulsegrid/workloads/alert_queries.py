@@ -97,7 +97,7 @@ def alert_digest(spark, sf):
 
 
 @query("fleet_status", sql("""
-SELECT device_serial, round(fleet_percentile, 6) + 0.0 AS fleet_percentile, CASE WHEN fleet_percentile * 100 >= 99 THEN 'critical'
+SELECT device_serial, round(fleet_percentile + 1e-10, 6) + 0.0 AS fleet_percentile, CASE WHEN fleet_percentile * 100 >= 99 THEN 'critical'
   WHEN fleet_percentile * 100 >= 95 THEN 'warning' ELSE 'normal' END AS band FROM summary"""))
 def fleet_status(spark, sf):
     ranked = _stored(spark, sf)
@@ -108,6 +108,7 @@ def fleet_status(spark, sf):
     "event_windows",
     sql(f"""SELECT event_id, cmms_reg, event_date, description, device_serial, timestamp,
         {r6('anomaly_score', 'fleet_percentile', 'days_to_event')} FROM near"""),
+    dates=("event_date",),
 )
 def event_windows(spark, sf):
     near = ev.event_windows(_ranked(spark, sf), ad.failures(spark, sf))
@@ -130,6 +131,7 @@ def _evaluated(spark, sf, name="mean-reading", threshold=THRESHOLD):
     "evaluate_model",
     sql(f"""SELECT model, event_id, cmms_reg, event_date, description, detected,
         {r6('lead_time_days', 'max_percentile_pre')}, n_score_points FROM evaluated"""),
+    dates=("event_date",),
 )
 def evaluate_model(spark, sf):
     return _evaluated(spark, sf)
@@ -146,7 +148,7 @@ def _again(text: str, tag: str) -> str:
     "model_comparison",
     sql(
         f"""SELECT model, count(*) FILTER (detected) || '/' || count(*) AS events_detected,
-        round(avg(lead_time_days), 6) + 0.0 AS mean_lead_time
+        round(avg(lead_time_days) + 1e-10, 6) + 0.0 AS mean_lead_time
         FROM (SELECT * FROM evaluated UNION ALL SELECT * FROM evaluated_b) GROUP BY 1""",
         {f"{n}_b": _again(CTES[n], "_b") for n in ("pre_runs", "lead", "evaluated")},
     ),
@@ -164,7 +166,7 @@ def model_comparison(spark, sf):
 @query(
     "detection_summary",
     sql("""SELECT model, count(*) FILTER (detected) AS n_detected, count(*) AS n_events,
-        round(coalesce(avg(lead_time_days), 0), 6) + 0.0 AS mean_lead_time FROM evaluated GROUP BY 1"""),
+        round(coalesce(avg(lead_time_days), 0) + 1e-10, 6) + 0.0 AS mean_lead_time FROM evaluated GROUP BY 1"""),
 )
 def detection_summary(spark, sf):
     return ev.detection_summary(_evaluated(spark, sf))
@@ -172,8 +174,8 @@ def detection_summary(spark, sf):
 
 @query(
     "pv_eval",
-    sql("""SELECT event_id, cmms_reg, pv_date, round(m, 6) + 0.0 AS mean_score_pre,
-          round(z, 6) + 0.0 AS zscore_vs_fleet, z > 2.0 AS elevated, n_points
+    sql("""SELECT event_id, cmms_reg, pv_date, round(m + 1e-10, 6) + 0.0 AS mean_score_pre,
+          round(z + 1e-10, 6) + 0.0 AS zscore_vs_fleet, CAST(z > 2.0 AS INTEGER) AS elevated, n_points
         FROM (SELECT v.event_id, v.cmms_reg, v.event_date AS pv_date, avg(s.anomaly_score) AS m,
             CASE WHEN count(s.timestamp) > 0 THEN CASE WHEN (SELECT stddev_samp(anomaly_score) FROM scores) > 0
               THEN (avg(s.anomaly_score) - (SELECT avg(anomaly_score) FROM scores))
@@ -182,9 +184,11 @@ def detection_summary(spark, sf):
           FROM services v LEFT JOIN scores s ON s.device_serial = v.device_serial
             AND s.timestamp >= v.event_date - INTERVAL 7 DAY AND s.timestamp < v.event_date
           GROUP BY 1, 2, 3)"""),
+    dates=("pv_date",),
 )
 def pv_eval(spark, sf):
-    return ev.service_control(materialize(ad.scores(spark, sf), "scores"), ad.services(spark, sf))
+    rows = ev.service_control(materialize(ad.scores(spark, sf), "scores"), ad.services(spark, sf))
+    return rows.withColumn("elevated", F.col("elevated").cast("int"))
 
 
 def windows_to_alerts(spark, sf):

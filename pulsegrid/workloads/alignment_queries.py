@@ -68,7 +68,7 @@ def resample_pivot_bits(spark, sf):
 
 
 def _avg(i):
-    return f"round(avg(CASE WHEN variable_id = {i} THEN value END), 6) + 0.0 AS var_{i}"
+    return f"round(avg(CASE WHEN variable_id = {i} THEN value END) + 1e-10, 6) + 0.0 AS var_{i}"
 
 
 @query(
@@ -279,7 +279,7 @@ def linear_scores(spark, sf):
 
 @query(
     "ocsvm_score",
-    sql(f"SELECT {META}, round({OFFSET} - ({LINEAR_SQL}), 6) + 0.0 AS anomaly_score, "
+    sql(f"SELECT {META}, round({OFFSET} - ({LINEAR_SQL}) + 1e-10, 6) + 0.0 AS anomaly_score, "
         f"CASE WHEN {OFFSET} - ({LINEAR_SQL}) > 0 THEN -1 ELSE 1 END AS prediction FROM scaled",
         stats_sql(NUMERIC)),
 )

@@ -59,15 +59,15 @@ def attr_top5(spark, sf):
 
 @query(
     "attr_timeline",
-    sql("""SELECT event_id, count(*) AS n_windows, round(avg(anomaly_score), 6) + 0.0 AS mean_score,
-        round(max(anomaly_score), 6) + 0.0 AS max_score FROM timeline GROUP BY 1"""),
+    sql("""SELECT event_id, count(*) AS n_windows, round(avg(anomaly_score) + 1e-10, 6) + 0.0 AS mean_score,
+        round(max(anomaly_score) + 1e-10, 6) + 0.0 AS max_score FROM timeline GROUP BY 1"""),
 )
 def attr_timeline(spark, sf):
     return at.timeline_summary(attribution(spark, sf))
 
 
 _CELLS = ", ".join(
-    f"round(coalesce(max(CASE WHEN feature_name = '{v}' THEN attribution_value END), 0), 6) + 0.0 AS {v}" for v in VARS
+    f"round(coalesce(max(CASE WHEN feature_name = '{v}' THEN attribution_value END), 0) + 1e-10, 6) + 0.0 AS {v}" for v in VARS
 )
 
 
@@ -82,7 +82,7 @@ def attr_pivot(spark, sf):
 
 @query(
     "attr_global",
-    sql("""SELECT feature_name, any_value(human_name) AS human_name, round(sum(mean_attribution), 6) + 0.0 AS total_attribution
+    sql("""SELECT feature_name, any_value(human_name) AS human_name, round(sum(mean_attribution) + 1e-10, 6) + 0.0 AS total_attribution
         FROM attr_mean JOIN (SELECT DISTINCT feature_name, human_name FROM attribution) USING (feature_name)
         GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 20"""),
 )
@@ -93,12 +93,13 @@ def attr_global(spark, sf):
 @query(
     "xai_summary",
     sql("""SELECT r.event_id, f.cmms_reg, f.event_date AS failure_date, f.description, t.n_windows,
-        round(t.m, 4) AS mean_anomaly_score, round(t.x, 4) AS max_anomaly_score, CAST(r.rank AS INTEGER) AS feature_rank,
-        r.feature_name, h.human_name, round(r.mean_attribution, 6) AS mean_attribution
+        round(t.m + 1e-10, 4) + 0.0 AS mean_anomaly_score, round(t.x + 1e-10, 4) + 0.0 AS max_anomaly_score, CAST(r.rank AS INTEGER) AS feature_rank,
+        r.feature_name, h.human_name, round(r.mean_attribution + 1e-10, 6) + 0.0 AS mean_attribution
         FROM attr_ranked r JOIN failures f USING (event_id)
         JOIN (SELECT DISTINCT feature_name, human_name FROM attribution) h USING (feature_name)
         JOIN (SELECT event_id, count(*) AS n_windows, avg(anomaly_score) AS m, max(anomaly_score) AS x FROM timeline GROUP BY 1) t
         USING (event_id) WHERE r.rank <= 10"""),
+    dates=("failure_date",),
 )
 def xai_summary(spark, sf):
     return at.report(attribution(spark, sf), ad.failures(spark, sf))
@@ -141,7 +142,7 @@ def attr_rollup(spark, sf):
 @query(
     "attr_rank",
     sql(
-        """SELECT feature_name, human_name, round(m, 6) + 0.0 AS mean_abs_shap,
+        """SELECT feature_name, human_name, round(m + 1e-10, 6) + 0.0 AS mean_abs_shap,
         CAST(row_number() OVER (ORDER BY m DESC, feature_name) AS INTEGER) AS rank
         FROM (SELECT feature_name, avg(attribution_value) AS m FROM rolled GROUP BY 1)
         JOIN (SELECT DISTINCT feature_name, human_name FROM attribution) USING (feature_name)""",

@@ -169,6 +169,7 @@ _ROWS = f"""variable_id, device_serial, label, value, value_description, unit, u
 @query(
     "telemetry_rows",
     sql(f"SELECT {_ROWS}, {_TIME} AS timestamp, CAST({_TIME} AS DATE) AS day FROM enriched"),
+    dates=("day",),
 )
 def telemetry_rows(spark, sf):
     return ms.telemetry_rows(_enriched(spark, sf))

@@ -13,11 +13,17 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(
+    name: str, sql: str | None = None, dates: tuple[str, ...] = (), exact: bool = False
+) -> Callable[[Query], Query]:
+    """Register a query. ``dates`` are shown as text on both sides; ``exact`` leaves doubles
+    unrounded (for results without sums)."""
+
     def register(fn: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir), None if exact else 6)
         if sql is not None:
-            SQL[name] = sql
+            shown = ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in dates)
+            SQL[name] = f"SELECT * REPLACE ({shown}) FROM (\n{sql}\n)" if dates else sql
         return fn
 
     return register

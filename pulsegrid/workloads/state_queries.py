@@ -18,13 +18,14 @@ from pulsegrid.workloads.views_sql import r6, sql
 
 NOW = dt.datetime(2001, 8, 2)
 NOW_SQL = "TIMESTAMP '2001-08-02'"
-_A = f"id, device_serial, timestamp, alert_level, {r6('anomaly_score', 'fleet_percentile')}, notified, notified_at"
+_A = "id, device_serial, timestamp, alert_level, anomaly_score, fleet_percentile, notified, notified_at"
 
 
 @query(
     "alerts_query",
     sql(f"""SELECT {_A} FROM alert_history WHERE timestamp >= TIMESTAMP '1997-01-01' AND timestamp < TIMESTAMP '1999-01-01'
         AND alert_level IN ('warning', 'critical') AND notified ORDER BY timestamp DESC, id DESC LIMIT 100"""),
+    exact=True,
 )
 def alerts_query(spark, sf):
     return state.query_alerts(
@@ -33,7 +34,7 @@ def alerts_query(spark, sf):
     )
 
 
-@query("alerts_unnotified", sql(f"SELECT {_A} FROM alert_history WHERE NOT notified"))
+@query("alerts_unnotified", sql(f"SELECT {_A} FROM alert_history WHERE NOT notified"), exact=True)
 def alerts_unnotified(spark, sf):
     return state.unnotified(ad.alert_history(spark, sf))
 
@@ -41,6 +42,7 @@ def alerts_unnotified(spark, sf):
 @query(
     "latest_status",
     sql(f"SELECT {_A} FROM (SELECT *, rank() OVER (PARTITION BY device_serial ORDER BY timestamp DESC) AS r FROM alert_history) WHERE r = 1"),
+    exact=True,
 )
 def latest_status(spark, sf):
     return state.latest_status(ad.alert_history(spark, sf))
@@ -48,7 +50,8 @@ def latest_status(spark, sf):
 
 @query(
     "score_history",
-    sql(f"SELECT device_serial, timestamp, {r6('anomaly_score', 'fleet_percentile')} FROM alert_history WHERE timestamp >= {NOW_SQL} - INTERVAL 365 DAY"),
+    sql(f"SELECT device_serial, timestamp, anomaly_score, fleet_percentile FROM alert_history WHERE timestamp >= {NOW_SQL} - INTERVAL 365 DAY"),
+    exact=True,
 )
 def score_history(spark, sf):
     return state.score_history(ad.alert_history(spark, sf), NOW, 365)
@@ -75,7 +78,7 @@ def error_notices(spark, sf):
     return al.error_notice(ad.health(spark, sf))
 
 
-@query("work_orders_query", sql("SELECT * FROM work_orders WHERE NOT matched"))
+@query("work_orders_query", sql("SELECT * FROM work_orders WHERE NOT matched"), dates=("registered_date", "completed_date"))
 def work_orders_query(spark, sf):
     return state.query_work_orders(ad.work_orders(spark, sf), unmatched_only=True)
 
@@ -83,6 +86,7 @@ def work_orders_query(spark, sf):
 @query(
     "labels_query",
     sql("SELECT device_serial, date, event_type, work_order_id AS cmms_work_order, notes FROM labels_table"),
+    dates=("date",),
 )
 def labels_query(spark, sf):
     return state.training_labels(ad.labels(spark, sf))
@@ -111,12 +115,13 @@ def _import(spark, sf):
 @query(
     "work_orders_import",
     sql(f"SELECT {_ORDER}, g.device_serial FROM raw_work_orders w LEFT JOIN registry g ON g.cmms_reg = w.device_reg"),
+    dates=("registered_date", "completed_date"),
 )
 def work_orders_import(spark, sf):
     return _import(spark, sf)
 
 
-@query("work_orders_normalize", sql(f"SELECT {_ORDER} FROM raw_work_orders"))
+@query("work_orders_normalize", sql(f"SELECT {_ORDER} FROM raw_work_orders"), dates=("registered_date", "completed_date"))
 def work_orders_normalize(spark, sf):
     from pulsegrid.fixed import WORK_ORDER_HEADERS
 
@@ -142,7 +147,7 @@ def _matches(spark, sf):
     )
 
 
-@query("match_work_orders", sql("SELECT * FROM linked"))
+@query("match_work_orders", sql("SELECT * FROM linked"), dates=("date",))
 def match_work_orders(spark, sf):
     return _matches(spark, sf)
 
@@ -152,6 +157,7 @@ def match_work_orders(spark, sf):
     sql(f"""SELECT {_ORDER} FROM (SELECT *, row_number() OVER (PARTITION BY work_order_id ORDER BY work_order_type,
           registered_date, completed_date NULLS FIRST, fault_description, technical_description, device_reg, serial_number) AS r
         FROM raw_work_orders) WHERE r = 1 AND work_order_id NOT IN (SELECT l_orderkey || '-1' FROM lineitem)"""),
+    dates=("registered_date", "completed_date"),
 )
 def work_orders_upsert(spark, sf):
     stored = ad.table(spark, sf, "lineitem").select(
@@ -163,6 +169,7 @@ def work_orders_upsert(spark, sf):
 @query(
     "mark_matched",
     sql("SELECT w.* REPLACE (w.matched OR w.work_order_id IN (SELECT work_order_id FROM linked) AS matched) FROM work_orders w"),
+    dates=("registered_date", "completed_date"),
 )
 def mark_matched(spark, sf):
     return state.mark_matched(ad.work_orders(spark, sf), _matches(spark, sf))
@@ -172,6 +179,7 @@ def mark_matched(spark, sf):
     "labels_append",
     sql(f"""SELECT device_serial, date, event_type, work_order_id, matched_alert_id, '' AS notes,
         {NOW_SQL} AS created_at, 'auto' AS source FROM linked"""),
+    dates=("date",),
 )
 def labels_append(spark, sf):
     path = scratch_path(spark, "labels")
@@ -196,10 +204,11 @@ _SENT = "SELECT device_serial, max(timestamp) AS timestamp FROM alert_history GR
 
 @query(
     "mark_notified",
-    sql(f"""SELECT a.id, a.device_serial, a.timestamp, a.alert_level, {r6('a.anomaly_score', 'a.fleet_percentile')},
+    sql(f"""SELECT a.id, a.device_serial, a.timestamp, a.alert_level, a.anomaly_score, a.fleet_percentile,
         a.notified OR s.timestamp IS NOT NULL AS notified,
         CASE WHEN s.timestamp IS NOT NULL THEN {NOW_SQL} ELSE a.notified_at END AS notified_at
         FROM alert_history a LEFT JOIN ({_SENT}) s ON s.device_serial = a.device_serial AND s.timestamp = a.timestamp"""),
+    exact=True,
 )
 def mark_notified(spark, sf):
     history = ad.alert_history(spark, sf)
@@ -255,10 +264,10 @@ def xai_cache_latest(spark, sf):
 
 @query(
     "xai_cache_todo",
-    sql("SELECT device_serial FROM registry WHERE device_serial NOT IN (SELECT device_serial FROM attribution_cache WHERE computed_at >= TIMESTAMP '2024-01-28')"),
+    sql("SELECT device_serial FROM registry WHERE device_serial NOT IN (SELECT device_serial FROM attribution_cache WHERE computed_at >= TIMESTAMP '2024-01-30 12:00:00')"),
 )
 def xai_cache_todo(spark, sf):
-    fresh = ad.attribution_cache(spark, sf).where("computed_at >= timestamp'2024-01-28'")
+    fresh = ad.attribution_cache(spark, sf).where("computed_at >= timestamp'2024-01-30 12:00:00'")
     return state.attribution_todo(ad.registry(spark, sf), fresh)
 
 
@@ -314,19 +323,15 @@ def pipeline_status(spark, sf):
 @query(
     "export_alerts",
     sql("""SELECT CAST(id AS VARCHAR) AS id, device_serial, alert_level, CAST(notified AS VARCHAR) AS notified,
-        strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, printf('%.4f', anomaly_score) AS anomaly_score,
-        printf('%.1f%%', fleet_percentile * 100) AS fleet_percentile
+        strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, CAST(anomaly_score AS VARCHAR) AS anomaly_score
         FROM (SELECT * FROM alert_history ORDER BY timestamp DESC, id DESC LIMIT 10000)"""),
 )
 def export_alerts(spark, sf):
     """Newest alerts as headed CSV, read back as text."""
     rows = ad.alert_history(spark, sf).select(
-        "id", "device_serial", "timestamp", "alert_level", "notified",
-        F.format_string("%.4f", "anomaly_score").alias("anomaly_score"),
-        F.format_string("%.1f%%", F.col("fleet_percentile") * 100).alias("fleet_percentile"),
+        "id", "device_serial", "alert_level", "notified",
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "anomaly_score",
     )
-    newest = state.newest_first(rows, "timestamp", 10_000)
-    text = newest.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
     path = scratch_path(spark, "alerts-csv")
-    tables.export_csv(text, path)
+    tables.export_csv(rows, path, "timestamp", 10_000)
     return spark.read.csv(path, header=True)

@@ -24,14 +24,14 @@ _SIX = "make_timestamp((epoch_us(timestamp) // 21600000000) * 21600000000)"
 
 @query("stream_hl7", sql("SELECT src, pos, obx, variable_id, value, label, unit, unit_short, value_description FROM enriched"))
 def stream_hl7(spark, sf):
-    stream = _stream(ad.messages(spark, sf), "stream-messages")
+    stream = _stream(ad.messages(spark, sf).drop("timestamp"), "stream-messages")
     obs = jobs.observation_stream(stream).drop("timestamp")
     return jobs.run_available(obs, "observations")
 
 
 @query(
     "stream_resample",
-    sql(f"""SELECT device_serial, variable_id, {_SIX} AS bin, round(avg(value), 6) + 0.0 AS value, count(*) AS n_rows
+    sql(f"""SELECT device_serial, variable_id, {_SIX} AS bin, round(avg(value) + 1e-10, 6) + 0.0 AS value, count(*) AS n_rows
         FROM telemetry GROUP BY 1, 2, 3 HAVING bin + INTERVAL 6 HOUR <= {_LATE}"""),
 )
 def stream_resample(spark, sf):
@@ -43,8 +43,8 @@ def stream_resample(spark, sf):
     "stream_windows",
     sql(
         f"""SELECT device_serial, variable_id, window_start, window_start + INTERVAL 36 HOUR AS window_end,
-        round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS std, round(min(value), 6) + 0.0 AS min,
-        round(max(value), 6) + 0.0 AS max, round(arg_max(value, timestamp) - arg_min(value, timestamp), 6) + 0.0 AS delta,
+        round(avg(value) + 1e-10, 6) + 0.0 AS mean, round(stddev_pop(value) + 1e-10, 6) + 0.0 AS std, round(min(value) + 1e-10, 6) + 0.0 AS min,
+        round(max(value) + 1e-10, 6) + 0.0 AS max, round(arg_max(value, timestamp) - arg_min(value, timestamp) + 1e-10, 6) + 0.0 AS delta,
         count(*) AS n_samples
         FROM (SELECT *, {_SIX} - to_hours(6 * unnest(generate_series(0, 5))) AS window_start FROM telemetry)
         GROUP BY 1, 2, 3 HAVING window_start + INTERVAL 36 HOUR <= {_LATE}"""

@@ -16,7 +16,7 @@ from pulsegrid.workloads.registry import query
 from pulsegrid.workloads.views_sql import STATUS, r6, sql
 
 LONG = ["device_serial", "timestamp", "variable_id", "value"]
-LONG_SQL = "device_serial, timestamp, variable_id, round(value, 6) + 0.0 AS value"
+LONG_SQL = "device_serial, timestamp, variable_id, round(value + 1e-10, 6) + 0.0 AS value"
 FROM, UNTIL = "2024-01-08", "2024-01-22"
 
 
@@ -26,7 +26,7 @@ def _stored(spark, sf):
     return path
 
 
-@query("load_fleet", sql(f"SELECT {LONG_SQL}, CAST(timestamp AS DATE) AS day FROM telemetry"))
+@query("load_fleet", sql(f"SELECT {LONG_SQL}, CAST(timestamp AS DATE) AS day FROM telemetry"), dates=("day",))
 def load_fleet(spark, sf):
     return src.load_fleet(spark, _stored(spark, sf)).select(*LONG, "day")
 
@@ -35,6 +35,7 @@ def load_fleet(spark, sf):
     "load_recent",
     sql(f"SELECT {LONG_SQL}, CAST(timestamp AS DATE) AS day FROM telemetry "
         "WHERE CAST(timestamp AS DATE) IN (SELECT DISTINCT CAST(ts AS DATE) FROM events ORDER BY 1 DESC LIMIT 3)"),
+    dates=("day",),
 )
 def load_recent(spark, sf):
     return src.load_recent(spark, _stored(spark, sf), dt.date(2025, 1, 1), 3).select(*LONG, "day")
@@ -47,7 +48,7 @@ def load_recent(spark, sf):
         AND CAST(t.timestamp AS DATE) BETWEEN f.event_date - 15 AND f.event_date + 3"""),
 )
 def load_event_span(spark, sf):
-    stored = spark.read.parquet(_stored(spark, sf))
+    stored = spark.read.parquet(_stored(spark, sf)).drop("event_id")
     span = src.load_event_span(stored, ad.failures(spark, sf))
     return span.select("event_id", "cmms_reg", *LONG)
 
@@ -83,6 +84,7 @@ def _extracted(spark, sf):
     "extract_daily",
     sql(f"SELECT {LONG_SQL}, CAST(timestamp AS DATE) AS day, "
         + ", ".join(f"CAST({c} AS TINYINT) AS {c}" for c in STATUS) + f" {_EXTRACT}"),
+    dates=("day",),
 )
 def extract_daily(spark, sf):
     return _extracted(spark, sf).select(*LONG, "day", *STATUS)
@@ -149,16 +151,15 @@ def registry_lookup(spark, sf):
 
 @query(
     "union_days",
-    sql(f"""SELECT {LONG_SQL}, bitfield_gas_supplies_ok FROM telemetry WHERE timestamp < TIMESTAMP '2024-01-16'
+    sql(f"""SELECT {LONG_SQL}, CAST(bitfield_gas_supplies_ok AS INTEGER) AS gas_supplies_ok FROM telemetry WHERE timestamp < TIMESTAMP '2024-01-16'
         UNION ALL SELECT {LONG_SQL}, NULL FROM telemetry WHERE timestamp >= TIMESTAMP '2024-01-16'"""),
 )
 def union_days(spark, sf):
     df = ad.telemetry(spark, sf)
     early = clean.scan_range(df, end="2024-01-16", ordered=False)
     late = clean.scan_range(df, start="2024-01-16", ordered=False)
-    return src.union_days(
-        [early.select(*LONG, "bitfield_gas_supplies_ok"), late.select(*LONG)]
-    )
+    flag = F.col("bitfield_gas_supplies_ok").cast("int").alias("gas_supplies_ok")
+    return src.union_days([early.select(*LONG, flag), late.select(*LONG)])
 
 
 _TIERS = ", ".join(f"({v[0]}, {v[3]})" for v in fixed.VARIABLES)

@@ -56,7 +56,7 @@ SELECT device_serial, make_timestamp(bin * {BIN_US}) AS window_start,
   make_timestamp((bin + 1) * {BIN_US}) AS window_end,
   make_timestamp((bin + 1) * {BIN_US}) AS timestamp, anomaly_score
 FROM (SELECT device_serial, epoch_us(timestamp) // {BIN_US} AS bin,
-        round(avg(value), 6) AS anomaly_score
+        round(avg(value) + 1e-10, 6) + 0.0 AS anomaly_score
       FROM telemetry WHERE variable_id <> 1889 GROUP BY 1, 2)""",
     "ranked": """
 SELECT s.*, (rank() OVER (PARTITION BY timestamp ORDER BY anomaly_score)
@@ -122,7 +122,7 @@ SELECT event_id AS id, lpad(CAST(user_id AS VARCHAR), 15, '0') AS device_serial,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS window_end, props AS result_json
 FROM events""",
     "msg": f"""
-SELECT *, strftime(ts, '%Y%m%d%H%M%S') AS at,
+SELECT *, strftime(ts, '%Y%m%d%H%M%S') AS stamp,
   CASE WHEN k = 13 THEN strftime(ts, '%Y%m%d') WHEN k = 14 THEN '20241399' || strftime(ts, '%H%M%S')
     ELSE strftime(ts, '%Y%m%d%H%M%S') END AS seen,
   CASE event_type WHEN 'click' THEN '19' WHEN 'view' THEN '42' ELSE '' END AS unit,
@@ -134,7 +134,7 @@ FROM ev""",
     "messages": r"""
 SELECT 'gw-' || event_type AS src, event_id AS pos, ts AS timestamp,
   concat_ws(chr(13),
-    'MSH|^~\&|DEV|SITE|RCV|SVC|' || at || '||ORU^R01|' || event_id || '|P|2.3',
+    'MSH|^~\&|DEV|SITE|RCV|SVC|' || stamp || '||ORU^R01|' || event_id || '|P|2.3',
     'PID|1||X',
     'OBR|1|R|F|999^' || CASE WHEN value >= 10 THEN 'Elisa 800' ELSE 'Elisa 500' END || '^L',
     'OBX|1|NM|' || number || '^x^L|1|' || CAST(value AS VARCHAR) || '|' || unit || '|||||F|||' || seen,
@@ -278,8 +278,8 @@ SELECT device_serial, island AS run_id, min(window_start) AS run_start, max(wind
   count(*) AS n_windows, max(anomaly_score) AS max_score, max(fleet_percentile) AS max_percentile
 FROM run_rows WHERE hit GROUP BY 1, 2""",
     "alert_rows": """
-SELECT device_serial, cmms_reg, alert_level, round(anomaly_score, 4) AS anomaly_score,
-  round(fleet_percentile, 4) AS fleet_percentile, top_contributing_features,
+SELECT device_serial, cmms_reg, alert_level, round(anomaly_score + 1e-10, 4) + 0.0 AS anomaly_score,
+  round(fleet_percentile + 1e-10, 4) + 0.0 AS fleet_percentile, top_contributing_features,
   CASE alert_level WHEN 'critical' THEN '"""
     + fixed.ADVICE["critical"]
     + """' WHEN 'warning' THEN '"""
@@ -342,7 +342,7 @@ def sql(body: str, extra: dict[str, str] | None = None) -> str:
 
 def r6(*columns: str) -> str:
     """Rounded doubles, spelled like the adapter's ``tidy``."""
-    return ", ".join(f"round({c}, 6) + 0.0 AS {c.split('.')[-1]}" for c in columns)
+    return ", ".join(f"round({c} + 1e-10, 6) + 0.0 AS {c.split('.')[-1]}" for c in columns)
 
 
 def stats_sql(features: list[str]) -> dict[str, str]:
