@@ -22,12 +22,12 @@ def exact_quantiles(
     the driver. ``df`` is scanned once per round, so it should be a stored table.
     """
     stats = df.agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"count({c}) as n{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"min({c}) as lo{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"max({c}) as hi{i}") for i, c in enumerate(columns)],
     ).first()
     if max((stats[f"n{i}"] for i in range(len(columns))), default=0) <= small:
-        row = df.agg(*[F.percentile(c, F.lit(q)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        row = df.agg(*[F.expr(f"percentile({c}, {q!r}D) as q{i}") for i, c in enumerate(columns)]).first()
         return {c: row[f"q{i}"] for i, c in enumerate(columns)}
 
     out: dict[str, float | None] = {}

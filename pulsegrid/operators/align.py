@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid import fixed
 from pulsegrid.functions.grid import bin_index, bin_start, grid_seconds, seconds
@@ -33,13 +33,6 @@ def forward_fill(binned: DataFrame, limit: int, slice_bins: int = SLICE_BINS) ->
     return spread(binned, ["device_serial", "variable_id"], ["value"], limit, slice_bins)
 
 
-def _presence(ids: list[int]) -> Column:
-    bit = F.lit(0).cast("bigint")
-    for position, i in enumerate(ids):
-        bit = F.when(F.col("variable_id") == i, F.lit(1 << position).cast("bigint")).otherwise(bit)
-    return F.bit_or(bit)
-
-
 def bin_wide(
     long: DataFrame, freq: str, variable_ids: list[int], status: list[str] | None = None
 ) -> DataFrame:
@@ -54,16 +47,15 @@ def bin_wide(
         & F.col("timestamp").isNotNull()
         & F.col("variable_id").isin(ids)
     )
+    aggs = [f"avg(case when variable_id = {i} then value end) as var_{i}" for i in ids]
+    aggs += [f"cast(max(cast({c} as int)) as double) as {c}" for c in status]
+    for at in range(0, len(ids), _MASK):
+        arms = " ".join(
+            f"when {i} then {1 << p}L" for p, i in enumerate(ids[at : at + _MASK])
+        )
+        aggs.append(f"bit_or(case variable_id {arms} else 0L end) as seen_{at // _MASK}")
     return rows.groupBy("device_serial", bin_index(F.col("timestamp"), step).alias("bin")).agg(
-        *[
-            F.avg(F.when(F.col("variable_id") == i, F.col("value"))).alias(f"var_{i}")
-            for i in ids
-        ],
-        *[F.max(F.col(c).cast("int")).cast("double").alias(c) for c in status],
-        *[
-            _presence(ids[at : at + _MASK]).alias(f"seen_{at // _MASK}")
-            for at in range(0, len(ids), _MASK)
-        ],
+        *[F.expr(a) for a in aggs]
     )
 
 
@@ -89,7 +81,7 @@ def resample_then_pivot(
     if stage is not None:
         binned = stage(binned)
     spans = {
-        f"var_{i}": F.col(f"seen_{p // _MASK}").bitwiseAND(F.lit(1 << (p % _MASK))) != 0
+        f"var_{i}": f"seen_{p // _MASK} & {1 << (p % _MASK)}L != 0"
         for p, i in enumerate(ids)
     }
     step = grid_seconds(freq)
@@ -115,10 +107,7 @@ def pivot_long_to_wide(
         long.where(F.col("device_serial").isNotNull())
         .groupBy("timestamp", "device_serial")
         .agg(
-            *[
-                F.avg(F.when(F.col("variable_id") == i, F.col("value"))).alias(f"var_{i}")
-                for i in ids
-            ],
+            *[F.expr(f"avg(case when variable_id = {i} then value end) as var_{i}") for i in ids],
             F.count(F.when(F.col("variable_id").isin(ids), F.col("value"))).alias("_values"),
             *([first] if status else []),
         )

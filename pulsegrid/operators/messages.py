@@ -43,18 +43,15 @@ def _root(field: Column) -> Column:
     return F.substring_index(field, "^", 1)
 
 
-def message_serial(segs: Column, variable: str = fixed.SERIAL_VARIABLE) -> Column:
-    """Last non-empty serial number observation of the message, null without one."""
-    named = F.filter(
-        segs,
-        lambda s: s.startswith("OBX")
-        & (F.size(F.split(s, r"\|")) > 5)
-        & (_root(F.trim(_field(F.split(s, r"\|"), 3))) == variable),
-    )
-    values = F.transform(named, lambda s: F.trim(_root(_field(F.split(s, r"\|"), 5))))
-    return F.element_at(
-        F.concat(F.array(F.lit(None).cast("string")), F.filter(values, lambda v: v != "")), -1
+def message_serial(message: Column, variable: str = fixed.SERIAL_VARIABLE) -> Column:
+    """Last non-empty serial number observation of the message text, null without one."""
+    name = rf"[ \t]*{variable}(?:[ \t]*|\^[^|\r\n]*)"
+    found = F.regexp_extract_all(
+        message,
+        F.lit(rf"(?m)^[ \t]*OBX\|[^|\r\n]*\|[^|\r\n]*\|{name}\|[^|\r\n]*\|([^|^\r\n]*)"),
     )
+    values = F.filter(F.transform(found, lambda v: F.trim(v)), lambda v: v != "")
+    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), values), -1)
 
 
 def with_segments(messages: DataFrame) -> DataFrame:
@@ -69,7 +66,7 @@ def assign_serial(
     Messages of rejected device models carry serials forward too. A source is cut into slices
     (``slice_col``, or ranges of ``pos``), so one busy source is spread over many tasks."""
     order = order or ["pos"]
-    df = messages.withColumn("_own", message_serial(F.col("segments")))
+    df = messages.withColumn("_own", message_serial(F.col("message")))
     if slice_col is None:
         df = df.withColumn("_part", F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint"))
     else:
@@ -244,10 +241,15 @@ def line_protocol(
         return F.when(shown.isNotNull(), F.concat(F.lit(f"{field.name}="), shown))
 
     skip = {*tags, "timestamp", "day"}
-    items = [item(f) for f in rows.schema.fields if f.name not in skip]
+    shown = [f for f in rows.schema.fields if f.name not in skip]
+    filled = F.lit(False)
+    for f in sorted(shown, key=lambda f: f.dataType.typeName() != "boolean"):
+        present = F.col(f.name).isNotNull()
+        text = f.dataType.typeName() == "string"
+        filled = filled | ((present & (F.col(f.name) != "")) if text else present)
     at = F.unix_micros("timestamp") * F.lit(1000) if time_ns is None else time_ns
-    fields = F.concat_ws(",", *items)
+    fields = F.concat_ws(",", *[item(f) for f in shown])
     head = F.concat(F.lit(measurement), *[F.concat(F.lit(","), tag(c)) for c in tags])
-    return rows.where(fields != "").select(
+    return rows.where(filled).select(
         F.concat_ws(" ", head, fields, at.cast("string")).alias("value")
     )

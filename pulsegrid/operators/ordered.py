@@ -98,12 +98,12 @@ def spread(
     values: list[str],
     fill: int,
     slice_bins: int,
-    spans: dict[str, Column] | None = None,
+    spans: dict[str, str] | None = None,
 ) -> DataFrame:
     """Put sparse bins of each key on a regular grid and carry values forward.
 
     ``rows`` has one row per ``(keys, bin)``. A value is repeated for at most ``fill`` bins after
-    the bin that holds it. ``spans`` maps a value to the condition "this series has a row in this
+    the bin that holds it. ``spans`` maps a value to the SQL condition "this series has a row in this
     bin"; then the grid only covers bins between the first and last row of some series, and a
     value is not carried beyond the last row of its own series. Without ``spans`` the grid runs
     from the first to the last bin of the key.
@@ -117,58 +117,40 @@ def spread(
 
     per_slice = sliced.groupBy(*keys, "_slice").agg(
         F.min("bin").alias("_head"),
-        *[F.min(F.when(c, F.col("bin"))).alias(f"_first_{v}") for v, c in spans.items()],
-        *[F.max(F.when(c, F.col("bin"))).alias(f"_last_{v}") for v, c in spans.items()],
+        *[F.expr(f"min(case when {c} then bin end) as _first_{v}") for v, c in spans.items()],
+        *[F.expr(f"max(case when {c} then bin end) as _last_{v}") for v, c in spans.items()],
     )
-    by_slice = W.partitionBy(*keys).orderBy("_slice")
-    whole = by_slice.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    edges = per_slice.select(
+    by_slice = f"partition by {', '.join(keys)} order by _slice"
+    whole = f"({by_slice} rows between unbounded preceding and unbounded following)"
+    edges = per_slice.selectExpr(
         *keys,
         "_slice",
-        F.lead("_head").over(by_slice).alias("_next_head"),
-        *[F.min(f"_first_{v}").over(whole).alias(f"_first_{v}") for v in spans],
-        *[F.max(f"_last_{v}").over(whole).alias(f"_last_{v}") for v in spans],
+        f"lead(_head) over ({by_slice}) as _next_head",
+        *[f"min(_first_{v}) over {whole} as _first_{v}" for v in spans],
+        *[f"max(_last_{v}) over {whole} as _last_{v}" for v in spans],
     )
 
-    own = F.col("_slice")
-    near_end = F.col("bin") >= (own + 1) * width - fill
-    placed = sliced.withColumn(
-        "_to", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))
-    ).withColumns({"_own": F.col("_to") == own, "_slice": F.col("_to")})
-
-    inside = W.partitionBy(*keys, "_slice").orderBy("bin")
-    seen = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    held = {
-        f"_held_{v}": F.last(
-            F.when(F.col(v).isNotNull(), F.struct("bin", F.col(v).alias("v"))), ignorenulls=True
-        ).over(seen)
+    copies = f"case when bin >= (_slice + 1) * {width} - {fill} then array(_slice, _slice + 1) else array(_slice) end"
+    placed = sliced.selectExpr(*keys, "bin", *values, "_slice as _home", f"explode({copies}) as _slice")
+
+    inside = f"(partition by {', '.join(keys)}, _slice order by bin)"
+    held = [f"last({v}, true) over {inside} as _held_{v}" for v in values]
+    held += [
+        f"last(case when {v} is not null then bin end, true) over {inside} as _since_{v}"
         for v in values
-    }
-    ahead = F.coalesce(F.lead("bin").over(inside), F.col("_next_head"))
+    ]
     known = (
-        placed.drop("_to", *[c for c in rows.columns if c.startswith("seen_")])
-        .join(edges, [*keys, "_slice"])
-        .withColumns({"_next": ahead, **held})
-        .where("_own")
+        placed.join(edges, [*keys, "_slice"])
+        .selectExpr("*", f"coalesce(lead(bin) over {inside}, _next_head) as _next", *held)
+        .where("_home = _slice")
     )
 
-    covered = F.lit(True)
-    if spans:
-        covered = F.lit(False)
-        for v in spans:
-            covered = covered | (
-                (F.col(f"_first_{v}") <= F.col("bin")) & (F.col(f"_last_{v}") >= F.col("_next"))
-            )
-    reach = F.when(F.col("_next").isNotNull() & F.coalesce(covered, F.lit(False)), F.col("_next") - 1)
-    grid = known.withColumn(
-        "_at", F.explode(F.sequence(F.col("bin"), F.coalesce(reach, F.col("bin"))))
-    )
+    covered = " or ".join(f"(_first_{v} <= bin and _last_{v} >= _next)" for v in spans) or "true"
+    reach = f"case when _next is not null and coalesce({covered}, false) then _next - 1 else bin end"
+    grid = known.selectExpr("*", f"explode(sequence(bin, {reach})) as _at")
 
-    def filled(v: str) -> Column:
-        held_at = F.col(f"_held_{v}")
-        ok = F.col("_at") - held_at["bin"] <= fill
-        if v in spans:
-            ok = ok & (F.col("_at") <= F.col(f"_last_{v}"))
-        return F.when(ok, held_at["v"]).alias(v)
+    def filled(v: str) -> str:
+        own = f" and _at <= _last_{v}" if v in spans else ""
+        return f"case when _at - _since_{v} <= {fill}{own} then _held_{v} end as {v}"
 
-    return grid.select(*keys, F.col("_at").alias("bin"), *[filled(v) for v in values])
+    return grid.selectExpr(*keys, "_at as bin", *[filled(v) for v in values])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.quantiles import exact_quantiles
 
@@ -16,8 +16,10 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 def impute(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
     """Replace nulls by the given value; columns without one (all null) stay null."""
-    filled = {c: F.coalesce(c, F.lit(v)) for c, v in values.items() if v is not None}
-    return df.withColumns(filled) if filled else df
+    filled = {c: v for c, v in values.items() if v is not None}
+    return df.selectExpr(
+        *[f"coalesce({c}, {filled[c]!r}D) as {c}" if c in filled else f"`{c}`" for c in df.columns]
+    )
 
 
 @dataclass(frozen=True)
@@ -32,25 +34,28 @@ class Scaler:
     def fit(cls, df: DataFrame, columns: list[str]) -> "Scaler":
         """One map-side combined aggregate; the result is two numbers per column."""
         row = df.agg(
-            *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-            *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
+            *[F.expr(f"avg({c}) as m{i}") for i, c in enumerate(columns)],
+            *[F.expr(f"stddev_pop({c}) as s{i}") for i, c in enumerate(columns)],
         ).first()
         mean = [row[f"m{i}"] or 0.0 for i in range(len(columns))]
         scale = [row[f"s{i}"] or 1.0 for i in range(len(columns))]
         return cls(list(columns), mean, scale)
 
-    def scaled(self, column: str) -> Column:
-        i = self.columns.index(column)
-        return (F.col(column) - F.lit(self.mean[i])) / F.lit(self.scale[i])
+    def scaled(self) -> dict[str, str]:
+        """SQL expression of each scaled column."""
+        return {
+            c: f"({c} - {m!r}D) / {s!r}D" for c, m, s in zip(self.columns, self.mean, self.scale)
+        }
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({c: self.scaled(c) for c in self.columns})
+        by = self.scaled()
+        return df.selectExpr(*[f"{by[c]} as {c}" if c in by else f"`{c}`" for c in df.columns])
 
     def vector(self, df: DataFrame, out: str = "x") -> DataFrame:
         """Scaled columns as one array; what is still null counts as the mean (0)."""
-        items = [F.coalesce(self.scaled(c), F.lit(0.0)) for c in self.columns]
-        kept = [c for c in df.columns if c not in self.columns]
-        return df.select(*kept, F.array(*items).alias(out))
+        items = ", ".join(f"coalesce({e}, 0D)" for e in self.scaled().values())
+        kept = [f"`{c}`" for c in df.columns if c not in self.columns]
+        return df.selectExpr(*kept, f"array({items}) as {out}")
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = list(zip(range(len(self.columns)), self.columns, self.mean, self.scale))

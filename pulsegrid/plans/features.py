@@ -52,4 +52,7 @@ class FeaturePlan:
         """Window summary rows and the ordered feature list."""
         wide = self.wide(long)
         features = self.feature_list(wide)
-        return windows.window_stats(self.members(wide), features), features
+        rows = windows.window_summaries(
+            wide, features, self.window, self.step, self.sizing, self.slice
+        )
+        return rows, features

@@ -90,7 +90,7 @@ def carry_serial_stream(messages: DataFrame) -> DataFrame:
     Only the serial found in each message enters the keyed step, not the message text. A
     micro-batch of one source arrives in Arrow chunks sorted here by position."""
     rows = messages.select(
-        "src", "pos", ms.message_serial(ms.segments(F.col("message"))).alias("own")
+        "src", "pos", ms.message_serial(F.col("message")).alias("own")
     )
 
     def run(

@@ -61,11 +61,13 @@ def packed() -> Column:
 
 def telemetry(spark: SparkSession, sf_dir: str, status: bool = True) -> DataFrame:
     ev = table(spark, sf_dir, "events")
+    if status:
+        ev = ev.withColumn("k", packed())
     standby = F.when(F.col("value") > 50, 1.0).otherwise(0.0)
     flags = {}
     if status:
         source = _mapped("event_type", STATUS_OF).cast("string")
-        flags = status_flags(F.coalesce(source, F.lit("")), packed().cast("string"))
+        flags = status_flags(F.coalesce(source, F.lit("")), F.col("k"))
     return ev.select(
         "event_id",
         F.col("ts").alias("timestamp"),
