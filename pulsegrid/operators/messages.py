@@ -234,7 +234,7 @@ def line_protocol(
         if kind == "boolean":
             shown = F.when(c, "t").when(~c, "f")
         elif kind == "string":
-            text = F.regexp_replace(c, '"', '\\\\\\\\"')
+            text = F.replace(c, F.lit('"'), F.lit('\\"'))
             shown = F.when(c != "", F.concat(F.lit('"'), text, F.lit('"')))
         else:
             shown = c.cast("string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid import fixed
 from pulsegrid.operators.feedback import normalize_work_orders, resolve_device
@@ -10,7 +10,7 @@ from pulsegrid.operators.state import newest_first
 from pulsegrid.session import scratch_path
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
