@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-SMALL = 2_000_000
+SMALL = 200_000
 BUCKETS = 1024
 
 
@@ -15,71 +15,96 @@ def exact_quantiles(
 ) -> dict[str, float | None]:
     """Linear-interpolated quantile of each column, nulls ignored.
 
-    Small inputs use the built-in exact aggregate, whose state is the distinct values. Larger
-    ones narrow each column's value range round by round: count rows per bucket of the current
-    range (a bounded, map-side combined aggregate), keep the bucket that holds the wanted rank,
-    and finish with an exact sort-free pick once few rows remain. Only per-column bounds reach
-    the driver. ``df`` is scanned once per round, so it should be a stored table.
+    A column's value range is narrowed round by round: count rows per bucket of the current range
+    (a bounded, map-side combined aggregate) and keep the bucket that holds the wanted rank, until
+    at most ``small`` rows remain in it; those are sorted, one group per column. Columns that
+    start small skip the rounds. Only per-column bounds reach the driver. ``df`` is scanned once
+    per round (two or three rounds cover 10^11 rows), so it should be a stored table.
     """
     stats = df.agg(
         *[F.expr(f"count({c}) as n{i}") for i, c in enumerate(columns)],
-        *[F.expr(f"min({c}) as lo{i}") for i, c in enumerate(columns)],
-        *[F.expr(f"max({c}) as hi{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"cast(min({c}) as double) as lo{i}") for i, c in enumerate(columns)],
+        *[F.expr(f"cast(max({c}) as double) as hi{i}") for i, c in enumerate(columns)],
     ).first()
-    if max((stats[f"n{i}"] for i in range(len(columns))), default=0) <= small:
-        row = df.agg(*[F.expr(f"percentile({c}, {q!r}D) as q{i}") for i, c in enumerate(columns)]).first()
-        return {c: row[f"q{i}"] for i, c in enumerate(columns)}
+    # (column, low, high) -> (rows in the range, {wanted rank: its position in the range})
+    open_: dict[tuple, tuple[int, dict[int, int]]] = {}
+    found: dict[tuple[str, int], float] = {}
+    for i, c in enumerate(columns):
+        n, lo, hi = stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"]
+        if n:
+            at = q * (n - 1)
+            open_[(c, lo, hi)] = (n, {r: r for r in {math.floor(at), math.ceil(at)}})
+    while any(n > small and lo < hi for (_, lo, hi), (n, _) in open_.items()):
+        open_ = _narrow(df, open_, small)
+    _pick(df, open_, found)
 
     out: dict[str, float | None] = {}
-    wanted: dict[tuple[str, int], tuple[float, float, int]] = {}
     for i, c in enumerate(columns):
-        n = stats[f"n{i}"]
-        if n == 0:
+        if not stats[f"n{i}"]:
             out[c] = None
             continue
-        for rank in {math.floor(q * (n - 1)), math.ceil(q * (n - 1))}:
-            wanted[(c, rank)] = (stats[f"lo{i}"], stats[f"hi{i}"], rank)
-    found: dict[tuple[str, int], float] = {}
-    while wanted:
-        wanted = _narrow(df, wanted, found, small)
-    for i, c in enumerate(columns):
-        if c in out:
-            continue
         at = q * (stats[f"n{i}"] - 1)
         low, high = found[(c, math.floor(at))], found[(c, math.ceil(at))]
         out[c] = low + (high - low) * (at - math.floor(at))
     return out
 
 
-def _narrow(df, wanted, found, small):
-    """One round: bucket counts inside each wanted range, then a tighter range or the value."""
-    keys = list(wanted)
-    tagged = []
-    for j, (c, _) in enumerate(keys):
-        lo, hi, _ = wanted[(c, keys[j][1])]
-        width = (hi - lo) / BUCKETS
-        x = F.col(c).cast("double")
-        slot = F.lit(0) if width <= 0 else F.least(F.floor((x - lo) / width), F.lit(BUCKETS - 1))
-        inside = (x >= lo) & (x <= hi)
-        tagged.append(
-            F.when(inside, F.struct(F.lit(j).alias("j"), slot.cast("int").alias("b"), x.alias("x")))
-        )
+def _values(df: DataFrame, keys: list[tuple]) -> DataFrame:
+    """Long ``(j, x)`` table of the values inside each key's range."""
+    items = ", ".join(
+        f"case when {c} between {lo!r}D and {hi!r}D then struct({j} as j, cast({c} as double) as x) end"
+        for j, (c, lo, hi) in enumerate(keys)
+    )
+    return df.selectExpr(f"inline(array_compact(array({items})))")
+
+
+def _narrow(df: DataFrame, open_: dict, small: int) -> dict:
+    """One round over the ranges that still hold many rows."""
+    todo = [k for k, (n, _) in open_.items() if n > small and k[1] < k[2]]
+    left = {k: v for k, v in open_.items() if k not in todo}
+    arms = " ".join(
+        f"when {j} then least(floor((x - {lo!r}D) / {(hi - lo) / BUCKETS!r}D), {BUCKETS - 1})"
+        for j, (_, lo, hi) in enumerate(todo)
+    )
     cells = (
-        df.select(F.explode(F.array(*tagged)).alias("t"))
-        .where("t is not null")
-        .groupBy("t.j", "t.b")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("t.x").alias("lo"), F.max("t.x").alias("hi"))
+        _values(df, todo)
+        .selectExpr("j", f"cast(case j {arms} end as int) as b", "x")
+        .groupBy("j", "b")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .orderBy("j", "b")
         .collect()
     )
-    left = {}
-    for j, key in enumerate(keys):
-        rank = wanted[key][2]
-        for cell in sorted((c for c in cells if c["j"] == j), key=lambda c: c["b"]):
-            if rank < cell["n"]:
-                if cell["lo"] == cell["hi"]:
-                    found[key] = cell["lo"]
-                else:
-                    left[key] = (cell["lo"], cell["hi"], rank)
-                break
-            rank -= cell["n"]
+    for j, key in enumerate(todo):
+        before = 0
+        for cell in (c for c in cells if c["j"] == j):
+            held = {
+                rank: at - before
+                for rank, at in open_[key][1].items()
+                if before <= at < before + cell["n"]
+            }
+            if held:
+                left[(key[0], cell["lo"], cell["hi"])] = (cell["n"], held)
+            before += cell["n"]
     return left
+
+
+def _pick(df: DataFrame, open_: dict, found: dict) -> None:
+    """Values at the wanted positions of ranges that are small or hold one value only."""
+    many = []
+    for (c, lo, hi), (_, ranks) in open_.items():
+        if lo == hi:
+            found.update({(c, r): lo for r in ranks})
+        else:
+            many.append((c, lo, hi))
+    if not many:
+        return
+    arms = lambda k: " ".join(
+        f"when {j} then {sorted(open_[key][1].values())[k]}" for j, key in enumerate(many)
+    )
+    sorted_ = _values(df, many).groupBy("j").agg(F.sort_array(F.collect_list("x")).alias("v"))
+    picked = sorted_.selectExpr("j", f"v[case j {arms(0)} end] as a", f"v[case j {arms(-1)} end] as b")
+    for row in picked.collect():
+        key = many[row["j"]]
+        ranks = sorted(open_[key][1])
+        found[(key[0], ranks[0])] = row["a"]
+        found[(key[0], ranks[-1])] = row["b"]

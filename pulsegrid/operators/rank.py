@@ -15,33 +15,40 @@ def fleet_percentile(
 ) -> DataFrame:
     """Share of the fleet at the same timestamp that scores at or below each row.
 
-    Ties share their average rank; a null score has no percentile and does not count. Ranks are
-    taken inside ``(timestamp, score bucket)`` and shifted by the rows in lower buckets, so one
-    crowded timestamp is spread over many tasks. ``min_fleet`` blanks timestamps with fewer rows.
+    Ties share their average rank; a null score has no percentile and does not count. Equal
+    scores first collapse into one counted row (map-side combined), those are ranked inside
+    ``(timestamp, score bucket)`` and shifted by the rows in lower buckets, so neither a crowded
+    timestamp nor a much-repeated score sits in one task. ``min_fleet`` blanks timestamps with
+    fewer rows.
     """
-    rows = scores.withColumn("_bucket", value_slice(F.col(score)))
-    counts = (
-        rows.where(F.col(score).isNotNull())
-        .groupBy("timestamp", "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+    counted = (
+        scores.where(F.col(score).isNotNull())
+        .groupBy("timestamp", score)
+        .agg(F.count(F.lit(1)).alias("_ties"))
+        .withColumn("_bucket", value_slice(F.col(score)))
     )
     lower = W.partitionBy("timestamp").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        "timestamp",
-        "_bucket",
-        F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_below"),
-        F.sum("_rows").over(W.partitionBy("timestamp")).alias("_fleet"),
+    offsets = (
+        counted.groupBy("timestamp", "_bucket")
+        .agg(F.sum("_ties").alias("_rows"))
+        .select(
+            "timestamp",
+            "_bucket",
+            F.coalesce(F.sum("_rows").over(lower), F.lit(0)).alias("_below"),
+            F.sum("_rows").over(W.partitionBy("timestamp")).alias("_fleet"),
+        )
     )
-    inside = W.partitionBy("timestamp", "_bucket").orderBy(score)
-    ties = F.count(F.lit(1)).over(W.partitionBy("timestamp", "_bucket", score))
-    rank = F.col("_below") + F.rank().over(inside) + (ties - 1) / 2
-    pct = F.when(F.col(score).isNotNull(), rank / F.col("_fleet"))
+    inside = W.partitionBy("timestamp", "_bucket").orderBy(score).rowsBetween(W.unboundedPreceding, 0)
+    rank = F.col("_below") + F.sum("_ties").over(inside) - (F.col("_ties") - 1) / 2
+    pct = rank / F.col("_fleet")
     if min_fleet is not None:
         pct = F.when(F.col("_fleet") >= min_fleet, pct)
+    ranked = counted.join(offsets, ["timestamp", "_bucket"]).select(
+        "timestamp", score, pct.alias("fleet_percentile")
+    )
+    kept = [c for c in scores.columns if c != "fleet_percentile"]
     return (
-        rows.join(offsets, ["timestamp", "_bucket"], "left")
-        .withColumn("fleet_percentile", pct)
-        .select(*[c for c in scores.columns if c != "fleet_percentile"], "fleet_percentile")
+        scores.select(*kept).join(ranked, ["timestamp", score], "left").select(*kept, "fleet_percentile")
     )
 
 

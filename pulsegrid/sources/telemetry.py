@@ -13,11 +13,12 @@ from pulsegrid.operators.evaluate import event_days
 def write_daily(df: DataFrame, path: str) -> None:
     """Write (or rewrite only the touched days of) a table partitioned by ``day``.
 
-    Rows are spread over several tasks per day, so a busy day is not written by one task; files
-    are sorted so that device and variable predicates skip row groups."""
+    The rebalance step groups rows by day and device and lets adaptive execution split a busy
+    day or device over several tasks; files are sorted so that device and variable predicates
+    skip row groups."""
     (
         df.withColumn("day", F.to_date("timestamp"))
-        .repartition("day", "device_serial")
+        .hint("rebalance", "day", "device_serial")
         .sortWithinPartitions("day", "device_serial", "variable_id", "timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

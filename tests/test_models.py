@@ -107,6 +107,16 @@ def test_svm_bounds_outliers(spark, planted):
     assert len(small.weights) == 5
 
 
+def test_large_subsample_is_exact(spark, planted, monkeypatch):
+    from pulsegrid.models import linear_svm
+
+    _, df = planted
+    few = linear_svm.subsample(df, 300, 1).select("window_start").collect()
+    monkeypatch.setattr(linear_svm, "_TOP", 10)
+    cut = linear_svm.subsample(df, 300, 1).select("window_start").collect()
+    assert len(cut) == 300 and set(cut) == set(few)
+
+
 def test_reconstruction_is_exact_at_full_rank(spark):
     rng = np.random.default_rng(1)
     flat = rng.normal(0, 1, (60, 6))
