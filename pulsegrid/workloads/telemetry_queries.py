@@ -102,7 +102,7 @@ def extract_manifest(spark, sf):
 
 @query(
     "clean_long",
-    sql(f"""SELECT {LONG_SQL.replace('value, 6', "CASE WHEN variable_id = 1889 AND value = 0 THEN NULL ELSE value END, 6")},
+    sql(f"""SELECT {LONG_SQL.replace('value +', "CASE WHEN variable_id = 1889 AND value = 0 THEN NULL ELSE value END +")},
         {', '.join(f'CAST({c} AS TINYINT) AS {c}' for c in STATUS)}
         FROM telemetry WHERE device_serial IN (SELECT device_serial FROM registry)"""),
 )
