@@ -5,15 +5,13 @@ and triggers are the caller's choice (:func:`run_available` drains a source into
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from pulsegrid.functions.grid import seconds
 from pulsegrid.operators import messages as ms
 from pulsegrid.operators.alerts import sustained_alerts
+from pulsegrid.operators.ordered import carry_last
 from pulsegrid.operators.rank import SLICE, fleet_percentile
 from pulsegrid.session import scratch_path
 
@@ -84,33 +82,46 @@ def window_stream(
     )
 
 
-def carry_serial_stream(messages: DataFrame) -> DataFrame:
-    """Serial carry-forward per source with keyed state.
+def carry_serial_stream(
+    messages: DataFrame, serials_path: str, out_path: str, checkpoint: str, chunk: int = 4096
+):
+    """Serial carry-forward per source across micro-batches.
 
-    Only the serial found in each message enters the keyed step, not the message text. A
-    micro-batch of one source arrives in Arrow chunks sorted here by position."""
-    rows = messages.select(
-        "src", "pos", ms.message_serial(F.col("message")).alias("own")
-    )
+    Inside a batch the sliced batch operator applies, so a busy source is spread over tasks; the
+    last serial of each source is kept in a versioned table (one row per source, one folder per
+    batch). Batch folders are overwritten on a retry, so each counts once."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        own = batch.withColumns(
+            {
+                "_own": ms.message_serial(F.col("message")),
+                "_part": F.floor(F.col("pos") / F.lit(chunk)).cast("bigint"),
+            }
+        )
+        rows = carry_last(own, ["src"], ["pos"], "_part", "_own", "device_serial")
+        at = F.when(F.col("_own").isNotNull(), F.col("pos"))
+        newest = own.groupBy("src").agg(F.max_by("_own", at).alias("last"))
+        before = _read_latest(batch.sparkSession, serials_path, batch_id, "src string, last string")
+        if before is not None:
+            earlier = before.withColumnRenamed("last", "_earlier")
+            rows = rows.join(earlier, "src", "left").withColumn(
+                "device_serial", F.coalesce("device_serial", "_earlier")
+            )
+            newest = newest.join(earlier, "src", "full").select(
+                "src", F.coalesce("last", "_earlier").alias("last")
+            )
+        rows.select(
+            *batch.columns, F.coalesce("device_serial", F.lit("unknown")).alias("device_serial")
+        ).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        newest.write.mode("overwrite").parquet(f"{serials_path}/batch-{batch_id}")
 
-    def run(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("pos")
-        serial = rows["own"].ffill()
-        serial = serial.fillna(last if last is not None else "unknown")
-        newest = rows["own"].dropna()
-        if len(newest):
-            state.update((newest.iloc[-1],))
-        yield pd.DataFrame({"src": key[0], "pos": rows["pos"], "device_serial": serial})
-
-    return rows.groupBy("src").applyInPandasWithState(
-        run,
-        "src STRING, pos BIGINT, device_serial STRING",
-        "serial STRING",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    return (
+        messages.writeStream.foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
@@ -140,7 +151,7 @@ def alert_stream(
         spark = batch.sparkSession
         ranked = fleet_percentile(batch)
         tail_path = f"{open_runs}/batch-{batch_id}"
-        earlier = _read_latest(spark, open_runs, batch_id, ranked)
+        earlier = _read_latest(spark, open_runs, batch_id, ranked.schema)
         window = ranked if earlier is None else earlier.unionByName(ranked.select(*earlier.columns))
         fresh = window.join(batch.select("device_serial").distinct(), "device_serial", "left_semi")
         sustained_alerts(fresh, registry, threshold, sustained, critical, slice=slice).write.mode(
@@ -169,8 +180,10 @@ def _open_tail(window: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _read_latest(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame | None:
-    """The tail written by the previous batch that had rows (none for the first)."""
+def _read_latest(
+    spark: SparkSession, path: str, batch_id: int, schema: StructType | str
+) -> DataFrame | None:
+    """The state written by the previous batch that had rows (none for the first)."""
     files = spark.sparkContext._jvm.org.apache.hadoop.fs
     root = files.Path(path)
     system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -181,5 +194,5 @@ def _read_latest(spark: SparkSession, path: str, batch_id: int, like: DataFrame)
     ids = [i for i in ids if i < batch_id and system.exists(files.Path(f"{path}/batch-{i}/_SUCCESS"))]
     if not ids:
         return None
-    return spark.read.schema(like.schema).parquet(f"{path}/batch-{max(ids)}")
+    return spark.read.schema(schema).parquet(f"{path}/batch-{max(ids)}")
 

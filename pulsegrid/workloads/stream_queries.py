@@ -58,7 +58,11 @@ def stream_windows(spark, sf):
 @query("stream_serial_carry", sql("SELECT src, pos, device_serial FROM parsed"))
 def stream_serial_carry(spark, sf):
     stream = _stream(ad.messages(spark, sf), "stream-messages")
-    return jobs.run_available(jobs.carry_serial_stream(stream), "serials")
+    out = scratch_path(spark, "stream-serials")
+    jobs.carry_serial_stream(
+        stream, scratch_path(spark, "last-serials"), out, scratch_path(spark, "serials-checkpoint")
+    ).awaitTermination()
+    return spark.read.parquet(out).select("src", "pos", "device_serial")
 
 
 @query("stream_dedup", sql("SELECT src, CAST(pos AS VARCHAR) AS control_id, message FROM messages"))

@@ -48,16 +48,16 @@ def test_runs_that_cross_micro_batches_match_the_batch_result(spark):
 def test_serial_state_survives_micro_batches(spark):
     source = scratch_path(spark, "msgs")
     text = lambda serial: "MSH|x" + (f"\rOBX|1|NM|1913^s^L|1|{serial}|" if serial else "")
-    got = {}
-    checkpoint, out = scratch_path(spark, "cp"), scratch_path(spark, "out")
-    for batch in ([("a", 1, "S1"), ("b", 1, None)], [("a", 3, None), ("a", 2, "S2"), ("b", 2, "T1")], [("a", 4, None), ("b", 3, None)]):
+    state, checkpoint, out = (scratch_path(spark, n) for n in ("state", "cp", "out"))
+    for batch in ([("a", 1, "S1"), ("b", 1, None)], [("a", 3, None), ("a", 2, "S2"), ("b", 2, "T1")], [("a", 4, None), ("b", 3, None)], [("b", 4, None)], [("a", 5, None)]):
         rows = [(s, p, text(v)) for s, p, v in batch]
         df = spark.createDataFrame(rows, "src string, pos long, message string")
         df.write.mode("append").parquet(source)
-        stream = jobs.carry_serial_stream(spark.readStream.schema(df.schema).parquet(source))
-        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        jobs.carry_serial_stream(stream, state, out, checkpoint, chunk=2).awaitTermination()
     got = {(r.src, r.pos): r.device_serial for r in spark.read.parquet(out).collect()}
-    assert got == {("a", 1): "S1", ("b", 1): "unknown", ("a", 2): "S2", ("a", 3): "S2", ("b", 2): "T1", ("a", 4): "S2", ("b", 3): "T1"}
+    assert got == {("a", 1): "S1", ("b", 1): "unknown", ("a", 2): "S2", ("a", 3): "S2", ("b", 2): "T1", ("a", 4): "S2", ("b", 3): "T1",
+                   ("b", 4): "T1", ("a", 5): "S2"}
 
 
 def test_resent_messages_are_dropped_across_batches(spark):
