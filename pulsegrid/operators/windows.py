@@ -44,12 +44,12 @@ def cadence(wide: DataFrame, slice: str = SLICE) -> DataFrame:
 
 
 def window_sizes(cadence_s: Column, window: str, step: str, sizing: str) -> tuple[Column, Column]:
-    """Rows per window and rows per step. ``reference`` sizing takes the step as the sampling
+    """Rows per window and rows per step. ``by_step`` sizing takes the step as the sampling
     interval whenever the data is at least that dense; ``duration`` uses the true interval."""
-    if sizing not in ("reference", "duration"):
+    if sizing not in ("by_step", "duration"):
         raise ValueError(f"unknown sizing: {sizing!r}")
     base = cadence_s
-    if sizing == "reference":
+    if sizing == "by_step":
         base = F.greatest(cadence_s, F.lit(float(seconds(step))))
     rows = lambda span: F.greatest(F.lit(1), F.bround(F.lit(float(seconds(span))) / base, 0)).cast("bigint")
     return rows(window), rows(step)
@@ -60,7 +60,7 @@ def place_rows(
     features: list[str],
     window: str = "30min",
     step: str = "5min",
-    sizing: str = "reference",
+    sizing: str = "by_step",
     slice: str = SLICE,
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
@@ -104,7 +104,7 @@ def sliding_windows(
     features: list[str],
     window: str = "30min",
     step: str = "5min",
-    sizing: str = "reference",
+    sizing: str = "by_step",
     slice: str = SLICE,
     block_windows: int = BLOCK_WINDOWS,
     max_span: str | None = None,
@@ -194,7 +194,7 @@ def window_summaries(
     features: list[str],
     window: str = "30min",
     step: str = "5min",
-    sizing: str = "reference",
+    sizing: str = "by_step",
     slice: str = SLICE,
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:

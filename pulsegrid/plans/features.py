@@ -22,7 +22,7 @@ class FeaturePlan:
     max_gap: str = "5min"
     window: str = "30min"
     step: str = "5min"
-    sizing: str = "reference"
+    sizing: str = "by_step"
     variable_ids: list[int] = field(default_factory=lambda: list(fixed.ALL_IDS))
     status: list[str] | None = None
     features: list[str] | None = None

@@ -30,7 +30,7 @@ def by_hand(df, window, step, sizing):
         if len(at) < 2:
             continue
         gap = np.median(np.diff(at).astype("timedelta64[s]").astype(float))
-        base = step if sizing == "reference" and gap <= step else gap
+        base = step if sizing == "by_step" and gap <= step else gap
         win, hop = max(1, round(window / base)), max(1, round(step / base))
         x = part[FEATURES].to_numpy(dtype=float)
         for i, start in enumerate(range(0, len(at) - win + 1, hop)):
@@ -53,7 +53,7 @@ SPECS = {
 
 @pytest.mark.filterwarnings("ignore")
 @pytest.mark.parametrize("spec", SPECS)
-@pytest.mark.parametrize("sizing", ["reference", "duration"])
+@pytest.mark.parametrize("sizing", ["by_step", "duration"])
 @pytest.mark.parametrize("slice,block", [("1h", 4), ("1d", 512)])
 def test_windows_match_plain_python(spark, spec, sizing, slice, block):
     df = frame(spark, SPECS[spec])
