@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,13 +28,31 @@ def build_session(app: str = "pulsegrid", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="run-"), "pulsegrid")
+        archive = shutil.make_archive(base, "zip", root_dir=here, base_dir="pulsegrid")
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (a local test) a scratch folder is made and set.
+    Only where the session names none and the master is local, a scratch folder is made and set; on
+    a cluster executors could not see it, so there the setting must be given.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="run-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
