@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import decontaminate, langid, packing, secrets, simhash, substring
+from pulsegrid.llm import brown, collisions, decontaminate, langid, packing, secrets, simhash, substring
 from pulsegrid.llm.common import crc_fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_fold() == 1, F.lit(False))
+    model, vocab = brown.train(docs.where(~held_out).select("text"))
+    return brown.score(docs, model, vocab).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_vectors(read(spark, sf_dir, "embeddings")).withColumn(
+        "kept", F.col("vec_id") == F.col("component_id")
+    )
+
+
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
