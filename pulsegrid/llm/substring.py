@@ -30,21 +30,28 @@ class WordHashes(dict):
         return value
 
 
-def anchors(words: list[bytes], known: WordHashes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of every window of ``width`` words: where its anchor starts, and the anchor's hash. The anchor
-    is the group of ``gram`` words with the smallest hash, the first of equals."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def anchors(words: list[bytes], known: WordHashes, width: int, gram: int) -> np.ndarray:
+    """The anchor of every window of ``width`` words: the smallest hash of its groups of ``gram``
+    words."""
+    if len(words) < width:
+        return np.zeros(0, np.int64)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     m = len(words) - gram + 1
-    groups = np.zeros(m, np.uint64)
+    least = np.zeros(m, np.uint64)
     for k in range(gram):
-        groups = groups * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
-    groups = mix(groups)
-    span = width - gram + 1
-    at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(groups, span).argmin(axis=1)
-    return at, groups[at].view(np.int64)
+        least = least * np.uint64(0x9E3779B97F4A7C15) + h[k : k + m]
+    least, have, span = mix(least), 1, width - gram + 1
+    while have < span:  # minimum of so many neighbours, doubled until the window is full
+        step = min(have, span - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return least.view(np.int64)
+
+
+def _borders(hashes: np.ndarray) -> np.ndarray:
+    """Where a run of equal anchors begins, and the number of windows at the end."""
+    change = np.flatnonzero(hashes[1:] != hashes[:-1]) + 1
+    return np.concatenate([[0], change, [len(hashes)]])
 
 
 class SuffixAutomaton:
@@ -154,7 +161,7 @@ def _judge(width: int):
 
 
 def repeated_passages(
-    docs: DataFrame, width: int = 13, gram: int = 4, hot: int = 20_000
+    docs: DataFrame, width: int = 13, gram: int = 6, hot: int = 20_000
 ) -> DataFrame:
     """Passages of ``docs`` (doc_id, text) that a document with a smaller id holds: rows (doc_id,
     th, spans), th the 64-bit hash of the text and spans an array of (start, n): from word ``start``
@@ -170,16 +177,20 @@ def repeated_passages(
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            found = [np.unique(anchors(t.split(), known, width, gram)[1]) for t in texts(batch.column("text"))]
+            found = [anchors(t.split(), known, width, gram) for t in texts(batch.column("text"))]
+            found = [f[_borders(f)[:-1]] if len(f) else f for f in found]
             ids = np.repeat(batch.column("doc_id").to_numpy(), [len(f) for f in found])
             yield pa.record_batch({"anchor": pa.array(np.concatenate(found)), "doc_id": pa.array(ids)})
 
-    occurs = some.mapInArrow(anchored, "anchor long, doc_id long")
+    occurs = cut(some.mapInArrow(anchored, "anchor long, doc_id long"), "anchors")
     shared = (
         occurs.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
         .where("a < b").select("anchor")
     )
-    marks = occurs.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("marks"))
+    marks = cut(
+        occurs.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("marks")),
+        "marks",
+    )
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -190,20 +201,20 @@ def repeated_passages(
                 texts(batch.column("text")), batch.column("marks"),
             ):
                 words = text.split()
-                at, hashes = anchors(words, known, width, gram)
-                picked = np.isin(hashes, own.values.to_numpy())
+                hashes = anchors(words, known, width, gram)
+                if not len(hashes):
+                    continue
                 # a stretch: neighbouring windows with one anchor
-                edges = np.flatnonzero(np.diff(at)) + 1
-                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(at)]):
-                    if a < b and picked[a]:
-                        seg = b" ".join(words[a : b - 1 + width])
-                        rows.append((doc, th, a, b - a, int(hashes[a]), seg.decode()))
+                edges = _borders(hashes)
+                at = np.flatnonzero(np.isin(hashes[edges[:-1]], own.values.to_numpy()))
+                for a, b in zip(edges[at].tolist(), edges[at + 1].tolist()):
+                    seg = b" ".join(words[a : b - 1 + width])
+                    rows.append((doc, th, a, b - a, int(hashes[a]), seg))
             columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
-            yield pa.record_batch(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["doc_id", "th", "start", "n", "anchor", "seg"],
-            )
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            arrays[-1] = arrays[-1].cast(pa.string())
+            yield pa.record_batch(arrays, names=["doc_id", "th", "start", "n", "anchor", "seg"])
 
     segs = cut(
         some.withColumn("th", F.xxhash64("text")).join(marks, "doc_id")
@@ -249,7 +260,7 @@ def repeated_passages(
     )
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, gram: int = 4, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, gram: int = 6, hot: int = 20_000) -> DataFrame:
     """``docs`` (doc_id, text) without the words covered by a window of ``width`` words that also
     starts in a document with a smaller doc_id: rows (doc_id, n_words, n_removed, kept), kept words
     joined by one space.
