@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import weakref
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pulsegrid.session import materialize
+from pulsegrid.session import scratch_path
 
 #: Bytes that separate words where a contract says ``[^\x20\x09-\x0D]+``; ``bytes.split()`` splits
 #: at exactly these.
@@ -28,12 +29,29 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     The finished job's shuffle files are let go: Spark drops them once the driver has collected the
     objects that name them.
     """
-    out = materialize(df, label)
+    spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    del df
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
     return out
 
 
+_written: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once what was made of them is written itself."""
+    for table in tables:
+        found = _written.pop(id(table), None)
+        if found and found[0]() is table:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(found[1])
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def arrow_map(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
@@ -133,7 +151,8 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
     for _ in range(rounds):
         if not seen[0]:
             break
-        now = cut(step(step(now, True), False), label)
+        before, now = now, cut(step(step(now, True), False), label)
+        release(before)
         fresh = state(now)
         if fresh == seen:
             break

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.llm.common import cut, mix, texts
+from pulsegrid.llm.common import cut, mix, release, texts
 
 
 class WordHashes(dict):
@@ -191,6 +191,7 @@ def repeated_passages(
         occurs.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("marks")),
         "marks",
     )
+    release(occurs)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -222,6 +223,7 @@ def repeated_passages(
         .withColumn("sh", F.xxhash64("seg")),
         "stretches",
     )
+    release(marks)
     distinct = cut(
         segs.groupBy("anchor", "seg").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
         .withColumn("sh", F.xxhash64("seg")),
@@ -247,6 +249,7 @@ def repeated_passages(
     verdict = cut(
         distinct.select("anchor", "sh", "doc").join(windows, ["anchor", "sh"]), "judged-stretches"
     )
+    release(distinct)
     whole = F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("n")))
     spans = (
         segs.select("doc_id", "th", "start", "n", "anchor", "sh").join(verdict, ["anchor", "sh"])
