@@ -229,19 +229,24 @@ def repeated_passages(
         .withColumn("sh", F.xxhash64("seg")),
         "distinct-stretches",
     )
-    crowded = distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
-    words = F.split("seg", " ")
-    by_window = (
-        distinct.join(crowded, "anchor", "left_semi")
-        .withColumn("off", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .withColumn("seg", F.array_join(F.slice(words, F.col("off") + 1, width), " "))
-        .withColumn("key", F.xxhash64("seg"))
-    )
-    by_anchor = distinct.join(crowded, "anchor", "left_anti").withColumns(
-        {"key": F.col("anchor"), "off": F.lit(0)}
+    crowded = cut(
+        distinct.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "crowded-anchors"
     )
     columns = ["key", "doc", "anchor", "sh", "off", "seg"]
-    dealt = by_anchor.select(*columns).unionByName(by_window.select(*columns)).repartition("key")
+    by_anchor = distinct.withColumns({"key": F.col("anchor"), "off": F.lit(0)})
+    if crowded.isEmpty():
+        dealt = by_anchor.select(*columns)
+    else:
+        by_window = (
+            distinct.join(crowded, "anchor", "left_semi")
+            .withColumn("off", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+            .withColumn("seg", F.array_join(F.slice(F.split("seg", " "), F.col("off") + 1, width), " "))
+            .withColumn("key", F.xxhash64("seg"))
+        )
+        dealt = by_anchor.join(crowded, "anchor", "left_anti").select(*columns).unionByName(
+            by_window.select(*columns)
+        )
+    dealt = dealt.repartition("key")
     judged = dealt.sortWithinPartitions("key", "doc").mapInArrow(
         _judge(width), "anchor long, sh long, runs array<struct<off:int,n:int>>"
     )
