@@ -100,21 +100,52 @@ MEASUREMENT_NAME = "pdm_medical_device"
 # --- fixed values: labels and units of the variables this library interprets ---------------------
 # (id, label, unit). A site's complete label list is passed as the `catalog` parameter instead.
 LABELS = [
-    ("386", "Device Calibration Status", "unitless"),
+    ("286", "Generic Alarm 2", "unitless"),
+    ("294", "Generic Alarm 10", "unitless"),
+    ("295", "Generic Alarm 11", "unitless"),
+    ("296", "Generic Alarm 12", "unitless"),
+    ("297", "Generic Alarm 13", "unitless"),
+    ("298", "Generic Alarm 14", "unitless"),
+    ("420", "EtCO2 (CO2)", "%"),
     ("538", "Device Language", "unitless"),
     ("584", "Ventilation Mode", "unitless"),
     ("635", "Inspired O2 (FiO2)", "%"),
+    ("757", "Patient Body Weight", "kg"),
     ("801", "Generic Device Status", "unitless"),
     ("802", "Generic Device Status 2", "unitless"),
     ("803", "Generic Device Status 3", "unitless"),
     ("804", "Generic Device Status 4", "unitless"),
+    ("808", "Preoxygenation Status", "unitless"),
+    ("809", "Postoxygenation Status", "unitless"),
+    ("955", "Battery Running Alarm", "unitless"),
+    ("1188", "Low Expired Tidal Volume Alarm", "unitless"),
+    ("1190", "I:E Ratio", "unitless"),
     ("1310", "Compliance", "mL/cmH2O"),
     ("1314", "Spontaneous Respiration Rate", "1/min"),
+    ("1318", "Static Compliance", "mL/cmH2O"),
     ("1319", "Static Resistance", "cmH2O/L/s"),
+    ("1320", "Mandatory Respiration Rate Setting", "1/min"),
+    ("1321", "Tidal Volume Setting", "mL"),
+    ("1347", "Inspiratory Time", "s"),
+    ("1348", "Expiratory Time", "s"),
+    ("1360", "Nebulizer Activation Status", "unitless"),
+    ("1361", "O2 Suction Status", "unitless"),
+    ("1370", "Battery Low Alarm", "unitless"),
+    ("1381", "Inspiratory Flow Setting", "L/min"),
+    ("1383", "Inspiratory Flow Trigger Setting", "L/min"),
+    ("1398", "Minute Volume Setting", "mL/kg/min"),
+    ("1408", "Inspiratory Rise Time Setting", "s"),
     ("1410", "Patient Category (Ventilator)", "unitless"),
     ("1414", "Peak Airway Pressure", "cmH2O"),
     ("1415", "Mean Airway Pressure", "cmH2O"),
+    ("1425", "Delta Esophageal Pressure", "mbar"),
+    ("1569", "Minimum Airway Pressure", "cmH2O"),
+    ("1657", "Expiratory Trigger Level Setting", "%"),
     ("1761", "Airway Resistance", "cmH2O/L/s"),
+    ("1762", "Extrinsic PEEP", "cmH2O"),
+    ("1763", "Static Plateau Airway Pressure", "cmH2O"),
+    ("1764", "Static Extrinsic PEEP", "cmH2O"),
+    ("1816", "Air Pressure Sensor Alarm", "unitless"),
     ("1817", "O2 Pressure Sensor Alarm", "unitless"),
     ("1889", "Device Standby Status", "unitless"),
     ("1913", "Device Serial Number", "unitless"),
@@ -123,33 +154,166 @@ LABELS = [
     ("2092", "Inspired Minute Volume", "L"),
     ("2097", "Air Supply Pressure", "kPa"),
     ("2098", "O2 Supply Pressure", "kPa"),
+    ("2102", "Inspiratory Time Setting", "s"),
+    ("2104", "Positive End Expiratory Pressure (PEEP) Setting", "cmH2O"),
+    ("2117", "High Airway Pressure Alarm", "unitless"),
+    ("2119", "Generic Gas Supply Alarm", "unitless"),
+    ("2120", "Battery Alarm", "unitless"),
+    ("2122", "Device Hardware Error", "unitless"),
+    ("2132", "AC Power Supply Failure Alarm", "unitless"),
+    ("2255", "Device Date/Time", "unitless"),
     ("2324", "Inspired Tidal Volume", "mL"),
     ("2325", "Expired Tidal Volume", "mL"),
     ("2326", "Expired Minute Volume", "L/min"),
+    ("2432", "Expired Spontaneous Tidal Volume", "mL"),
+    ("2434", "Spontaneous Expired Minute Volume", "L"),
+    ("2446", "Apnea Activation Status", "unitless"),
+    ("2546", "Low Expired Minute Volume Alarm", "unitless"),
+    ("2583", "I:E Ratio Setting", "unitless"),
+    ("2759", "Support Pressure Setting", "cmH2O"),
     ("2776", "Total PEEP", "cmH2O"),
     ("2782", "Inspired O2 (FiO2) Setting", "%"),
+    ("2879", "Device Software Revision", "unitless"),
     ("2895", "Device Displayed Unit Code of CO2", "unitless"),
     ("2899", "Flow Sensor Type", "unitless"),
+    ("2904", "Inspired CO2 Percentage", "%"),
+    ("2968", "Plateau Airway Pressure", "cmH2O"),
+    ("2973", "Patient Disconnected Alarm", "unitless"),
+    ("2987", "Inspired Pressure Setting", "cmH2O"),
+    ("2994", "Device Alarm Audio Volume", "unitless"),
     ("2996", "Drive Gas Type", "unitless"),
+    ("31060", "Low Unspecified Respiration Rate Alarm", "unitless"),
+    ("32210", "Low Unspecified Tidal Volume Alarm", "unitless"),
+    ("32220", "Low Unspecified Minute Volume Alarm", "unitless"),
+    ("3258", "Airway Pressure Alarm", "unitless"),
+    ("3425", "Ambient Atmospheric Pressure", "mbar"),
+    ("3668", "Generic Delta Pressure", "mbar"),
+    ("3717", "Generic Pressure Module Error", "unitless"),
+    ("386", "Device Calibration Status", "unitless"),
     ("3888", "Sigh Breath Status", "unitless"),
+    ("3907", "Control Breath Status", "unitless"),
+    ("3981", "Battery Remaining Time", "min"),
     ("4024", "Fresh Gas O2 Flow Rate", "L/min"),
     ("4113", "Fresh Gas Air Flow Rate", "L/min"),
+    ("4164", "Minimum Airway Pressure Setting", "mbar"),
+    ("4289", "Battery Charge Alarm", "unitless"),
+    ("4390", "Device Alarm Silence Status", "unitless"),
+    ("4987", "Apnea Ventilation Delay", "s"),
+    ("4992", "Maximum Inspired Pressure Setting", "cmH2O"),
+    ("5005", "Mechanical Ventilation Activated Status", "unitless"),
+    ("50021", "Device Alarm Inactivation State", "unitless"),
     ("50203", "Device Model", "unitless"),
+    ("5029", "Pressure Ramp Setting (ASB Ramp)", "s"),
+    ("50212", "Device Software Revision", "unitless"),
+    ("51052", "SpO2 Pulse Rate", "1/min"),
+    ("51107", "SpO2", "%"),
+    ("52112", "Mandatory Respiration Rate", "1/min"),
+    ("52211", "Expired Tidal Volume", "mL"),
+    ("52252", "Airway Dead Space", "mL"),
+    ("52253", "Alveolar Tidal Ventilation", "mL"),
+    ("52254", "Lung Trapped Volume", "mL"),
+    ("52323", "Intrinsic PEEP (PEEPi)", "cmH2O"),
+    ("52341", "P0.1 Occlusion Pressure", "cmH2O"),
+    ("52515", "End Tidal CO2 Partial Pressure", "mmHg"),
+    ("52517", "Inspired CO2 Partial Pressure", "mmHg"),
+    ("52865", "CO2 Minute Production", "mL/min"),
+    ("5359", "Airway Peak Flow Setting", "L/min"),
+    ("5374", "Expiratory Time Constant (RCexp)", "s"),
+    ("54013", "Ventilation Mode", "unitless"),
+    ("54021", "Ventilation Mode Primary", "unitless"),
+    ("54022", "Ventilation Mode Options", "unitless"),
+    ("54072", "Ventilator Work of Breathing", "J/L"),
+    ("5647", "Ventilation Bias Flow Setting", "L/min"),
+    ("5712", "Low EtCO2 Alarm", "unitless"),
+    ("5713", "High EtCO2 Alarm", "unitless"),
     ("5945", "Total Respiration Rate", "1/min"),
+    ("5972", "Next Ventilation Action Delay Setting", "s"),
+    ("7540", "Circuit Leak Rate (Auto Mode)", "mL/min"),
+    ("6287", "Patient Circuit Leak Alarm", "unitless"),
     ("6388", "Endotracheal Tube Type", "unitless"),
+    ("6389", "Endotracheal Tube Size", "mm"),
     ("6501", "O2 Replacement Alarm", "unitless"),
+    ("6507", "Device Display Failure", "unitless"),
+    ("6986", "SBT Respiration Rate", "1/min"),
+    ("6992", "Volume Limited Alarm", "unitless"),
+    ("71063", "High Airway Respiration Rate Alarm", "unitless"),
+    ("72111", "High Spontaneous Respiration Rate Alarm", "unitless"),
+    ("72210", "High Unspecified Tidal Volume Alarm", "unitless"),
+    ("72220", "High Unspecified Minute Volume Alarm", "unitless"),
+    ("72312", "High Mean Airway Pressure Alarm", "unitless"),
+    ("72313", "High Plateau Airway Pressure Alarm", "unitless"),
     ("7452", "Device Operation Mode", "unitless"),
     ("7629", "O2 Sensor Disconnected Alarm", "unitless"),
+    ("7669", "Tidal Volume Indexed By Body Weight Setting", "mL/kg"),
+    ("7871", "Truncated Value of Airway Resistance", "cmH2O/L/s"),
+    ("7914", "Device Model", "unitless"),
+    ("7937", "Cuff Inflation Pressure", "mbar"),
+    ("7974", "Low Airway Pressure Alarm", "unitless"),
+    ("8023", "Spontaneous Respiration Rate Alarm", "unitless"),
     ("8024", "Circuit O2 Alarm", "unitless"),
+    ("810", "Inspiratory Sensor Disconnected Alarm", "unitless"),
+    ("811", "Expiratory Sensor Disconnected Alarm", "unitless"),
+    ("812", "Fresh Gas Alarm", "unitless"),
+    ("822", "Battery Charger Failure", "unitless"),
+    ("826", "Device Internal Temperature Alarm", "unitless"),
+    ("8301", "Nebulizer Error", "unitless"),
+    ("8304", "Front Panel Button Error", "unitless"),
+    ("8382", "Peak Inspiratory Pressure Setting", "cmH2O"),
     ("8545", "Device Displayed Unit Code of Pressure", "unitless"),
     ("8546", "Device Displayed Unit Code of Flow", "unitless"),
     ("8556", "Airway Pressure Measurement Source", "unitless"),
     ("8557", "Flow Measurement Source", "unitless"),
     ("8558", "O2 Measurement Source", "unitless"),
+    ("8559", "Patient Circuit Leak Alarm Limit", "%"),
+    ("8562", "End Flow Setting", "%"),
+    ("8577", "Sub-Atmospheric Paw Alarm", "unitless"),
+    ("8578", "Pmax Reached Alarm", "unitless"),
+    ("8579", "Plimit Reached Alarm", "unitless"),
+    ("8580", "PIP Not Achieved Alarm", "unitless"),
+    ("8581", "PEEP Not Achieved Alarm", "unitless"),
+    ("8582", "Circuit Occlusion Alarm", "unitless"),
+    ("8584", "Inspiration Stopped Alarm", "unitless"),
+    ("8589", "High Expired Tidal Volume Alarm", "unitless"),
+    ("8591", "Volume Apnea Alarm", "unitless"),
     ("8596", "Low FiO2 Alarm", "unitless"),
     ("8597", "High FiO2 Alarm", "unitless"),
+    ("8598", "Low Respiration Rate Alarm", "unitless"),
+    ("8599", "High Respiration Rate Alarm", "unitless"),
+    ("8601", "High FiCO2 Alarm", "unitless"),
+    ("8606", "Battery Failure Alarm", "unitless"),
+    ("8611", "Fan Failure", "unitless"),
+    ("8612", "Heater Failure", "unitless"),
+    ("8613", "Breathing System Failure Alarm", "unitless"),
+    ("8622", "Primary Audio Failure", "unitless"),
+    ("8623", "Backup Audio Failure", "unitless"),
     ("8625", "High O2 Supply Pressure Alarm", "unitless"),
+    ("8626", "Air Supply Pressure Alarm", "unitless"),
     ("8627", "Backup Mode Active Status", "unitless"),
+    ("8631", "Vent Check Date", "unitless"),
+    ("9123", "SBT Duration Setting", "min"),
+    ("9145", "RSBI", "unitless"),
+    ("9150", "Circuit Compliance Compensation Factor", "%"),
+    ("92611", "Air Supply Alarm", "unitless"),
+    ("92612", "O2 Supply Alarm", "unitless"),
+    ("9277", "Circuit Compliance Level Setting", "mL/cmH2O"),
+    ("9285", "Inspiratory Flow Due to Nebulizer", "L/min"),
+    ("9288", "Tidal Volume Indexed By Body Weight", "mL/kg"),
+    ("9476", "Percent of Leakage", "%"),
+    ("9584", "High Expired Minute Volume Alarm", "unitless"),
+    ("9891", "Leakage Valve Alarm", "unitless"),
+    ("9998", "Watchdog Present", "unitless"),
+    ("1131101", "Turbine Filter Replacement Remaining Time", "h"),
+    ("1131102", "Extent Compensation Resistance Setting", "%"),
+    ("1131103", "Extent Compensation Compliance Setting", "%"),
+    ("1131104", "Weaning SAT Performed Time", "unitless"),
+    ("1131201", "High Circuit O2 Alarm", "unitless"),
+    ("1131202", "PAPS Implausible Alarm", "unitless"),
+    ("1131203", "Airway Pressure Negative Alarm", "unitless"),
+    ("1131204", "Defective Cuff Alarm", "unitless"),
+    ("1131205", "High Cuff Pressure Alarm", "unitless"),
+    ("1131206", "Low Resistance Alarm", "unitless"),
+    ("1131207", "High Resistance Alarm", "unitless"),
+    ("1131208", "Pressure Limitation Alarm", "unitless"),
 ]
 
 # --- fixed values: coded values, variable id -> {code: text} -------------------------------------

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 SMALL = 200_000
 BUCKETS = 1024
+MOST = 8e307
 
 
 def exact_quantiles(
     df: DataFrame, columns: list[str], q: float, small: int = SMALL
 ) -> dict[str, float | None]:
-    """Linear-interpolated quantile of each column, nulls ignored.
+    """Linear-interpolated quantile of each column; nulls and NaN are ignored, infinities are the
+    smallest and largest values.
 
     A column's value range is narrowed round by round: count rows per bucket of the current range
     (a bounded, map-side combined aggregate) and keep the bucket that holds the wanted rank, until
@@ -21,6 +23,7 @@ def exact_quantiles(
     start small skip the rounds. Only per-column bounds reach the driver. ``df`` is scanned once
     per round (two or three rounds cover 10^11 rows), so it should be a stored table.
     """
+    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
     stats = df.agg(
         *[F.expr(f"count({c}) as n{i}") for i, c in enumerate(columns)],
         *[F.expr(f"cast(min({c}) as double) as lo{i}") for i, c in enumerate(columns)],
@@ -45,14 +48,26 @@ def exact_quantiles(
             continue
         at = q * (stats[f"n{i}"] - 1)
         low, high = found[(c, math.floor(at))], found[(c, math.ceil(at))]
-        out[c] = low + (high - low) * (at - math.floor(at))
+        share = at - math.floor(at)
+        out[c] = low + (high - low) * share if share and low != high else low
     return out
 
 
+def _literal(x: float) -> str:
+    return f"{x!r}D" if math.isfinite(x) else f"cast('{x}' as double)"
+
+
+def _bucket(lo: float, hi: float) -> str:
+    """Bucket of ``x``; infinite bounds stand beyond half the largest number."""
+    lo, hi = max(lo, -MOST), min(hi, MOST)
+    inside = f"least(greatest(x, {lo!r}D), {hi!r}D)"
+    return f"least(floor(({inside} - {lo!r}D) / {(hi / BUCKETS - lo / BUCKETS)!r}D), {BUCKETS - 1})"
+
+
 def _values(df: DataFrame, keys: list[tuple]) -> DataFrame:
     """Long ``(j, x)`` table of the values inside each key's range."""
     items = ", ".join(
-        f"case when {c} between {lo!r}D and {hi!r}D then struct({j} as j, cast({c} as double) as x) end"
+        f"case when {c} between {_literal(lo)} and {_literal(hi)} then struct({j} as j, cast({c} as double) as x) end"
         for j, (c, lo, hi) in enumerate(keys)
     )
     return df.selectExpr(f"inline(array_compact(array({items})))")
@@ -63,7 +78,7 @@ def _narrow(df: DataFrame, open_: dict, small: int) -> dict:
     todo = [k for k, (n, _) in open_.items() if n > small and k[1] < k[2]]
     left = {k: v for k, v in open_.items() if k not in todo}
     arms = " ".join(
-        f"when {j} then least(floor((x - {lo!r}D) / {(hi - lo) / BUCKETS!r}D), {BUCKETS - 1})"
+        f"when {j} then {_bucket(lo, hi)}"
         for j, (_, lo, hi) in enumerate(todo)
     )
     cells = (

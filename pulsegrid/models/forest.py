@@ -59,11 +59,6 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 def fit_nodes(vectors: DataFrame, trees: int, seed: int, sample: int, n: int) -> DataFrame:
     """Node table of a forest over ``vectors`` (key columns and ``x``)."""
     psi = min(sample, n)
-    pool = 64 * trees * psi
-    if n > 4 * pool:
-        # A uniform pool far larger than all trees together need; later steps see only the pool.
-        draw = F.pmod(F.xxhash64(*KEY, F.lit(seed)), F.lit(_SPACE))
-        vectors, n = vectors.where(draw < int(_SPACE * pool / n)), pool
     share = min(1.0, (psi + 6 * math.sqrt(psi) + 8) / n)
     draw = lambda t: F.pmod(F.xxhash64(*KEY, t, F.lit(seed + 1)), F.lit(_SPACE))
     chosen = vectors.select(

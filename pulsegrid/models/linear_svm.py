@@ -19,23 +19,20 @@ from pulsegrid.models.forest import KEY
 
 
 _SPACE = 1 << 50
-_TOP = 10_000
 
 
 def subsample(vectors: DataFrame, rows: int, seed: int) -> DataFrame:
     """The ``rows`` rows with the smallest key hash (the same ones for any partitioning).
 
-    A few rows are a top-k; many rows are cut at the exact hash value of the wanted rank, so they
-    stay spread over the cluster."""
+    They are cut halfway between the hashes of the last row wanted and the next, so they stay spread
+    over the cluster."""
     draw = F.pmod(F.xxhash64(*KEY, F.lit(seed)), F.lit(_SPACE))
-    if rows <= _TOP:
-        return vectors.orderBy(draw, *KEY).limit(rows)
     n = vectors.count()
     if n <= rows:
         return vectors
     hashed = vectors.select(draw.cast("double").alias("h"))
-    cut = exact_quantiles(hashed, ["h"], (rows - 1) / (n - 1))["h"]
-    return vectors.where(draw <= F.lit(round(cut)))
+    cut = exact_quantiles(hashed, ["h"], (rows - 0.5) / (n - 1))["h"]
+    return vectors.where(draw < F.lit(cut))
 
 
 @dataclass

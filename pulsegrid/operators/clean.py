@@ -47,9 +47,10 @@ def scan_range(
     end: dt.date | str | None = None,
     devices: list[str] | None = None,
     variables: list[int] | None = None,
-    ordered: bool = True,
+    ordered: bool = False,
 ) -> DataFrame:
-    """Half-open time range with optional device and variable lists, in time order.
+    """Half-open time range with optional device and variable lists; ``ordered`` sorts the whole
+    result by time.
 
     All predicates are plain column comparisons and reach the file scan."""
     if start is not None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid import fixed
 from pulsegrid.dims import lookup
+from pulsegrid.operators.state import newest_first
 
 
 def order_type(raw: Column) -> Column:
@@ -101,9 +102,9 @@ def learning_summary(labels: DataFrame, since: DataFrame | None = None) -> DataF
     )
 
 
-def reports_summary(alerts: DataFrame, labels: DataFrame, newest: int = 1000) -> DataFrame:
-    """Counts over the newest alerts and all labels."""
-    recent = alerts.orderBy(F.desc("timestamp"), F.desc("id")).limit(newest)
+def reports_summary(alerts: DataFrame, labels: DataFrame, newest: int | None = None) -> DataFrame:
+    """Counts over all alerts, or only the ``newest`` ones, and all labels."""
+    recent = alerts if newest is None else newest_first(alerts, "timestamp", newest)
     label_counts = learning_summary(labels)
     pick = lambda c: label_counts.select(c).scalar()
     return recent.agg(

@@ -31,7 +31,7 @@ def query_alerts(
     from_date: dt.date | str | None = None,
     to_date: dt.date | str | None = None,
     min_level: str | None = None,
-    limit: int | None = 100,
+    limit: int | None = None,
     notified_only: bool = False,
 ) -> DataFrame:
     """Newest alerts matching all given conditions; ``to_date`` includes its whole day."""
@@ -77,7 +77,7 @@ def score_history(
 
 
 def query_health(
-    health: DataFrame, job_name: str | None = None, status: str | None = None, limit: int | None = 10
+    health: DataFrame, job_name: str | None = None, status: str | None = None, limit: int | None = None
 ) -> DataFrame:
     if job_name is not None:
         health = health.where(F.col("job_name") == job_name)

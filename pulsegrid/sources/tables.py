@@ -29,7 +29,7 @@ def new_version(df: DataFrame, label: str) -> str:
 
 def read_work_orders(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
     """Work orders from a headed CSV export; unknown registration numbers keep a null device."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
     named = {h.strip(): h for h in raw.columns}
     present = [(named[h], name) for h, name in fixed.WORK_ORDER_HEADERS.items() if h in named]
     renamed = raw.select(*[F.col(f"`{h}`").alias(name) for h, name in present])
@@ -39,4 +39,4 @@ def read_work_orders(spark: SparkSession, path: str, registry: DataFrame) -> Dat
 def export_csv(df: DataFrame, path: str, by: str | None = None, limit: int | None = None) -> None:
     """Headed CSV folder; with ``limit`` only the newest rows by ``by``."""
     out = df if by is None else newest_first(df, by, limit)
-    out.write.option("header", True).csv(path)
+    out.write.option("header", True).option("escape", '"').csv(path)

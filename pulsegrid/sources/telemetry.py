@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.operators.clean import clean_long
+from pulsegrid.operators.clean import clean_long, fleet_only
 from pulsegrid.operators.evaluate import event_days
 
 
@@ -35,8 +35,11 @@ def extract_daily(
     end_date: dt.date | str | None = None,
     variable_ids: list[int] | None = None,
 ) -> None:
-    """Clean the raw table and store it by day. Both dates are inclusive."""
-    df = raw
+    """Clean the raw table and store it by day. Both dates are inclusive.
+
+    Columns are typed before they are compared, so an unreadable time or variable is no match rather
+    than an error; a column that has its type already is compared in the scan."""
+    df = clean_long(raw)
     if exclude_before is not None:
         df = df.where(F.col("timestamp") >= F.lit(str(exclude_before)).cast("timestamp"))
     if end_date is not None:
@@ -44,7 +47,7 @@ def extract_daily(
         df = df.where(F.col("timestamp") < after)
     if variable_ids is not None:
         df = df.where(F.col("variable_id").isin(list(variable_ids)))
-    write_daily(clean_long(df, registry), path)
+    write_daily(df if registry is None else fleet_only(df, registry), path)
 
 
 def load_fleet(spark: SparkSession, path: str) -> DataFrame:

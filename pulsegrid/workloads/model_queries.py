@@ -19,7 +19,7 @@ from pulsegrid.workloads import adapter as ad
 from pulsegrid.workloads import alignment_queries as aq
 from pulsegrid.workloads.registry import query
 
-TREES = 50
+TREES = 200
 NUMERIC, COLUMNS = ad.NUMERIC, aq.COLUMNS
 NOW = dt.datetime(2024, 2, 1)
 
@@ -55,7 +55,7 @@ def iforest_predict(spark, sf):
 @query("ocsvm_fit")
 def ocsvm_fit(spark, sf):
     vectors = _vectors(spark, sf)
-    return LinearOneClass.fit(vectors, steps=15).predict(vectors).drop("x")
+    return LinearOneClass.fit(vectors).predict(vectors).drop("x")
 
 
 def _tensors(spark, sf):

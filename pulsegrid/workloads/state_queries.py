@@ -30,7 +30,7 @@ _A = "id, device_serial, timestamp, alert_level, anomaly_score, fleet_percentile
 def alerts_query(spark, sf):
     return state.query_alerts(
         ad.alert_history(spark, sf), from_date="1997-01-01", to_date="1998-12-31",
-        min_level="warning", notified_only=True,
+        min_level="warning", notified_only=True, limit=100,
     )
 
 
@@ -65,7 +65,7 @@ _H = "id, timestamp, job_name, status, duration_ms, rows_processed, error_messag
     sql(f"SELECT {_H} FROM health WHERE job_name = 'daily_inference' AND status = 'failure' ORDER BY timestamp DESC, id DESC LIMIT 10"),
 )
 def health_query(spark, sf):
-    return state.query_health(ad.health(spark, sf), "daily_inference", "failure")
+    return state.query_health(ad.health(spark, sf), "daily_inference", "failure", limit=10)
 
 
 @query(
@@ -302,7 +302,7 @@ def learning_summary(spark, sf):
     "reports_summary",
     sql(f"""SELECT count(*) AS total_alerts, count(*) FILTER (alert_level <> 'normal') AS warning_plus,
         (SELECT count(*) FROM labels_table) AS total_labels, (SELECT {_FAULTS} FROM labels_table) AS confirmed_count
-        FROM (SELECT * FROM alert_history ORDER BY timestamp DESC, id DESC LIMIT 1000)"""),
+        FROM alert_history"""),
 )
 def reports_summary(spark, sf):
     return fb.reports_summary(ad.alert_history(spark, sf), ad.labels(spark, sf))
@@ -324,14 +324,14 @@ def pipeline_status(spark, sf):
     "export_alerts",
     sql("""SELECT CAST(id AS VARCHAR) AS id, device_serial, alert_level, CAST(notified AS VARCHAR) AS notified,
         strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, CAST(anomaly_score AS VARCHAR) AS anomaly_score
-        FROM (SELECT * FROM alert_history ORDER BY timestamp DESC, id DESC LIMIT 10000)"""),
+        FROM (SELECT * FROM alert_history)"""),
 )
 def export_alerts(spark, sf):
-    """Newest alerts as headed CSV, read back as text."""
+    """All alerts as headed CSV, read back as text."""
     rows = ad.alert_history(spark, sf).select(
         "id", "device_serial", "alert_level", "notified",
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "anomaly_score",
     )
     path = scratch_path(spark, "alerts-csv")
-    tables.export_csv(rows, path, "timestamp", 10_000)
+    tables.export_csv(rows, path)
     return spark.read.csv(path, header=True)
