@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.llm.common import texts
@@ -23,42 +22,32 @@ FAMILIES = {
 }
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_SPLIT = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
+_LETTERS = bytes(
+    c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)
+)
+_PIECE = 1 << 20
 
 
 def family(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang in members), lang)
 
 
-class Features:
-    """Hashed character n-grams (1 to 4 characters, with word borders) and whole words of a word;
-    a text's vector is the mean over its words. What a word gives is remembered, up to a bound."""
-
-    def __init__(self, size: int, keep: int = 200_000):
-        self.size, self.keep, self.known = size, keep, {}
-
-    def word(self, raw: bytes) -> np.ndarray:
-        got = self.known.get(raw)
-        if got is None:
-            text = f" {raw.decode('utf-8', 'replace').lower()} "
-            grams = [text[i : i + n] for n in (1, 2, 3, 4) for i in range(len(text) - n + 1)]
-            grams.append(f"={text}")
-            got = np.fromiter(
-                (xxhash.xxh32_intdigest(g.encode()) % self.size for g in grams), np.int32, len(grams)
-            )
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[raw] = got
-        return got
-
-    def vector(self, text: bytes) -> np.ndarray:
-        """Mean of the words' counts, each word's counts adding up to one."""
-        out = np.zeros(self.size, np.float32)
-        words = [w for w in _SPLIT.split(text) if w]
-        for w in words:
-            at = self.word(w)
-            np.add.at(out, at, np.float32(1.0 / len(at)))
-        return out / max(1, len(words))
+def gram_counts(text: bytes, size: int) -> tuple[np.ndarray, int]:
+    """Hashed counts of the byte n-grams (1 to 4) of a text, and their number. A-Z count in lower
+    case, and what is no letter is one space."""
+    line = b" " + b" ".join(text.translate(_LETTERS).split()) + b" "
+    counts, total = np.zeros(size, np.int64), 0
+    for at in range(0, len(line), _PIECE):  # bounded memory for very long texts
+        x = np.frombuffer(line[at : at + _PIECE + 3], np.uint8).astype(np.uint32)
+        new, h = min(_PIECE, len(line) - at), np.zeros(len(x), np.uint32)
+        for n in range(4):
+            h = (h[: len(x) - n] + np.uint32(n + 1)) * np.uint32(0x9E3779B1) ^ x[n:]
+            codes = (h * np.uint32(0x85EBCA6B) >> np.uint32(15)) & np.uint32(size - 1)
+            codes = codes[:new]
+            counts += np.bincount(codes, minlength=size)
+            total += len(codes)
+            h = h[:-1]
+    return counts, total
 
 
 @dataclass
@@ -177,14 +166,13 @@ def train(
     thin = rows.select("lang", "text", draw).where(F.col("draw") < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(size)
         for batch in batches:
             at, values = [], []
             for text in texts(batch.column("text")):
-                v = features.vector(text)
-                own = np.flatnonzero(v)
+                counts, total = gram_counts(text, size)
+                own = np.flatnonzero(counts)
                 at.append(own.astype(np.int32))
-                values.append(v[own])
+                values.append((counts[own] / total).astype(np.float32))
             yield pa.record_batch(
                 {
                     "lang": batch.column("lang"), "draw": batch.column("draw"),
@@ -247,38 +235,14 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 class _Judge:
-    """Applies a model to texts. A text's margin is the mean of its words' margins, and a word's
-    margins are remembered, up to a bound."""
+    """Applies a model to texts."""
 
-    def __init__(self, model: LanguageModel, keep: int = 200_000):
-        self.model, self.keep = model, keep
+    def __init__(self, model: LanguageModel):
+        self.model = model
         self.weights, self.bias = model.table()
-        self.features = Features(model.size, keep=1)
-        self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((keep, self.weights.shape[1]))
-
-    def _row(self, word: bytes) -> int:
-        if len(self.known) >= self.keep:
-            return -1
-        row = self.known[word] = len(self.known)
-        self.rows[row] = self.weights[self.features.word(word)].mean(axis=0)
-        return row
 
     def __call__(self, raw: bytes) -> tuple[str, float]:
-        text = raw.decode("utf-8", "replace")
-        if not _LETTER.search(text):
+        if not _LETTER.search(raw.decode("utf-8", "replace")):
             return UNKNOWN, 0.0
-        words = [w for w in _SPLIT.split(raw) if w]
-        total = np.zeros(self.weights.shape[1])
-        if len(self.known) + len(words) > self.keep:
-            self.known.clear()
-        for at in range(0, len(words), self.keep):
-            part = words[at : at + self.keep]
-            if at:
-                self.known.clear()
-            get, rows = self.known.get, []
-            for w in part:
-                row = get(w)
-                rows.append(self._row(w) if row is None else row)
-            total += self.rows[rows].sum(axis=0)
-        return self.model.decide(total / max(1, len(words)) + self.bias)
+        counts, total = gram_counts(raw, self.model.size)
+        return self.model.decide(counts @ self.weights / total + self.bias)
