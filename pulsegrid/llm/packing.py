@@ -24,7 +24,7 @@ class WordTokens:
     """Token ids of a text, word by word: the tokenizer treats parts between ASCII white space
     apart from each other, so a part's ids are remembered (the latest ``keep`` to twice as many)."""
 
-    def __init__(self, tokenizer: str, keep: int = 250_000):
+    def __init__(self, tokenizer: str, keep: int = 400_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -52,6 +52,25 @@ class WordTokens:
             for w, a, b in zip(fresh, bounds, bounds[1:]):
                 self.new[w] = tuple(ids[a:b])
 
+    def all(self, many: Iterator[bytes], together: int = 1 << 20) -> Iterator[list[int]]:
+        """Ids of many texts; new words of about ``together`` bytes of text are encoded at once."""
+        held, size = [], 0
+        for text in many:
+            held.append(text)
+            size += len(text)
+            if size >= together:
+                yield from self._some(held)
+                held, size = [], 0
+        yield from self._some(held)
+
+    def _some(self, held: list[bytes]) -> Iterator[list[int]]:
+        if sum(map(len, held)) <= 1 << 23:  # longer texts learn by parts
+            if len(self.new) > self.keep:
+                self.new, self.old = {}, self.new
+            self.learn(b" ".join(held).split())
+        for text in held:
+            yield self(text)
+
     def __call__(self, text: bytes) -> list[int]:
         words = text.split()
         ids: list[int] = []
@@ -75,8 +94,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
         encode = WordTokens(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-                ids = np.array([*encode(text), end_id], "<u4")
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encode.all(texts(batch.column("text")))):
+                ids = np.array([*found, end_id], "<u4")
                 for a in range(0, len(ids), capacity):
                     part = ids[a : a + capacity]
                     rows.append((doc, a, len(part), zlib.crc32(part.tobytes()), len(ids)))

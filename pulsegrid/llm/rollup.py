@@ -23,9 +23,9 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataF
         encode = WordTokens(tokenizer)
         for batch in batches:
             words, tokens = [], []
-            for text in texts(batch.column("text")):
+            for text, ids in zip(texts(batch.column("text")), encode.all(texts(batch.column("text")))):
                 words.append(len(text.split()))
-                tokens.append(len(encode(text)))
+                tokens.append(len(ids))
             names = ["doc_id", "source", "lang", "th", "words", "tokens"]
             yield pa.record_batch(
                 [*(batch.column(c) for c in names[:4]), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())],
