@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.llm.common import cut, texts
 
+#: A special token of the tokenizer, set between words that are encoded together.
+BORDER = "<|endoftext|>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -30,11 +31,12 @@ class WordTokens:
 
         path = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
         self.coder, self.keep = Tokenizer.from_file(path), keep
-        self.new: dict[bytes, tuple[int, ...]] = {}
-        self.old: dict[bytes, tuple[int, ...]] = {}
+        self.border = self.coder.token_to_id(BORDER)
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode the words not remembered, all in one text, and share its ids out by position."""
+        """Encode the words not remembered, all in one text with a special token between them."""
         fresh = []
         for w in set(words):
             if w not in self.new:
@@ -42,17 +44,22 @@ class WordTokens:
                     fresh.append(w)
                 else:
                     self.new[w] = ids
-        if fresh:
-            parts = [w.decode() for w in fresh]
-            got = self.coder.encode(" ".join(parts), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(p) + 1 for p in parts])
-            ids = got.ids
-            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
-            bounds = np.searchsorted(at, starts).tolist()
-            for w, a, b in zip(fresh, bounds, bounds[1:]):
-                self.new[w] = tuple(ids[a:b])
+        # ids are kept as bytes: millions of tuples would keep Python's collector busy
+        plain = [w for w in fresh if self.border is not None and b"<|" not in w]
+        if plain:
+            line = BORDER.join(w.decode() for w in plain)
+            got = np.array(self.coder.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(got == self.border).tolist(), len(got)]
+            raw, a = got.tobytes(), 0
+            for w, b in zip(plain, ends):
+                self.new[w] = raw[4 * a : 4 * b]
+                a = b + 1
+        for w in fresh:
+            if w not in self.new:
+                ids = self.coder.encode(w.decode(), add_special_tokens=False).ids
+                self.new[w] = np.array(ids, "<u4").tobytes()
 
-    def all(self, many: Iterator[bytes], together: int = 1 << 20) -> Iterator[list[int]]:
+    def all(self, many: Iterator[bytes], together: int = 1 << 20) -> Iterator[np.ndarray]:
         """Ids of many texts; new words of about ``together`` bytes of text are encoded at once."""
         held, size = [], 0
         for text in many:
@@ -63,7 +70,7 @@ class WordTokens:
                 held, size = [], 0
         yield from self._some(held)
 
-    def _some(self, held: list[bytes]) -> Iterator[list[int]]:
+    def _some(self, held: list[bytes]) -> Iterator[np.ndarray]:
         if sum(map(len, held)) <= 1 << 23:  # longer texts learn by parts
             if len(self.new) > self.keep:
                 self.new, self.old = {}, self.new
@@ -71,9 +78,9 @@ class WordTokens:
         for text in held:
             yield self(text)
 
-    def __call__(self, text: bytes) -> list[int]:
+    def __call__(self, text: bytes) -> np.ndarray:
         words = text.split()
-        ids: list[int] = []
+        ids: list[bytes] = []
         for i in range(0, len(words), self.keep):
             part = words[i : i + self.keep]
             if len(self.new) > self.keep:
@@ -83,8 +90,8 @@ class WordTokens:
             except KeyError:
                 self.learn(part)
                 found = list(map(self.new.__getitem__, part))
-            ids += chain.from_iterable(found)
-        return ids
+            ids += found
+        return np.frombuffer(b"".join(ids), "<u4")
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
@@ -95,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
         for batch in batches:
             rows: list[tuple] = []
             for doc, found in zip(batch.column("doc_id").to_pylist(), encode.all(texts(batch.column("text")))):
-                ids = np.array([*found, end_id], "<u4")
+                ids = np.append(found, np.uint32(end_id)).astype("<u4")
                 for a in range(0, len(ids), capacity):
                     part = ids[a : a + capacity]
                     rows.append((doc, a, len(part), zlib.crc32(part.tobytes()), len(ids)))

@@ -51,7 +51,7 @@ def test_word_memory_gives_the_tokenizer_s_ids():
     texts = ["Hello's  world\n\tÀé é ́x <|endoftext|>a b<|startoftext|> don't 12345", " a b 　", "a" * 5000, ""]
     encode = packing.WordTokens("word_bpe_49k.json", keep=3)
     for text in texts * 2:
-        assert encode(text.encode()) == CODER.encode(text, add_special_tokens=False).ids
+        assert encode(text.encode()).tolist() == CODER.encode(text, add_special_tokens=False).ids
 
 
 def test_plan_uses_every_piece():
