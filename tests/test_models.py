@@ -107,14 +107,16 @@ def test_svm_bounds_outliers(spark, planted):
     assert len(small.weights) == 5
 
 
-def test_large_subsample_is_exact(spark, planted, monkeypatch):
+def test_subsample_is_the_rows_of_smallest_hash(spark, planted):
+    from pyspark.sql import functions as F
+
     from pulsegrid.models import linear_svm
+    from pulsegrid.models.forest import KEY
 
     _, df = planted
-    few = linear_svm.subsample(df, 300, 1).select("window_start").collect()
-    monkeypatch.setattr(linear_svm, "_TOP", 10)
-    cut = linear_svm.subsample(df, 300, 1).select("window_start").collect()
-    assert len(cut) == 300 and set(cut) == set(few)
+    draw = F.pmod(F.xxhash64(*KEY, F.lit(1)), F.lit(linear_svm._SPACE))
+    got = linear_svm.subsample(df, 300, 1).select("window_start").collect()
+    assert sorted(got) == sorted(df.orderBy(draw, *KEY).limit(300).select("window_start").collect())
 
 
 def test_reconstruction_is_exact_at_full_rank(spark):
