@@ -7,8 +7,10 @@ dynamic program; the rounded pattern counts are then dealt to the pieces by thei
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.llm.common import cut, texts
 
-#: A special token of the tokenizer, set between words that are encoded together.
-BORDER = "<|endoftext|>"
+#: Set between words that are encoded together: lower-cased words cannot hold it.
+BORDER = "A"
+#: Words that normalisation only lower-cases: they compose with nothing and hold no white space.
+PLAIN = re.compile("[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -31,33 +35,42 @@ class WordTokens:
 
         path = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
         self.coder, self.keep = Tokenizer.from_file(path), keep
-        self.border = self.coder.token_to_id(BORDER)
+        self.special = [t.content for t in self.coder.get_added_tokens_decoder().values()]
+        # plain words come in lower case, so they need no normaliser, which is the slowest part
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        lowers = self.coder.normalizer and self.coder.normalizer.normalize_str("Aß") == "aß"
+        ids = self.plain.encode(BORDER, add_special_tokens=False).ids
+        self.border = ids[0] if lowers and len(ids) == 1 else None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode the words not remembered, all in one text with a special token between them."""
+    def learn(self, words: Iterable[bytes]) -> None:
+        """Remember all of ``words``. Plain ones not remembered yet are encoded in one text."""
         fresh = []
-        for w in set(words):
-            if w not in self.new:
-                if (ids := self.old.get(w)) is None:
-                    fresh.append(w)
-                else:
-                    self.new[w] = ids
+        for w in set(words).difference(self.new):
+            if (ids := self.old.get(w)) is None:
+                fresh.append(w)
+            else:
+                self.new[w] = ids
         # ids are kept as bytes: millions of tuples would keep Python's collector busy
-        plain = [w for w in fresh if self.border is not None and b"<|" not in w]
+        plain, lower = [], []
+        for w in fresh:
+            word = w.decode()
+            if self.border is not None and PLAIN.fullmatch(word) and not any(t in word for t in self.special):
+                plain.append(w)
+                lower.append(word.lower())
+            else:
+                ids = self.coder.encode(word, add_special_tokens=False).ids
+                self.new[w] = np.array(ids, "<u4").tobytes()
         if plain:
-            line = BORDER.join(w.decode() for w in plain)
-            got = np.array(self.coder.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+            line = f" {BORDER} ".join(lower)
+            got = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             ends = [*np.flatnonzero(got == self.border).tolist(), len(got)]
             raw, a = got.tobytes(), 0
-            for w, b in zip(plain, ends):
+            for w, b in zip(plain, ends, strict=True):
                 self.new[w] = raw[4 * a : 4 * b]
                 a = b + 1
-        for w in fresh:
-            if w not in self.new:
-                ids = self.coder.encode(w.decode(), add_special_tokens=False).ids
-                self.new[w] = np.array(ids, "<u4").tobytes()
 
     def all(self, many: Iterator[bytes], together: int = 1 << 20) -> Iterator[np.ndarray]:
         """Ids of many texts; new words of about ``together`` bytes of text are encoded at once."""
@@ -66,31 +79,32 @@ class WordTokens:
             held.append(text)
             size += len(text)
             if size >= together:
-                yield from self._some(held)
+                yield from self._some(held, size)
                 held, size = [], 0
-        yield from self._some(held)
+        yield from self._some(held, size)
+
+    def _some(self, held: list[bytes], size: int) -> Iterator[np.ndarray]:
+        if size > 1 << 23:  # longer texts learn by parts
+            yield from map(self, held)
+            return
+        split = [text.split() for text in held]
+        self._turn()
+        self.learn(chain.from_iterable(split))
+        known = self.new.__getitem__
+        for words in split:
+            yield np.frombuffer(b"".join(map(known, words)), "<u4")
 
-    def _some(self, held: list[bytes]) -> Iterator[np.ndarray]:
-        if sum(map(len, held)) <= 1 << 23:  # longer texts learn by parts
-            if len(self.new) > self.keep:
-                self.new, self.old = {}, self.new
-            self.learn(b" ".join(held).split())
-        for text in held:
-            yield self(text)
+    def _turn(self) -> None:
+        if len(self.new) > self.keep:
+            self.new, self.old = {}, self.new
 
     def __call__(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        ids: list[bytes] = []
+        words, ids = text.split(), []
         for i in range(0, len(words), self.keep):
             part = words[i : i + self.keep]
-            if len(self.new) > self.keep:
-                self.new, self.old = {}, self.new
-            try:
-                found = list(map(self.new.__getitem__, part))
-            except KeyError:
-                self.learn(part)
-                found = list(map(self.new.__getitem__, part))
-            ids += found
+            self._turn()
+            self.learn(part)
+            ids.append(b"".join(map(self.new.__getitem__, part)))
         return np.frombuffer(b"".join(ids), "<u4")
 
 

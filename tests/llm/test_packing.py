@@ -72,3 +72,13 @@ def test_common_length_is_ranked_in_buckets(spark):
     docs = spark.range(2000).selectExpr("id doc_id", "'same words here' text")
     ends = check(docs, packing.pack(docs, buckets=7))
     assert len(ends) <= 2000 * 6 / 4096 + 2
+
+
+def test_words_encoded_together_keep_their_own_ids():
+    texts = [
+        "A a AA ÀÉß İi ﬁ don't DON'T 'S x's.'s 12ab3 ½ ²³ á Å A　A <|END a<|endoftext|>B \x1cq\x85z\xa0y",
+        "A" * 50 + " A", "ÿ×÷ \xad\xb5 µ ª º", "'' 'A' a'll'A A'A",
+    ]
+    encode = packing.WordTokens("word_bpe_49k.json")
+    got = list(encode.all(t.encode() for t in texts))
+    assert [g.tolist() for g in got] == [CODER.encode(t, add_special_tokens=False).ids for t in texts]
