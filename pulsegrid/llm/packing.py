@@ -22,12 +22,16 @@ from pulsegrid.llm.common import cut, texts
 BORDER = "A"
 #: Words that normalisation only lower-cases: they compose with nothing and hold no white space.
 PLAIN = re.compile("[\x21-\x7EÀ-ÖØ-öø-ÿ]+")
+PLAIN_LINE = re.compile("[\x20-\x7EÀ-ÖØ-öø-ÿ]+")
+#: Marks that end many words; where the tokenizer treats them apart, what is before is encoded once.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordTokens:
     """Token ids of a text, word by word: the tokenizer treats parts between ASCII white space
-    apart from each other, so a part's ids are remembered (the latest ``keep`` to twice as many)."""
+    apart from each other, so a part's ids are remembered. Those of the latest ``keep`` parts are
+    always kept; when more are held, the older half goes."""
 
     def __init__(self, tokenizer: str, keep: int = 400_000):
         import public_tokenizers
@@ -42,9 +46,18 @@ class WordTokens:
         lowers = self.coder.normalizer and self.coder.normalizer.normalize_str("Aß") == "aß"
         ids = self.plain.encode(BORDER, add_special_tokens=False).ids
         self.border = ids[0] if lowers and len(ids) == 1 else None
+        self.marks = MARKS if self._marks_apart() else b""
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _marks_apart(self) -> bool:
+        """Whether a word's last marks are tokenised apart from the letter or digit before them."""
+        split = self.plain.pre_tokenizer
+        return split is not None and all(
+            [at for _, at in split.pre_tokenize_str(c + run)] == [(0, 1), (1, 1 + len(run))]
+            for c in "aé1" for run in (MARKS.decode(), MARKS.decode()[::-1], *map(chr, MARKS))
+        )
+
     def learn(self, words: Iterable[bytes]) -> None:
         """Remember all of ``words``. Plain ones not remembered yet are encoded in one text."""
         fresh = []
@@ -53,23 +66,45 @@ class WordTokens:
                 fresh.append(w)
             else:
                 self.new[w] = ids
+        plain, other = self._sort_out(fresh)
         # ids are kept as bytes: millions of tuples would keep Python's collector busy
-        plain, lower = [], []
-        for w in fresh:
-            word = w.decode()
-            if self.border is not None and PLAIN.fullmatch(word) and not any(t in word for t in self.special):
-                plain.append(w)
-                lower.append(word.lower())
-            else:
-                ids = self.coder.encode(word, add_special_tokens=False).ids
-                self.new[w] = np.array(ids, "<u4").tobytes()
+        for w in other:
+            ids = self.coder.encode(w.decode(), add_special_tokens=False).ids
+            self.new[w] = np.array(ids, "<u4").tobytes()
         if plain:
-            line = f" {BORDER} ".join(lower)
+            lower = b" ".join(plain).decode().lower().encode().split(b" ")
+            heads = [w.rstrip(self.marks) for w in lower] if self.marks else lower
+            tails = [w[len(h) :] for w, h in zip(lower, heads)]
+            self._encode(set(heads).union(tails).difference(self.new))
+            known = self.new
+            for w, h, t in zip(plain, heads, tails):
+                known[w] = known[h] + known[t]
+
+    def _sort_out(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Plain words without a special token, and all others."""
+        if self.border is None:
+            return [], words
+        line = b" ".join(words).decode()
+        special = [t for t in self.special if t in line]
+        if not special and PLAIN_LINE.fullmatch(line):
+            return words, []
+        plain, other = [], []
+        for w in words:
+            word = w.decode()
+            fits = PLAIN.fullmatch(word) and not any(t in word for t in special)
+            (plain if fits else other).append(w)
+        return plain, other
+
+    def _encode(self, parts: set[bytes]) -> None:
+        """Remember lower-case plain parts of words."""
+        self.new[b""] = b""
+        if some := list(parts - {b""}):
+            line = f" {BORDER} ".encode().join(some).decode()
             got = np.array(self.plain.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             ends = [*np.flatnonzero(got == self.border).tolist(), len(got)]
             raw, a = got.tobytes(), 0
-            for w, b in zip(plain, ends, strict=True):
-                self.new[w] = raw[4 * a : 4 * b]
+            for part, b in zip(some, ends, strict=True):
+                self.new[part] = raw[4 * a : 4 * b]
                 a = b + 1
 
     def all(self, many: Iterator[bytes], together: int = 1 << 20) -> Iterator[np.ndarray]:
