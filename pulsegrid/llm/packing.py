@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -143,11 +144,17 @@ class WordTokens:
         return np.frombuffer(b"".join(ids), "<u4")
 
 
+@lru_cache(maxsize=1)
+def word_tokens(tokenizer: str) -> WordTokens:
+    """The tokenizer of a Python worker, with the words it remembers: its later tasks use both."""
+    return WordTokens(tokenizer)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """Tokenised documents cut into pieces of ``capacity`` tokens and a rest: rows ``PIECES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokens(tokenizer)
+        encode = word_tokens(tokenizer)
         for batch in batches:
             rows: list[tuple] = []
             for doc, found in zip(batch.column("doc_id").to_pylist(), encode.all(texts(batch.column("text")))):

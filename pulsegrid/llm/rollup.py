@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm.common import cut, texts
-from pulsegrid.llm.packing import WordTokens
+from pulsegrid.llm.packing import word_tokens
 
 KEYS = ["source", "lang", "tokenizer"]
 DELTAS = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -20,7 +20,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataF
     words, tokens), th the 64-bit hash of the text. Null and empty texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokens(tokenizer)
+        encode = word_tokens(tokenizer)
         for batch in batches:
             words, tokens = [], []
             for text, ids in zip(texts(batch.column("text")), encode.all(texts(batch.column("text")))):

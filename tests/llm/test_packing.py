@@ -54,6 +54,17 @@ def test_word_memory_gives_the_tokenizer_s_ids():
         assert encode(text.encode()).tolist() == CODER.encode(text, add_special_tokens=False).ids
 
 
+def test_marks_at_word_ends_give_the_tokenizer_s_ids():
+    rng = np.random.default_rng(5)
+    letters = list("aBé1'.,!<|>_sßÀΏ \t\n-\"tl")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)]
+    texts += ["x<|endoftext|>. <|endoftext|>'s a<|endoftext|", "end. end, END' end''s end's' ..."]
+    encode = packing.WordTokens("word_bpe_49k.json", keep=500)
+    assert encode.marks
+    for text, ids in zip(texts, encode.all((t.encode() for t in texts), together=4096), strict=True):
+        assert ids.tolist() == CODER.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_uses_every_piece():
     rng = np.random.default_rng(1)
     sizes, demand = np.unique(rng.integers(1, 65, 5000), return_counts=True)
