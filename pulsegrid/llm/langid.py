@@ -146,6 +146,7 @@ def train(
 ) -> LanguageModel:
     """Fit on ``labelled`` (text, lang): at most ``per_language`` rows of a language and about
     ``sample`` rows in all, those smallest by the hash of their text, each with its whole text.
+    Copies of a text under one language count once, however many there are.
 
     The sample is drawn and turned into sparse vectors on the executors, so what reaches the driver
     is bounded by the parameters. Rows without text or language are left out; no rows give a model
@@ -154,7 +155,8 @@ def train(
     rows = labelled.where("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
-    counts = rows.groupBy("lang").count().limit(sample + 1).collect()
+    texts_of = rows.select("lang", F.xxhash64("text").alias("th")).distinct()
+    counts = texts_of.groupBy("lang").count().limit(sample + 1).collect()
     if len(counts) > sample:
         raise ValueError(f"more than {sample} languages")
     each = min(per_language, max(1, sample // max(1, len(counts))))
@@ -163,7 +165,7 @@ def train(
     for row in counts:
         share = F.when(F.col("lang") == row["lang"], (2.0 * each + 64) / row["count"]).otherwise(share)
     draw = (F.xxhash64("text") / F.lit(2.0**64) + 0.5).alias("draw")
-    thin = rows.select("lang", "text", draw).where(F.col("draw") < share)
+    thin = rows.select("lang", "text", draw).where(F.col("draw") < share).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

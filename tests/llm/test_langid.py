@@ -52,3 +52,11 @@ def test_sample_bound(spark):
     docs = spark.range(3000).selectExpr("concat('word ', id) text", "if(id % 3 = 0, 'en', 'fr') lang")
     got = langid.train(docs, per_language=50, size=64)
     assert got.languages == ["en", "fr"]
+
+
+def test_copies_count_once(spark):
+    docs = spark.range(400).selectExpr("concat('word ', id) text", "if(id % 2 = 0, 'en', 'fr') lang")
+    copies = spark.range(4000).selectExpr("concat('word ', id % 2) text", "if(id % 2 = 0, 'en', 'fr') lang")
+    one = langid.train(docs, per_language=50, size=64)
+    two = langid.train(docs.unionByName(copies), per_language=50, size=64)
+    assert np.array_equal(one.table()[0], two.table()[0])
