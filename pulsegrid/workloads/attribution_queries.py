@@ -93,7 +93,7 @@ def attr_global(spark, sf):
 @query(
     "xai_summary",
     sql("""SELECT r.event_id, f.cmms_reg, f.event_date AS failure_date, f.description, t.n_windows,
-        round(t.m + 1e-10, 4) + 0.0 AS mean_anomaly_score, round(t.x + 1e-10, 4) + 0.0 AS max_anomaly_score, CAST(r.rank AS INTEGER) AS feature_rank,
+        round(t.m + 1e-10, 4) + 0.0 AS mean_anomaly_score, round(t.x, 4) AS max_anomaly_score, CAST(r.rank AS INTEGER) AS feature_rank,
         r.feature_name, h.human_name, round(r.mean_attribution + 1e-10, 6) + 0.0 AS mean_attribution
         FROM attr_ranked r JOIN failures f USING (event_id)
         JOIN (SELECT DISTINCT feature_name, human_name FROM attribution) h USING (feature_name)
