@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, langid, packing, secrets, simhash
+from pulsegrid.llm import decontaminate, langid, overlap, packing, secrets
 from pulsegrid.llm.common import crc_fold, cut, read
 from pulsegrid.session import ship
 
@@ -27,8 +27,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each near-duplicate group, the one with the smallest doc_id: fingerprints within
+    4 bits, or five-word similarity of 0.8 or more."""
+    return overlap.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
