@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Licence identifiers and the texts known for them.
@@ -41,6 +43,25 @@ KNOWN = [
         "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
 ]
+
+
+def _stored() -> list[tuple[str, str]]:
+    """What lies in ``licence_texts``: notices and SPDX lines, and whole texts, each file named by
+    its licence and, where there are several, a variant."""
+    found = []
+    for file in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        text = file.read_text(encoding="utf-8")
+        if file.name == "notices.tsv":
+            found += [tuple(line.split("\t")) for line in text.splitlines()]
+        else:
+            name = file.name.removesuffix(".txt")
+            for variant in (".regents", ".reserved"):
+                name = name.removesuffix(variant)
+            found.append((name, text))
+    return found
+
+
+KNOWN += _stored()
 #: Spellings taken as equal (after case and punctuation are gone).
 EQUAL = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
