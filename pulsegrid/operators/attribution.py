@@ -31,33 +31,44 @@ def _leaf_boxes(tree: FlatTree):
         stack.append((tree.right[node], {**box, f: (max(low, cut), high)}))
 
 
-def shapley(trees: list[FlatTree], x: np.ndarray, background: np.ndarray) -> np.ndarray:
-    """Interventional Shapley values of the forest's mean path length.
-
-    For a leaf, only which path features accept the row and the background row matters. Rows are
-    grouped by that acceptance pattern, so the cost per leaf follows the number of patterns."""
-    out = np.zeros_like(x)
+def prepared(trees: list[FlatTree], background: np.ndarray) -> list[tuple]:
+    """What does not depend on the rows to explain: each leaf's box and value, and the acceptance
+    patterns of the background rows with their counts."""
+    out = []
     for tree in trees:
         for value, box in _leaf_boxes(tree):
             feats = list(box)
             low = np.array([box[f][0] for f in feats])
             high = np.array([box[f][1] for f in feats])
             weight = 1 << np.arange(len(feats))
-            code_x = ((x[:, feats] >= low) & (x[:, feats] < high)) @ weight
             code_z = ((background[:, feats] >= low) & (background[:, feats] < high)) @ weight
-            x_codes, x_at = np.unique(code_x, return_inverse=True)
             z_codes, z_count = np.unique(code_z, return_counts=True)
-            x_bits = (x_codes[:, None] & weight) > 0
-            z_bits = (z_codes[:, None] & weight) > 0
-            for_x = x_bits[:, None, :] & ~z_bits[None, :, :]
-            for_z = ~x_bits[:, None, :] & z_bits[None, :, :]
-            dead = (~x_bits[:, None, :] & ~z_bits[None, :, :]).any(axis=2)
-            a, b = for_x.sum(axis=2), for_z.sum(axis=2)
-            share = np.where(dead, 0.0, z_count[None, :] * value)
-            plus = _PLUS[a, b] * share
-            minus = _MINUS[a, b] * share
-            part = (for_x * plus[:, :, None] - for_z * minus[:, :, None]).sum(axis=1)
-            out[:, feats] += part[x_at.ravel()]
+            out.append((feats, low, high, weight, (z_codes[:, None] & weight) > 0, z_count * value))
+    return out
+
+
+def shapley(
+    trees: list[FlatTree], x: np.ndarray, background: np.ndarray, leaves: list[tuple] | None = None
+) -> np.ndarray:
+    """Interventional Shapley values of the forest's mean path length.
+
+    For a leaf, only which path features accept the row and the background row matters. Rows are
+    grouped by that acceptance pattern, so the cost per leaf follows the number of patterns.
+    ``leaves`` are those of :func:`prepared`, where many batches are explained."""
+    out = np.zeros_like(x)
+    for feats, low, high, weight, z_bits, mass in prepared(trees, background) if leaves is None else leaves:
+        code_x = ((x[:, feats] >= low) & (x[:, feats] < high)) @ weight
+        x_codes, x_at = np.unique(code_x, return_inverse=True)
+        x_bits = (x_codes[:, None] & weight) > 0
+        for_x = x_bits[:, None, :] & ~z_bits[None, :, :]
+        for_z = ~x_bits[:, None, :] & z_bits[None, :, :]
+        dead = (~x_bits[:, None, :] & ~z_bits[None, :, :]).any(axis=2)
+        a, b = for_x.sum(axis=2), for_z.sum(axis=2)
+        share = np.where(dead, 0.0, mass[None, :])
+        plus = _PLUS[a, b] * share
+        minus = _MINUS[a, b] * share
+        part = (for_x * plus[:, :, None] - for_z * minus[:, :, None]).sum(axis=1)
+        out[:, feats] += part[x_at.ravel()]
     return out / (len(background) * max(len(trees), 1))
 
 
@@ -86,9 +97,11 @@ def shap_values(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees, base = shared.value
+        leaves = None
         for pdf in batches:
             if len(pdf):
-                values = shapley(trees, np.vstack(pdf["x"].to_numpy()).astype(float), base)
+                leaves = prepared(trees, base) if leaves is None else leaves
+                values = shapley(trees, np.vstack(pdf["x"].to_numpy()).astype(float), base, leaves)
                 pdf = pdf.assign(shap=list(values))
             else:
                 pdf = pdf.assign(shap=pd.Series(dtype=object))

@@ -118,8 +118,8 @@ def retrain(spark, sf):
 
 def _explained(spark, sf):
     vectors = _vectors(spark, sf).select("device_serial", "window_start", "x")
-    forest = IsolationForest.fit(vectors, 10)
-    return at.per_window(at.shap_values(forest, vectors, n_background=100), COLUMNS)
+    forest = IsolationForest.fit(vectors, TREES)
+    return at.per_window(at.shap_values(forest, vectors), COLUMNS)
 
 
 @query("shap_per_window")
@@ -134,5 +134,5 @@ def shap_importance(spark, sf):
 
 @query("failure_attribution")
 def failure_attribution(spark, sf):
-    model = fleet.train(ad.telemetry(spark, sf, status=False), _plan(), 10)
+    model = fleet.train(ad.telemetry(spark, sf, status=False), _plan(), TREES)
     return fleet.failure_attribution(aq.summaries(spark, sf), model, ad.failures(spark, sf))
