@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm import (
-    brown, collisions, decontaminate, langid, licences, packing, rollup, secrets, simhash, substring,
+    brown, collisions, decontaminate, langid, licences, packing, rollup, secrets, simhash, substring, trie,
 )
 from pulsegrid.llm.common import crc_fold, read
 from pulsegrid.session import scratch_path
@@ -98,3 +98,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans"
     )
+
+
+@query
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(read(spark, sf_dir, "conversations"))
