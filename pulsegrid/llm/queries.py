@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm import (
     brown, collisions, decontaminate, langid, licences, packing, rollup, secrets, simhash, substring, trie,
+    variants,
 )
 from pulsegrid.llm.common import crc_fold, read
 from pulsegrid.session import scratch_path
@@ -100,6 +101,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(read(spark, sf_dir, "conversations"))
