@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm import (
-    brown, collisions, decontaminate, langid, licences, packing, rollup, secrets, simhash, substring, trie,
-    variants,
+    brown, collisions, decontaminate, langid, licences, packing, personal, rollup, secrets, simhash, substring,
+    trie, variants,
 )
 from pulsegrid.llm.common import crc_fold, read
 from pulsegrid.session import scratch_path
@@ -101,6 +101,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return personal.scan(docs, personal.train(docs)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(read(spark, sf_dir, "documents"))
