@@ -18,8 +18,17 @@ from pulsegrid.session import scratch_path
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def slim(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let the session's Arrow batches hold at most ``most`` bytes, so that what a Python worker and
+    its executor hold of long texts does not depend on the number of rows in a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A given table, whole."""
+    slim(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

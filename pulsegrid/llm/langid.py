@@ -4,12 +4,12 @@ machines between the languages of that family."""
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegrid.llm.common import texts
@@ -21,7 +21,7 @@ FAMILIES = {
     "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "sl", "hr", "sr", "bs", "bg", "mk"),
 }
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)
 )
@@ -89,9 +89,10 @@ class LanguageModel:
     families: list[str]
     family_machines: list[Machine]
     pairs: list[Machine]
+    letters: str = ""  #: letters of the texts it was fitted on, in both cases
 
     @staticmethod
-    def fit(x: np.ndarray, langs: list[str], size: int) -> LanguageModel:
+    def fit(x: np.ndarray, langs: list[str], size: int, letters: str = "") -> LanguageModel:
         known = sorted(set(langs))
         groups = sorted({family(v) for v in known})
         tags, fams = np.array(langs, object), np.array([family(v) for v in langs], object)
@@ -104,7 +105,7 @@ class LanguageModel:
             if family(a) == family(b):
                 own = (tags == a) | (tags == b)
                 pairs.append(fit_machine(x[own], np.where(tags[own] == a, 1.0, -1.0), a, b))
-        return LanguageModel(size, known, groups, first, pairs)
+        return LanguageModel(size, known, groups, first, pairs, letters)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         machines = [*self.family_machines, *self.pairs]
@@ -169,8 +170,9 @@ def train(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, values = [], []
+            at, values, letters = [], [], []
             for text in texts(batch.column("text")):
+                letters.append("".join(sorted(set(_LETTER.findall(text.decode("utf-8", "replace"))))))
                 counts, total = gram_counts(text, size)
                 own = np.flatnonzero(counts)
                 at.append(own.astype(np.int32))
@@ -180,17 +182,20 @@ def train(
                     "lang": batch.column("lang"), "draw": batch.column("draw"),
                     "at": pa.array(at, pa.list_(pa.int32())),
                     "v": pa.array(values, pa.list_(pa.float32())),
+                    "letters": pa.array(letters, pa.string()),
                 }
             )
 
-    ranked = thin.mapInArrow(run, "lang string, draw double, at array<int>, v array<float>").withColumn(
+    ranked = thin.mapInArrow(run, "lang string, draw double, at array<int>, v array<float>, letters string").withColumn(
         "rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     )
     got = sorted(ranked.where(F.col("rank") <= each).collect(), key=lambda r: (r["lang"], r["rank"]))
     x = np.zeros((len(got), size), np.float32)
     for k, r in enumerate(got):
         x[k, r["at"]] = r["v"]
-    return LanguageModel.fit(x, [r["lang"] for r in got], size)
+    seen = set().union(*(r["letters"] for r in got))
+    both = "".join(sorted(seen.union(*({*c.lower(), *c.upper()} for c in seen))))
+    return LanguageModel.fit(x, [r["lang"] for r in got], size, both)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -220,15 +225,16 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` whose text is in one of the model's languages, ``lang`` set to it; texts that are
-    null or without a letter go. Other columns are carried along."""
+    """``docs`` whose text is in one of the model's languages, ``lang`` set to it. Texts that are null
+    or without a letter go, and those most of whose letters occur in no text the model was fitted on
+    (another script). Other columns are carried along."""
     schema = docs.schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _Judge(shared.value)
         for batch in batches:
-            langs = [judge(raw)[0] for raw in texts(batch.column("text"))]
+            langs = [judge(raw)[0] if judge.knows(raw) else UNKNOWN for raw in texts(batch.column("text"))]
             at = batch.schema.get_field_index("lang")
             named = batch.set_column(at, batch.schema.field(at), pa.array(langs, batch.schema.field(at).type))
             yield named.filter(pa.array([v != UNKNOWN for v in langs], pa.bool_()))
@@ -242,6 +248,14 @@ class _Judge:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.weights, self.bias = model.table()
+        known = "".join(f"\\U{ord(c):08x}" for c in model.letters)
+        self.strange = regex.compile(rf"[\p{{L}}--[{known}]]" if known else r"\p{L}", regex.VERSION1)
+
+    def knows(self, raw: bytes) -> bool:
+        """Whether at least half of the letters are known."""
+        text = raw.decode("utf-8", "replace")
+        strange = sum(1 for _ in self.strange.finditer(text))
+        return not strange or 2 * strange <= sum(1 for _ in _LETTER.finditer(text))
 
     def __call__(self, raw: bytes) -> tuple[str, float]:
         if not _LETTER.search(raw.decode("utf-8", "replace")):

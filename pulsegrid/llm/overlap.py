@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.llm import simhash
-from pulsegrid.llm.common import LOWER, arrow_map, components, cut, release, texts
+from pulsegrid.llm.common import LOWER, components, cut, release, texts
 
 #: Similarity that makes two texts near-duplicates, as a fraction.
 SAME, OF = 4, 5
@@ -44,27 +45,47 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= SAME * (len(a) + len(b) - both)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
     for value in column:
         yield np.frombuffer(value.as_py(), np.uint64)
 
 
+def _slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold about ``most`` bytes of a text or binary column each."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    part = np.cumsum(size) // most
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def prints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, fp, sig, grams) per row: SimHash, the shingle set and a hash that names it."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, sigs, sets = [], [], []
-        for text in texts(batch.column("text")):
-            fps.append(simhash.fingerprint(text))
-            sets.append(shingles(text, width).tobytes())
-            sigs.append(xxhash.xxh64_intdigest(sets[-1]))
+    """(doc_id, th, fp, sig, grams) per row: a hash of the text, its SimHash, a hash that names the
+    shingle set, and the set; a task gives a set once and null for its further copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return pa.record_batch(
-            {"doc_id": batch.column("doc_id"), "fp": signed(fps), "sig": signed(sigs), "grams": pa.array(sets, pa.binary())}
-        )
+        for batch in (part for whole in batches for part in _slices(whole, "text")):
+            fps, sigs, sets = [], [], []
+            for text in texts(batch.column("text")):
+                fps.append(simhash.fingerprint(text))
+                own = shingles(text, width).tobytes()
+                sigs.append(xxhash.xxh64_intdigest(own))
+                sets.append(None if sigs[-1] in seen else own)
+                seen.add(sigs[-1])
+            yield pa.record_batch(
+                {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "fp": signed(fps), "sig": signed(sigs), "grams": pa.array(sets, pa.binary())}
+            )
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(picked, run, "doc_id long, fp long, sig long, grams binary")
+    picked = picked.withColumn("th", _text_hash())
+    return picked.mapInArrow(run, "doc_id long, th long, fp long, sig long, grams binary")
 
 
 def _commonness(sets: DataFrame) -> np.ndarray:
@@ -92,15 +113,21 @@ def _commonness(sets: DataFrame) -> np.ndarray:
 
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
     """Whole runs of rows of one key, many at once, from batches sorted by key (the first column)."""
-    held = [np.zeros(0, np.int64) for _ in columns]
+    held: list[list[np.ndarray]] = []
+    rows = 0
     for batch in batches:
-        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, columns)]
-        whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if whole >= 1 << 16:
-            yield [h[:whole] for h in held]
-            held = [h[whole:] for h in held]
-    if len(held[0]):
-        yield held
+        part = [batch.column(c).to_numpy() for c in columns]
+        if not len(part[0]):
+            continue
+        whole = int(np.searchsorted(part[0], part[0][-1]))  # the last key may go on
+        if held and rows + whole >= 1 << 16 and (whole or held[-1][0][-1] != part[0][0]):
+            held.append([c[:whole] for c in part])
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, rows, part = [], 0, [c[whole:] for c in part]
+        held.append(part)
+        rows += len(part[0])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
 def shared_keys(sets: DataFrame) -> DataFrame:
@@ -108,23 +135,25 @@ def shared_keys(sets: DataFrame) -> DataFrame:
     ``pos`` is the place in the common order, ``n`` the set's size."""
     levels = sets.sparkSession.sparkContext.broadcast(_commonness(sets))
 
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        level, keys, sizes, places = levels.value, [], [], []
-        for s in _sets(batch.column("grams")):
-            first = len(s) - -(-SAME * len(s) // OF) + 1 if len(s) else 0
-            order = np.argsort(level[(s % np.uint64(_CELLS)).astype(np.int64)], kind="stable")
-            keys.append(s[order[:first]])
-            sizes.append(len(s))
-            places.append(np.arange(first))
-        each = [len(k) for k in keys]
-        return pa.record_batch(
-            {
-                "key": pa.array(np.concatenate(keys).view(np.int64)),
-                "sig": pa.array(np.repeat(batch.column("sig").to_numpy(), each)),
-                "n": pa.array(np.repeat(np.array(sizes, np.int64), each)),
-                "pos": pa.array(np.concatenate(places).astype(np.int64)),
-            }
-        )
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels.value
+        for batch in (part for whole in batches for part in _slices(whole, "grams")):
+            keys, sizes, places = [], [], []
+            for s in _sets(batch.column("grams")):
+                first = len(s) - -(-SAME * len(s) // OF) + 1 if len(s) else 0
+                order = np.argsort(level[(s % np.uint64(_CELLS)).astype(np.int64)], kind="stable")
+                keys.append(s[order[:first]])
+                sizes.append(len(s))
+                places.append(np.arange(first, dtype=np.int32))
+            each = [len(k) for k in keys]
+            yield pa.record_batch(
+                {
+                    "key": pa.array(np.concatenate(keys).view(np.int64)),
+                    "sig": pa.array(np.repeat(batch.column("sig").to_numpy(), each)),
+                    "n": pa.array(np.repeat(np.array(sizes, np.int32), each)),
+                    "pos": pa.array(np.concatenate(places)),
+                }
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, sig, n, pos in _runs(batches, ["key", "sig", "n", "pos"]):
@@ -135,8 +164,8 @@ def shared_keys(sets: DataFrame) -> DataFrame:
             some = same[1:] | same[:-1]
             yield pa.record_batch({"key": pa.array(key[some]), "sig": pa.array(sig[some]), "n": pa.array(n[some]), "pos": pa.array(pos[some])})
 
-    schema = "key long, sig long, n long, pos long"
-    keyed = arrow_map(sets.select("sig", "grams"), spread, schema)
+    schema = "key long, sig long, n int, pos int"
+    keyed = sets.select("sig", "grams").mapInArrow(spread, schema)
     return keyed.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(run, schema)
 
 
@@ -157,8 +186,8 @@ def candidates(keys: DataFrame, star: bool) -> DataFrame:
                     at = at[at + d < len(key)]
                     at = at[key[at] == key[at + d]]
                     i, j = at, at + d
-                most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
-                fits = (group[i] != group[j]) & ((SAME + OF) * most >= SAME * (n[i] + n[j]))
+                most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]).astype(np.int64)
+                fits = (group[i] != group[j]) & ((SAME + OF) * most >= SAME * (n[i].astype(np.int64) + n[j]))
                 i, j = i[fits], j[fits]
                 if len(i):
                     pairs = np.unique(np.sort(np.stack([sig[i], sig[j]], axis=1), axis=1), axis=0)
@@ -220,11 +249,12 @@ def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFram
 def parities(sets: DataFrame) -> DataFrame:
     """(sig, odd): the size and the parity table of each different set."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        odd = [len(s).to_bytes(8, "little") + parity(s) for s in _sets(batch.column("grams"))]
-        return pa.record_batch({"sig": batch.column("sig"), "odd": pa.array(odd, pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _slices(whole, "grams")):
+            odd = [len(s).to_bytes(8, "little") + parity(s) for s in _sets(batch.column("grams"))]
+            yield pa.record_batch({"sig": batch.column("sig"), "odd": pa.array(odd, pa.binary())})
 
-    return arrow_map(sets.select("sig", "grams"), run, "sig long, odd binary").dropDuplicates(["sig"])
+    return sets.select("sig", "grams").mapInArrow(run, "sig long, odd binary").dropDuplicates(["sig"])
 
 
 def links(sets: DataFrame) -> DataFrame:
@@ -249,7 +279,8 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Groups of ``docs`` (doc_id, text): rows (doc_id, sig, component_id).
+    """Groups of ``docs`` (doc_id, text): rows (doc_id, th, sig, component_id),
+    ``th`` a hash of the text.
 
     Texts are linked if their shingle sets have Jaccard similarity 0.8 or more, or if their
     fingerprints are linked in :mod:`simhash`; ``component_id`` is the smallest doc_id reachable by
@@ -263,7 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     edges = (
         near.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         .unionByName(units.join(fps, "fp").select(F.col("sig").alias("a"), F.col("root").alias("b")))
-        .unionByName(links(rows.select("sig", "grams")))
+        .unionByName(links(rows.where("grams is not null").select("sig", "grams")))
         .where("a <> b")
     )
     groups = components(edges, "near-components")
@@ -272,7 +303,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     )
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     labels = named.select("sig", "component").distinct().join(least, "component").select("sig", "component_id")
-    out = cut(rows.select("doc_id", "sig").join(labels, "sig").select("doc_id", "sig", "component_id"), "near-groups")
+    out = cut(rows.select("doc_id", "th", "sig").join(labels, "sig").select("doc_id", "th", "sig", "component_id"), "near-groups")
     release(rows)
     return out
 
@@ -280,11 +311,12 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` with one document of each group left: the one with the smallest doc_id.
 
-    A row repeated with the same doc_id and text is left once. No group can be named by a null
+    A row repeated with the same doc_id and text is left once; rows of one doc_id with different texts
+    are judged each by its own. No group can be named by a null
     doc_id: such rows are kept, once per text.
     """
-    kept = near_duplicates(docs, width).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
+    kept = near_duplicates(docs, width).where("doc_id = component_id").select("doc_id", F.col("th").alias("_th")).distinct()
+    named = docs.withColumn("_th", _text_hash()).join(kept, ["doc_id", "_th"], "left_semi")
     lone = docs.where("doc_id is null")
     return (
         named.select(*docs.columns)

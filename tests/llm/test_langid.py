@@ -60,3 +60,12 @@ def test_copies_count_once(spark):
     one = langid.train(docs, per_language=50, size=64)
     two = langid.train(docs.unionByName(copies), per_language=50, size=64)
     assert np.array_equal(one.table()[0], two.table()[0])
+
+
+def test_only_letters_count(spark):
+    model = langid.train(documents(spark).select("text", "lang"))
+    docs = spark.createDataFrame([(1, "½ ² ① 7"), (2, "東京 xqzt 大阪"), (3, "the words of it ½")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+    assert got[1] == "und" and got[2] != "und"
+    kept = langid.keep_known(docs.selectExpr("*", "'' as lang"), model)
+    assert [r.doc_id for r in kept.collect()] == [3]

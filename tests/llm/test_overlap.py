@@ -15,8 +15,8 @@ def grams(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(docs):
-    """(doc_id, group) by four-bit fingerprints or exact five-word Jaccard, all pairs compared."""
+def labelled(docs):
+    """(doc_id, group), in order, by four-bit fingerprints or exact five-word Jaccard, all pairs compared."""
     sets = [grams(t) for _, t in docs]
     prints = [copies.plain_fingerprint(t) for _, t in docs]
     group = list(range(len(docs)))
@@ -31,7 +31,11 @@ def brute(docs):
     for (i, _), g in zip(docs, group):
         if i is not None:
             ids[g] = min(i, ids.get(g, i))
-    return sorted(((i, ids.get(g)) for (i, _), g in zip(docs, group)), key=repr)
+    return [(i, ids.get(g)) for (i, _), g in zip(docs, group)]
+
+
+def brute(docs):
+    return sorted(labelled(docs), key=repr)
 
 
 def edited(spark):
@@ -65,3 +69,10 @@ def test_stage_leaves_one_of_each_similar_group(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()}
     for pair in ((1, 255), (643, 770), (709, 944), (582, 875)):  # seven to ten bits apart
         assert len(kept & set(pair)) <= 1
+
+
+def test_a_repeated_id_is_judged_by_each_of_its_texts(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words), (2, words), (2, "something else that is kept"), (2, words + " end")]
+    kept = overlap.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == [rows[0], rows[2]]
