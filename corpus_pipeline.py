@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm import decontaminate, langid, overlap, packing, secrets
-from pulsegrid.llm.common import crc_fold, cut, read
+from pulsegrid.llm.common import crc_fold, cut, read, slim
 from pulsegrid.session import ship
 
 #: SQL can express neither the learned language model, nor the tokenizer, nor the components of
@@ -21,7 +21,8 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages: what has no letter or no text goes; ``lang`` is
-    set to the predicted language."""
+    set to the predicted language. Texts in a script the model has not learned go too."""
+    slim(spark)
     model = langid.train(docs.where(crc_fold() != 0).select("text", "lang"))
     return langid.keep_known(docs, model)
 
