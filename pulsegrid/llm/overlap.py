@@ -240,7 +240,11 @@ def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFram
 
     left = cut(_pairwise(pairs, sketches, "odd", may), "shingle-candidates")
     nodes = left.select(F.col("a").alias("sig")).union(left.select("b")).distinct()
-    found = cut(sets.join(nodes, "sig", "left_semi").dropDuplicates(["sig"]), "shingle-candidates")
+    # the whole sets are shuffled only where the cell of their name is that of a candidate; there are
+    # 2^20 cells, so what is broadcast has that bound
+    cell = F.pmod("sig", F.lit(_CELLS)).cast("int").alias("cell")
+    some = sets.select("sig", "grams", cell).join(F.broadcast(nodes.select(cell).distinct()), "cell", "left_semi")
+    found = cut(some.select("sig", "grams").join(nodes, "sig", "left_semi").dropDuplicates(["sig"]), "shingle-candidates")
     out = cut(_pairwise(left, found, "grams", same), "shingle-links")
     release(left, found)
     return out
