@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import weakref
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,30 @@ from pulsegrid.session import scratch_path
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def slim(spark: SparkSession, most: int = 8 << 20) -> None:
+_kept: list = []
+
+
+def kept(fn):
+    """``fn`` of one argument, its latest value kept by a Python worker for its later tasks."""
+    held = lru_cache(maxsize=1)(fn)
+    _kept.append(held)
+    return held
+
+
+def forget() -> None:
+    """Let go what this Python worker keeps of other operators' tasks, back to the machine."""
+    if any(f.cache_info().currsize for f in _kept):
+        for f in _kept:
+            f.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+
+def slim(spark: SparkSession, most: int = 4 << 20) -> None:
     """Let the session's Arrow batches hold at most ``most`` bytes, so that what a Python worker and
     its executor hold of long texts does not depend on the number of rows in a batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulsegrid.llm.common import texts
+from pulsegrid.llm.common import forget, texts
 
 #: Families of closely related languages: fixed values. A language of no family here is one itself.
 FAMILIES = {
@@ -232,6 +232,7 @@ def keep_known(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         judge = _Judge(shared.value)
         for batch in batches:
             langs = [judge(raw)[0] if judge.knows(raw) else UNKNOWN for raw in texts(batch.column("text"))]

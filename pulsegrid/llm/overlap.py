@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.llm import simhash
-from pulsegrid.llm.common import LOWER, components, cut, release, texts
+from pulsegrid.llm.common import LOWER, components, cut, forget, release, texts
 
 #: Similarity that makes two texts near-duplicates, as a fraction.
 SAME, OF = 4, 5
@@ -69,6 +69,7 @@ def prints(docs: DataFrame, width: int = 5) -> DataFrame:
     shingle set, and the set; a task gives a set once and null for its further copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()
         signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
         for batch in (part for whole in batches for part in _slices(whole, "text")):
@@ -98,10 +99,12 @@ def _commonness(sets: DataFrame) -> np.ndarray:
             for s in _sets(batch.column("grams")):
                 np.add.at(n, (s % np.uint64(_CELLS)).astype(np.int64), 1)
         some = np.flatnonzero(n)
-        yield pa.record_batch({"cell": pa.array(some), "n": pa.array(n[some])})
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            yield pa.record_batch({"cell": pa.array(part.astype(np.int32)), "n": pa.array(n[part])})
 
     counted = cut(
-        sets.select("grams").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "shingle-cells"
+        sets.select("grams").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")), "shingle-cells"
     )
     total = counted.agg(F.sum("n")).first()[0] or 0
     often = counted.where(F.col("n") >= max(8, 4 * total // _CELLS))

@@ -10,14 +10,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulsegrid.llm.common import cut, texts
+from pulsegrid.llm.common import cut, kept, texts
 
 #: Set between words that are encoded together: lower-cased words cannot hold it.
 BORDER = "A"
@@ -144,7 +143,7 @@ class WordTokens:
         return np.frombuffer(b"".join(ids), "<u4")
 
 
-@lru_cache(maxsize=1)
+@kept
 def word_tokens(tokenizer: str) -> WordTokens:
     """The tokenizer of a Python worker, with the words it remembers: its later tasks use both."""
     return WordTokens(tokenizer)
