@@ -64,7 +64,7 @@ def test_copies_count_once(spark):
 
 def test_only_letters_count(spark):
     model = langid.train(documents(spark).select("text", "lang"))
-    docs = spark.createDataFrame([(1, "½ ² ① 7"), (2, "東京 xqzt 大阪"), (3, "the words of it ½")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "½ ² ① 7"), (2, "東京 xqz 大阪 京都"), (3, "the words of it ½")], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
     assert got[1] == "und" and got[2] != "und"
     kept = langid.keep_known(docs.selectExpr("*", "'' as lang"), model)
