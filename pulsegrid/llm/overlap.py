@@ -23,6 +23,7 @@ from pulsegrid.llm.common import LOWER, components, cut, forget, release, texts
 #: Similarity that makes two texts near-duplicates, as a fraction.
 SAME, OF = 4, 5
 _CELLS = 1 << 20
+_MARK = 1024
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -114,14 +115,23 @@ def _commonness(sets: DataFrame) -> np.ndarray:
     return levels
 
 
+def _plain(column: pa.Array) -> np.ndarray:
+    """Values of a number column; of a column of equally long binaries, their 64-bit words by row."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy()
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset :]
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[len(column)]]
+    return raw.reshape(len(column), -1).view(np.uint64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
     """Whole runs of rows of one key, many at once, from batches sorted by key (the first column)."""
     held: list[list[np.ndarray]] = []
     rows = 0
     for batch in batches:
-        part = [batch.column(c).to_numpy() for c in columns]
-        if not len(part[0]):
+        if not batch.num_rows:
             continue
+        part = [_plain(batch.column(c)) for c in columns]
         whole = int(np.searchsorted(part[0], part[0][-1]))  # the last key may go on
         if held and rows + whole >= 1 << 16 and (whole or held[-1][0][-1] != part[0][0]):
             held.append([c[:whole] for c in part])
@@ -174,11 +184,13 @@ def shared_keys(sets: DataFrame) -> DataFrame:
 
 def candidates(keys: DataFrame, star: bool) -> DataFrame:
     """Different pairs (a, b) of ``keys`` (key, sig, n, pos, component) that share a key, are in two
-    components and whose sizes and places allow the similarity: all, or with ``star`` those with the
-    first of each key only."""
+    components and whose sizes and places allow the similarity: with ``star`` those with the first of
+    each key by a further column ``turn``; else all whose marks (further column ``mark``) allow it too, so that a crowd that shares
+    a passage and little else is told apart in place and leaves few pairs."""
+    columns = ["key", "sig", "n", "pos", "component"] + ([] if star else ["mark"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, sig, n, pos, group in _runs(batches, ["key", "sig", "n", "pos", "component"]):
+        for key, sig, n, pos, group, *mark in _runs(batches, columns):
             starts = np.searchsorted(key, key)
             at, d = np.arange(len(key)), 0
             while len(at):
@@ -192,11 +204,15 @@ def candidates(keys: DataFrame, star: bool) -> DataFrame:
                 most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]).astype(np.int64)
                 fits = (group[i] != group[j]) & ((SAME + OF) * most >= SAME * (n[i].astype(np.int64) + n[j]))
                 i, j = i[fits], j[fits]
+                for m in mark:
+                    close = _marks_allow(m, n, i, j)
+                    i, j = i[close], j[close]
                 if len(i):
                     pairs = np.unique(np.sort(np.stack([sig[i], sig[j]], axis=1), axis=1), axis=0)
                     yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    dealt = keys.repartition("key").sortWithinPartitions("key", "component", "sig")
+    order = ["key", "turn", "sig"] if star else ["key", "component", "sig"]
+    dealt = keys.repartition("key").sortWithinPartitions(*order)
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -208,6 +224,23 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def mark(s: np.ndarray) -> bytes:
+    """A parity table of :data:`_MARK` cells, whatever the size of the set."""
+    odd = np.bincount((s >> np.uint64(32)).astype(np.int64) & (_MARK - 1), minlength=_MARK) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def _marks_allow(marks: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the cells in which two marks differ are as few as similar sets of these sizes may have."""
+    most = (OF - SAME) * (n[i].astype(np.int64) + n[j])
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), 1 << 15):
+        part = slice(a, a + (1 << 15))
+        apart = np.bitwise_count(marks[i[part]] ^ marks[j[part]]).sum(axis=1, dtype=np.int64)
+        out[part] = (SAME + OF) * apart <= most[part]
+    return out
+
+
 def _apart(x: bytes, y: bytes) -> int:
     """Cells in which two parity tables differ, the larger folded to the size of the smaller."""
     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -254,34 +287,44 @@ def verified(pairs: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFram
 
 
 def parities(sets: DataFrame) -> DataFrame:
-    """(sig, odd): the size and the parity table of each different set."""
+    """(sig, odd, mark): the size and the parity table of each different set, and its mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _slices(whole, "grams")):
             odd = [len(s).to_bytes(8, "little") + parity(s) for s in _sets(batch.column("grams"))]
-            yield pa.record_batch({"sig": batch.column("sig"), "odd": pa.array(odd, pa.binary())})
+            marks = [mark(s) for s in _sets(batch.column("grams"))]
+            yield pa.record_batch({"sig": batch.column("sig"), "odd": pa.array(odd, pa.binary()), "mark": pa.array(marks, pa.binary())})
 
-    return sets.select("sig", "grams").mapInArrow(run, "sig long, odd binary").dropDuplicates(["sig"])
+    return sets.select("sig", "grams").mapInArrow(run, "sig long, odd binary, mark binary").dropDuplicates(["sig"])
 
 
-def links(sets: DataFrame) -> DataFrame:
+def links(sets: DataFrame, stars: int = 3) -> DataFrame:
     """Edges (a, b) between different sets of ``sets`` (sig, grams) that are similar: not every pair,
     but enough that their components are those of all pairs.
 
-    The first round compares every set with one other of its key; only sets it has left in different
-    components are compared pair by pair, so a large group of near copies costs its members."""
+    The first rounds compare every set with one other of its key, in each round another one; only sets
+    they have left in different components are compared pair by pair, so a large group of near copies
+    costs its members. Any number of rounds gives the same components."""
     keys = cut(shared_keys(sets), "shingle-keys")
     sketches = cut(parities(sets), "shingle-parities")
-    pairs = cut(candidates(keys.withColumn("component", F.col("sig")), True), "shingle-pairs")
-    first = verified(pairs, sets, sketches)
-    groups = components(first, "shingle-components")
-    rest = keys.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
-        "component", F.coalesce("component", "sig")
-    )
-    # what the first round has compared is known
-    more = cut(candidates(rest, False).join(pairs, ["a", "b"], "left_anti"), "shingle-pairs")
-    found = first.unionByName(verified(more, sets, sketches))
-    release(keys, pairs, more, sketches)
+    rows, seen, found = keys.withColumn("component", F.col("sig")), None, None
+    for k in range(stars):
+        pairs = candidates(rows.withColumn("turn", F.xxhash64("sig", F.lit(k))), True)
+        pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "shingle-pairs")
+        fresh = verified(pairs, sets, sketches)
+        found = fresh if found is None else found.unionByName(fresh)
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        groups = components(found, "shingle-components")
+        rows = keys.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
+            "component", F.coalesce("component", "sig")
+        )
+        if not fresh.take(1):
+            break
+    rows = rows.join(sketches.select("sig", "mark"), "sig")
+    # what the first rounds have compared is known
+    more = cut(candidates(rows, False).join(seen, ["a", "b"], "left_anti"), "shingle-pairs")
+    found = found.unionByName(verified(more, sets, sketches))
+    release(keys, more, sketches)
     return found
 
 
