@@ -45,6 +45,26 @@ def test_runs_that_cross_micro_batches_match_the_batch_result(spark):
     assert got == want
 
 
+def test_timestamps_delivered_in_two_halves_are_ranked_whole(spark):
+    registry = spark.createDataFrame([("d3", 3)], "device_serial string, cmms_reg int")
+    source, state, out, checkpoint = (scratch_path(spark, n) for n in ("in", "state", "out", "cp"))
+    whole = scores(spark, range(60)).where("substring(device_serial, 2) < 20").cache()
+    step = "cast((unix_seconds(timestamp) - 1764547200) / 300 as int)"
+    for k in range(3):
+        for half in ("<", ">="):
+            some = whole.where(f"int({step} / 20) = {k} and cast(substring(device_serial, 2) as int) % 10 {half} 5")
+            some.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.alert_stream(stream, registry, state, out, checkpoint, lateness="101min").awaitTermination()
+    early = jobs.latest_alerts(spark.read.parquet(out)).where("alert_level <> 'normal'").collect()
+    jobs.close_alerts(whole.schema, spark, registry, state, out)
+    assert all(len(jobs._versions(spark, f"{state}/{n}")) == 2 for n in ("open", "held", "clock"))
+    got = {tuple(r) for r in jobs.latest_alerts(spark.read.parquet(out)).collect()}
+    want = {tuple(r) for r in sustained_alerts(fleet_percentile(whole), registry).collect()}
+    assert got == want and len({r[2] for r in want}) > 1
+    assert {tuple(r) for r in early} <= want
+
+
 def test_serial_state_survives_micro_batches(spark):
     source = scratch_path(spark, "msgs")
     text = lambda serial: "MSH|x" + (f"\rOBX|1|NM|1913^s^L|1|{serial}|" if serial else "")
