@@ -68,7 +68,7 @@ def failures(spark: SparkSession) -> DataFrame:
 def services(spark: SparkSession) -> DataFrame:
     """Scheduled services: one row per event id."""
     rows = [
-        (i, reg, dt.date(2025, 12, day)) for i, (reg, day) in enumerate(fixed.SERVICE_DAYS, 1)
+        (i, reg, dt.date.fromisoformat(day)) for i, (reg, day) in enumerate(fixed.SERVICES, 1)
     ]
     events = spark.createDataFrame(rows, "event_id INT, cmms_reg INT, event_date DATE")
     return events.join(F.broadcast(registry(spark)), "cmms_reg").select(

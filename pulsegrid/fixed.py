@@ -413,12 +413,15 @@ KNOWN_FAILURES = [
     (18833, "2026-01-26", "#259 sensor fault", "#259"),
 ]
 
-# --- fixed values: scheduled services in December 2025 (registration number, day) ----------------
-SERVICE_DAYS = [
-    (18815, 10), (18816, 9), (18817, 8), (18818, 10), (18819, 8), (18820, 10), (18821, 11),
-    (18823, 10), (18824, 9), (18825, 8), (18826, 11), (18827, 10), (18828, 10), (18829, 10),
-    (18830, 10), (18831, 10), (18832, 10), (18833, 9), (18834, 9), (18835, 9), (18836, 11),
-    (18837, 11), (18838, 12), (18839, 8), (18840, 8), (18841, 9), (18843, 10), (18844, 10),
+# --- fixed values: scheduled services (registration number, date) ---------------------------------
+SERVICES = [
+    (18815, "2025-12-10"), (18816, "2025-12-09"), (18817, "2025-12-08"), (18818, "2025-12-10"),
+    (18819, "2025-12-08"), (18820, "2025-12-10"), (18821, "2025-12-11"), (18823, "2025-12-10"),
+    (18824, "2025-12-09"), (18825, "2025-12-08"), (18826, "2025-12-11"), (18827, "2025-12-10"),
+    (18828, "2025-12-10"), (18829, "2025-12-10"), (18830, "2025-12-10"), (18831, "2025-12-10"),
+    (18832, "2025-12-10"), (18833, "2025-12-09"), (18834, "2025-12-09"), (18835, "2025-12-09"),
+    (18836, "2025-12-11"), (18837, "2025-12-11"), (18838, "2025-12-12"), (18839, "2025-12-08"),
+    (18840, "2025-12-08"), (18841, "2025-12-09"), (18843, "2025-12-10"), (18844, "2025-12-10"),
 ]
 
 # --- fixed values: work-order export headers and type words --------------------------------------
@@ -443,6 +446,9 @@ ADVICE = {
     "critical": "Immediate inspection recommended — possible O2 sensor degradation",
 }
 
+# --- fixed values: display name of the derived oxygen feature ------------------------------------
+OXYGEN_DEVIATION_NAME = "FiO2 deviation (measured - setting)"
+
 # --- derived lists -------------------------------------------------------------------------------
 TIER_IDS = {t: [v[0] for v in VARIABLES if v[3] == t] for t in (1, 2, 3)}
 MODEL_IDS = TIER_IDS[1] + TIER_IDS[2]

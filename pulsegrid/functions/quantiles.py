@@ -53,7 +53,8 @@ def exact_quantiles(
     return out
 
 
-def _literal(x: float) -> str:
+def literal(x: float) -> str:
+    """A double as SQL text, infinite ones too."""
     return f"{x!r}D" if math.isfinite(x) else f"cast('{x}' as double)"
 
 
@@ -67,7 +68,7 @@ def _bucket(lo: float, hi: float) -> str:
 def _values(df: DataFrame, keys: list[tuple]) -> DataFrame:
     """Long ``(j, x)`` table of the values inside each key's range."""
     items = ", ".join(
-        f"case when {c} between {_literal(lo)} and {_literal(hi)} then struct({j} as j, cast({c} as double) as x) end"
+        f"case when {c} between {literal(lo)} and {literal(hi)} then struct({j} as j, cast({c} as double) as x) end"
         for j, (c, lo, hi) in enumerate(keys)
     )
     return df.selectExpr(f"inline(array_compact(array({items})))")

@@ -42,7 +42,7 @@ def top_features_text(features: list[str], top_n: int = 3) -> str:
         if feature in names:
             shown.append(f"{names[feature]} ({feature})")
         elif feature == "fio2_deviation":
-            shown.append("FiO2 deviation (measured - setting)")
+            shown.append(fixed.OXYGEN_DEVIATION_NAME)
         else:
             shown.append(feature)
     return ", ".join(shown)

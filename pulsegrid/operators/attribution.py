@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pulsegrid.functions.grid import at_midnight, days_between, rounded
+from pulsegrid.functions.grid import at_midnight, days_between
 from pulsegrid.functions.text import human_name
 from pulsegrid.models.forest import KEY, FlatTree, IsolationForest, flat_trees
 from pulsegrid.models.linear_svm import subsample
@@ -229,7 +229,8 @@ def global_importance(attribution: DataFrame, top_n: int = 10) -> DataFrame:
 
 
 def report(attribution: DataFrame, events: DataFrame, top_n: int = 10) -> DataFrame:
-    """Summary table: top features per event with window counts and scores."""
+    """Summary table: top features per event with window counts and scores. Means lose the last bits
+    of their sums before they are rounded."""
     return (
         top_features(attribution, top_n)
         .join(timeline_summary(attribution), "event_id")
@@ -240,11 +241,11 @@ def report(attribution: DataFrame, events: DataFrame, top_n: int = 10) -> DataFr
             F.col("event_date").alias("failure_date"),
             "description",
             "n_windows",
-            rounded(F.col("mean_score"), 4).alias("mean_anomaly_score"),
+            F.round(F.round("mean_score", 10), 4).alias("mean_anomaly_score"),
             F.round("max_score", 4).alias("max_anomaly_score"),
             F.col("rank").alias("feature_rank"),
             "feature_name",
             human_name(F.col("feature_name")).alias("human_name"),
-            rounded(F.col("mean_attribution"), 6).alias("mean_attribution"),
+            F.round(F.round("mean_attribution", 10), 6).alias("mean_attribution"),
         )
     )

@@ -15,14 +15,14 @@ def fleet_percentile(
 ) -> DataFrame:
     """Share of the fleet at the same timestamp that scores at or below each row.
 
-    Ties share their average rank; a null score has no percentile and does not count. Equal
+    Ties share their average rank; a null or NaN score has no percentile and does not count. Equal
     scores first collapse into one counted row (map-side combined), those are ranked inside
     ``(timestamp, score bucket)`` and shifted by the rows in lower buckets, so neither a crowded
     timestamp nor a much-repeated score sits in one task. ``min_fleet`` blanks timestamps with
     fewer rows.
     """
     counted = (
-        scores.where(F.col(score).isNotNull())
+        scores.where(F.col(score).isNotNull() & ~F.isnan(score))
         .groupBy("timestamp", score)
         .agg(F.count(F.lit(1)).alias("_ties"))
         .withColumn("_bucket", value_slice(F.col(score)))

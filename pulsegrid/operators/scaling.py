@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.functions.quantiles import exact_quantiles
+from pulsegrid.functions.quantiles import exact_quantiles, literal
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -18,7 +18,7 @@ def impute(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
     """Replace nulls by the given value; columns without one (all null) stay null."""
     filled = {c: v for c, v in values.items() if v is not None}
     return df.selectExpr(
-        *[f"coalesce({c}, {filled[c]!r}D) as {c}" if c in filled else f"`{c}`" for c in df.columns]
+        *[f"coalesce({c}, {literal(filled[c])}) as {c}" if c in filled else f"`{c}`" for c in df.columns]
     )
 
 

@@ -6,6 +6,7 @@ and triggers are the caller's choice (:func:`run_available` drains a source into
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -85,9 +86,11 @@ def window_stream(
 
 
 def carry_serial_stream(
-    messages: DataFrame, serials_path: str, out_path: str, checkpoint: str, chunk: int = 4096
+    messages: DataFrame, serials_path: str, out_path: str, checkpoint: str, chunk: int = 4096,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ):
-    """Serial carry-forward per source across micro-batches.
+    """Serial carry-forward per source across micro-batches; ``finish`` makes of the messages with
+    their serials what is written.
 
     Inside a batch the sliced batch operator applies, so a busy source is spread over tasks; the
     last serial of each source is kept in a versioned table (one row per source, one folder per
@@ -115,9 +118,11 @@ def carry_serial_stream(
             newest = newest.join(earlier, "src", "full").select(
                 "src", F.coalesce("last", "_earlier").alias("last")
             )
-        rows.select(
+        named = rows.select(
             *batch.columns, F.coalesce("device_serial", F.lit("unknown")).alias("device_serial")
-        ).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        )
+        done = named if finish is None else finish(named)
+        done.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         _write_version(newest, serials_path, batch_id)
         batch.unpersist()
 
@@ -129,6 +134,21 @@ def carry_serial_stream(
     )
 
 
+def ingest_stream(
+    messages: DataFrame, serials_path: str, out_path: str, checkpoint: str,
+    catalog: DataFrame | None = None, chunk: int = 4096,
+):
+    """Messages (src, pos, message) to rows of the raw telemetry table, batch by batch: the serial is
+    carried forward per source, observations are enriched, status bits and times decoded. Each
+    batch's folder is overwritten on a retry, so rows are stored once."""
+
+    def rows(named: DataFrame) -> DataFrame:
+        slim = named.select("src", "pos", "device_serial", "message")
+        return ms.telemetry_rows(ms.enrich(ms.observations(ms.with_segments(slim)), catalog))
+
+    return carry_serial_stream(messages, serials_path, out_path, checkpoint, chunk, rows)
+
+
 def deduplicate_stream(messages: DataFrame, lateness: str) -> DataFrame:
     """Drop re-sent messages: same source and control id within the watermark."""
     return (

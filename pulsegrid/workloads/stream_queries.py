@@ -8,6 +8,7 @@ from pulsegrid.session import scratch_path
 from pulsegrid.streaming import jobs
 from pulsegrid.workloads import adapter as ad
 from pulsegrid.workloads.alert_queries import CRITICAL, SUSTAINED, THRESHOLD
+from pulsegrid.workloads.message_queries import _ROWS, _TIME
 from pulsegrid.workloads.registry import query
 from pulsegrid.workloads.views_sql import sql
 
@@ -24,11 +25,23 @@ _LATE = "(SELECT max(timestamp) FROM telemetry) - INTERVAL 1 DAY"
 _SIX = "make_timestamp((epoch_us(timestamp) // 21600000000) * 21600000000)"
 
 
-@query("stream_hl7", sql("SELECT src, pos, obx, variable_id, value, label, unit, unit_short, value_description FROM enriched"))
+@query(
+    "stream_hl7",
+    sql(f"SELECT {_ROWS}, {_TIME} AS timestamp, CAST({_TIME} AS DATE) AS day FROM enriched"),
+    dates=("day",),
+)
 def stream_hl7(spark, sf):
-    stream = _stream(ad.messages(spark, sf).drop("timestamp"), "stream-messages")
-    obs = jobs.observation_stream(stream).drop("timestamp")
-    return jobs.run_available(obs, "observations")
+    """Messages to stored telemetry rows in three micro-batches, each source's messages in order."""
+    sent = ad.messages(spark, sf).select("src", "pos", "message")
+    path, out, serials, checkpoint = (
+        scratch_path(spark, n) for n in ("stream-messages", "stream-rows", "last-serials", "ingest-checkpoint")
+    )
+    third = (sent.agg(F.max("pos")).first()[0] or 0) // 3 + 1
+    for k in range(3):
+        sent.where(F.floor(F.col("pos") / third) == k).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.ingest_stream(stream, serials, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
 
 
 @query(

@@ -10,6 +10,8 @@ from pulsegrid.models.linear_svm import subsample
 from pulsegrid.operators import feedback, state
 from pulsegrid.session import scratch_path
 from pulsegrid.sources import tables, telemetry
+from pulsegrid.operators.rank import fleet_percentile
+from pulsegrid.operators.scaling import impute, medians
 
 
 def test_label_catalog_is_complete(spark):
@@ -72,3 +74,18 @@ def test_summaries_count_everything(spark):
     assert feedback.reports_summary(alerts, labels).first().total_alerts == 1500
     assert feedback.reports_summary(alerts, labels, newest=10).first().total_alerts == 10
     assert state.newest_first(alerts, "timestamp").count() == 1500
+
+
+def test_a_score_that_is_no_number_has_no_rank(spark):
+    rows = [("a", 1.0), ("b", 2.0), ("c", float("nan")), ("d", None)]
+    scores = spark.createDataFrame(rows, "device_serial string, anomaly_score double").selectExpr(
+        "*", "timestamp'2025-12-01 00:00:00' as timestamp"
+    )
+    got = {r.device_serial: r.fleet_percentile for r in fleet_percentile(scores).collect()}
+    assert got == {"a": 0.5, "b": 1.0, "c": None, "d": None}
+
+
+def test_an_infinite_median_is_imputed(spark):
+    df = spark.createDataFrame([(float("inf"),), (float("inf"),), (None,)], "x double")
+    filled = impute(df, medians(df, ["x"])).collect()
+    assert [r.x for r in filled] == [float("inf")] * 3
