@@ -93,8 +93,8 @@ def attr_global(spark, sf):
 @query(
     "xai_summary",
     sql("""SELECT r.event_id, f.cmms_reg, f.event_date AS failure_date, f.description, t.n_windows,
-        round(round(t.m, 10), 4) AS mean_anomaly_score, round(t.x, 4) AS max_anomaly_score, CAST(r.rank AS INTEGER) AS feature_rank,
-        r.feature_name, h.human_name, round(round(r.mean_attribution, 10), 6) AS mean_attribution
+        CAST(round(CAST(t.m AS DECIMAL(18, 10)), 4) AS DOUBLE) AS mean_anomaly_score, round(t.x, 4) AS max_anomaly_score, CAST(r.rank AS INTEGER) AS feature_rank,
+        r.feature_name, h.human_name, CAST(round(CAST(r.mean_attribution AS DECIMAL(18, 10)), 6) AS DOUBLE) AS mean_attribution
         FROM attr_ranked r JOIN failures f USING (event_id)
         JOIN (SELECT DISTINCT feature_name, human_name FROM attribution) h USING (feature_name)
         JOIN (SELECT event_id, count(*) AS n_windows, avg(anomaly_score) AS m, max(anomaly_score) AS x FROM timeline GROUP BY 1) t
