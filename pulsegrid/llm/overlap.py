@@ -311,6 +311,8 @@ def links(sets: DataFrame, stars: int = 3) -> DataFrame:
     for k in range(stars):
         pairs = candidates(rows.withColumn("turn", F.xxhash64("sig", F.lit(k))), True)
         pairs = cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "shingle-pairs")
+        if found is not None and not pairs.take(1):
+            break
         fresh = verified(pairs, sets, sketches)
         found = fresh if found is None else found.unionByName(fresh)
         seen = pairs if seen is None else seen.unionByName(pairs)
