@@ -10,7 +10,8 @@ from pulsegrid import fixed
 from pulsegrid.functions.grid import bin_index, bin_start, grid_seconds, seconds
 from pulsegrid.operators.ordered import spread
 
-_MASK = 62
+_MASK = 62  # bits used of a word
+_FOLD = 64  # longest gap, in bins, over which status words are carried as a list
 SLICE_BINS = 1440
 
 
@@ -33,22 +34,30 @@ def forward_fill(binned: DataFrame, limit: int, slice_bins: int = SLICE_BINS) ->
     return spread(binned, ["device_serial", "variable_id"], ["value"], limit, slice_bins)
 
 
-def bin_wide(
+def _chunks(names: list[str]) -> list[tuple[int, list[str]]]:
+    return [(at // _MASK, names[at : at + _MASK]) for at in range(0, len(names), _MASK)]
+
+
+def bin_packed(
     long: DataFrame, freq: str, variable_ids: list[int], status: list[str] | None = None
 ) -> DataFrame:
-    """One row per (device, bin): mean of each variable, OR of each status column.
+    """One row per (device, bin): mean of each variable, and status columns packed in two words.
 
     Bin mean, pivot and status merge are one aggregate on one shuffle. ``seen_<j>`` holds, as
-    bits, which variables have a row in the bin (with or without a value)."""
+    bits, which variables have a row in the bin (with or without a value), ``known_<j>`` which status
+    columns some row of the bin knows, ``on_<j>`` which of them are true in some row. Rows of other
+    variables count for their status only."""
     step = grid_seconds(freq)
     ids, status = list(variable_ids), list(status or [])
-    rows = long.where(
-        F.col("device_serial").isNotNull()
-        & F.col("timestamp").isNotNull()
-        & F.col("variable_id").isin(ids)
-    )
+    wanted = F.col("variable_id").isin(ids)
+    for c in status:
+        wanted = wanted | F.col(c).isNotNull()
+    rows = long.where(F.col("device_serial").isNotNull() & F.col("timestamp").isNotNull() & wanted)
     aggs = [f"avg(case when variable_id = {i} then value end) as var_{i}" for i in ids]
-    aggs += [f"cast(max(cast({c} as int)) as double) as {c}" for c in status]
+    for at, part in _chunks(status):
+        known = " | ".join(f"if({c} is null, 0L, {1 << p}L)" for p, c in enumerate(part))
+        on = " | ".join(f"if(cast({c} as boolean), {1 << p}L, 0L)" for p, c in enumerate(part))
+        aggs += [f"bit_or({known}) as known_{at}", f"bit_or({on}) as on_{at}"]
     for at in range(0, len(ids), _MASK):
         arms = " ".join(
             f"when {i} then {1 << p}L" for p, i in enumerate(ids[at : at + _MASK])
@@ -59,6 +68,25 @@ def bin_wide(
     )
 
 
+def _unpack(packed: DataFrame, status: list[str]) -> DataFrame:
+    """Status columns (1.0, 0.0, null for unknown) in place of the packed words."""
+    shown = {
+        c: F.expr(f"case when known_{at} & {1 << p}L <> 0 then if(on_{at} & {1 << p}L <> 0, 1.0D, 0.0D) end")
+        for at, part in _chunks(status)
+        for p, c in enumerate(part)
+    }
+    words = [f"{kind}_{at}" for at, _ in _chunks(status) for kind in ("known", "on")]
+    return packed.withColumns(shown).drop(*words) if status else packed
+
+
+def bin_wide(
+    long: DataFrame, freq: str, variable_ids: list[int], status: list[str] | None = None
+) -> DataFrame:
+    """One row per (device, bin): mean of each variable, OR of each status column (null where no row
+    of the bin knows it), and ``seen_<j>`` as in :func:`bin_packed`."""
+    return _unpack(bin_packed(long, freq, variable_ids, status), list(status or []))
+
+
 def resample_then_pivot(
     long: DataFrame,
     freq: str = "1min",
@@ -71,13 +99,16 @@ def resample_then_pivot(
     """Long telemetry to one wide row per (device, bin) with bounded forward fill.
 
     Each variable is filled inside its own first..last range; rows are the union of the ranges.
+    Status columns come from all rows of a bin, those of variables not asked for too; they are carried
+    through the fill as two packed words (gaps of more than 64 bins: column by column).
     ``stage`` (for example :func:`pulsegrid.session.materialize`) cuts lineage after the raw
     table has been reduced to bins, so the raw scan happens once.
     """
     ids = list(variable_ids or fixed.ALL_IDS)
     if status is None:
         status = [c for c in long.columns if c.startswith("bitfield_")]
-    binned = bin_wide(long, freq, ids, status)
+    status = list(status)
+    binned = bin_packed(long, freq, ids, status)
     if stage is not None:
         binned = stage(binned)
     spans = {
@@ -85,10 +116,15 @@ def resample_then_pivot(
         for p, i in enumerate(ids)
     }
     step = grid_seconds(freq)
-    values = [f"var_{i}" for i in ids] + list(status)
-    grid = spread(binned, ["device_serial"], values, seconds(max_gap) // step, slice_bins, spans)
+    values, fill = [f"var_{i}" for i in ids], seconds(max_gap) // step
+    if fill <= _FOLD:
+        words = [(f"known_{at}", f"on_{at}") for at, _ in _chunks(status)]
+        grid = _unpack(spread(binned, ["device_serial"], values, fill, slice_bins, spans, words), status)
+    else:
+        flags = _unpack(binned, status)
+        grid = spread(flags, ["device_serial"], values + status, fill, slice_bins, spans)
     return grid.select(
-        bin_start(F.col("bin"), step).alias("timestamp"), "device_serial", *values
+        bin_start(F.col("bin"), step).alias("timestamp"), "device_serial", *values, *status
     )
 
 

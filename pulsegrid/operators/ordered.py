@@ -99,20 +99,23 @@ def spread(
     fill: int,
     slice_bins: int,
     spans: dict[str, str] | None = None,
+    words: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Put sparse bins of each key on a regular grid and carry values forward.
 
     ``rows`` has one row per ``(keys, bin)``. A value is repeated for at most ``fill`` bins after
     the bin that holds it. ``spans`` maps a value to the SQL condition "this series has a row in this
-    bin"; then the grid only covers bins between the first and last row of some series, and a
-    value is not carried beyond the last row of its own series. Without ``spans`` the grid runs
+    bin"; then the grid only covers bins between the first and last row of some series (other rows
+    give what they hold to later bins only), and a value is not carried beyond the last row of its own
+    series. ``words`` are pairs of columns (bits known, bits set): each bit is carried by itself, as
+    a value is, but a pair costs one window column, a list of at most ``fill`` + 1 rows. Without ``spans`` the grid runs
     from the first to the last bin of the key.
 
     Every slice also receives the rows of the last ``fill`` bins before it, so slices are filled
     independently of each other.
     """
     width = max(slice_bins, fill, 1)
-    spans = spans or {}
+    spans, words = spans or {}, words or []
     sliced = rows.withColumn("_slice", F.floor(F.col("bin") / width).cast("bigint"))
 
     per_slice = sliced.groupBy(*keys, "_slice").agg(
@@ -131,7 +134,8 @@ def spread(
     )
 
     copies = f"case when bin >= (_slice + 1) * {width} - {fill} then array(_slice, _slice + 1) else array(_slice) end"
-    placed = sliced.selectExpr(*keys, "bin", *values, "_slice as _home", f"explode({copies}) as _slice")
+    packed = [c for pair in words for c in pair]
+    placed = sliced.selectExpr(*keys, "bin", *values, *packed, "_slice as _home", f"explode({copies}) as _slice")
 
     inside = f"(partition by {', '.join(keys)}, _slice order by bin)"
     held = [f"last({v}, true) over {inside} as _held_{v}" for v in values]
@@ -139,6 +143,11 @@ def spread(
         f"last(case when {v} is not null then bin end, true) over {inside} as _since_{v}"
         for v in values
     ]
+    reached = f"(partition by {', '.join(keys)}, _slice order by bin range between {fill} preceding and current row)"
+    held += [
+        f"collect_list(if({k} <> 0, struct(bin, {k} as known, {on} as on), null)) over {reached} as _marks_{k}"
+        for k, on in words
+    ]
     known = (
         placed.join(edges, [*keys, "_slice"])
         .selectExpr("*", f"coalesce(lead(bin) over {inside}, _next_head) as _next", *held)
@@ -148,9 +157,18 @@ def spread(
     covered = " or ".join(f"(_first_{v} <= bin and _last_{v} >= _next)" for v in spans) or "true"
     reach = f"case when _next is not null and coalesce({covered}, false) then _next - 1 else bin end"
     grid = known.selectExpr("*", f"explode(sequence(bin, {reach})) as _at")
+    if spans:
+        grid = grid.where(" or ".join(f"(_first_{v} <= _at and _last_{v} >= _at)" for v in spans))
 
     def filled(v: str) -> str:
         own = f" and _at <= _last_{v}" if v in spans else ""
         return f"case when _at - _since_{v} <= {fill}{own} then _held_{v} end as {v}"
 
-    return grid.selectExpr(*keys, "_at as bin", *[filled(v) for v in values])
+    def newest(k: str) -> str:
+        later = "struct(s.known | m.known as known, (s.on & ~m.known) | m.on as on)"
+        start = "struct(0L as known, 0L as on)"
+        return f"aggregate(_marks_{k}, {start}, (s, m) -> if(_at - m.bin <= {fill}, {later}, s)) as _word_{k}"
+
+    carried = grid.selectExpr(*keys, "_at as bin", *[filled(v) for v in values], *[newest(k) for k, _ in words])
+    pairs = [e for k, on in words for e in (f"_word_{k}.known as {k}", f"_word_{k}.on as {on}")]
+    return carried.selectExpr(*keys, "bin", *values, *pairs) if words else carried

@@ -90,6 +90,41 @@ def test_status_or_and_fill(spark):
     assert [r.var_635 for r in rows] == [1.0, 1.0, 1.0]
 
 
+def test_status_of_variables_not_asked_for(spark):
+    """Status words arrive in rows of their own variables; those rows make no grid rows themselves."""
+    at = lambda m: START + dt.timedelta(minutes=m)
+    df = spark.createDataFrame(
+        [(at(0), "a", 635, 1.0, None), (at(1), "a", 801, 2.0, True), (at(3), "a", 635, 1.0, None),
+         (at(9), "a", 801, 0.0, True), (at(0), "b", 801, 2.0, True)],
+        "timestamp timestamp, device_serial string, variable_id int, value double, bitfield_x boolean",
+    )
+    rows = align.resample_then_pivot(df, "1min", "1min", [635]).orderBy("timestamp").collect()
+    assert [(r.device_serial, r.var_635, r.bitfield_x) for r in rows] == [
+        ("a", 1.0, None), ("a", 1.0, 1.0), ("a", None, 1.0), ("a", 1.0, None)
+    ]
+
+
+@pytest.mark.parametrize("gap", ["0min", "3min", "90min"])
+def test_status_bits_match_plain_python(spark, gap):
+    """Each flag is carried by itself, packed (short gaps) or column by column, past slice borders."""
+    rng, limit, rows = np.random.default_rng(5), seconds(gap) // 60, []
+    flags = [f"bitfield_{i}" for i in range(70)]
+    for i in sorted(rng.choice(300, 60, replace=False)):
+        bits = [None if rng.random() < 0.7 else bool(rng.random() < 0.5) for _ in flags]
+        rows.append((START + dt.timedelta(minutes=int(i)), "a", int(rng.choice([635, 801])), 1.0, *bits))
+    schema = "timestamp timestamp, device_serial string, variable_id int, value double, "
+    df = spark.createDataFrame(rows, schema + ", ".join(f"{c} boolean" for c in flags))
+    got = align.resample_then_pivot(df, "1min", gap, [635], flags, slice_bins=7).toPandas()
+    values = [r for r in rows if r[2] == 635]
+    assert len(got) == (values[-1][0] - values[0][0]).seconds // 60 + 1
+    for r in got.to_dict("records"):
+        for p, c in enumerate(flags):
+            known = [x for x in rows if x[0] <= r["timestamp"] and x[4 + p] is not None]
+            age = (r["timestamp"] - known[-1][0]).total_seconds() / 60 if known else np.inf
+            want = float(known[-1][4 + p]) if age <= limit else np.nan
+            assert r[c] == pytest.approx(want, nan_ok=True)
+
+
 def test_pivot_and_derived(spark):
     df = spark.createDataFrame(
         [(START, "a", 635, 0.36), (START, "a", 2782, 0.40), (START, "a", 635, None),
