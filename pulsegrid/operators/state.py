@@ -219,7 +219,7 @@ def latest_attribution(cache: DataFrame) -> DataFrame:
 def attribution_todo(devices: DataFrame, cache: DataFrame) -> DataFrame:
     """Devices without a cached attribution."""
     return devices.select("device_serial").distinct().join(
-        cache.select("device_serial"), "device_serial", "left_anti"
+        cache.select("device_serial").distinct(), "device_serial", "left_anti"
     )
 
 

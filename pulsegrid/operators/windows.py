@@ -142,10 +142,15 @@ def window_metadata(members: DataFrame) -> DataFrame:
     )
 
 
-def window_tensor(members: DataFrame, features: list[str], length: int | None = None) -> DataFrame:
+def window_tensor(
+    members: DataFrame, features: list[str], length: int | str | None = None
+) -> DataFrame:
     """Rows of each window in order as ``array<array<double>>``; a window holds ``win`` rows.
 
-    ``length`` pads shorter windows with null rows at the end."""
+    ``length`` pads shorter windows with null rows at the end, "longest" to the longest window of the
+    table; ``n_samples`` tells how many rows of a window are its own."""
+    if length == "longest":
+        length = members.agg(F.max("win")).first()[0] or 0
     row = F.struct("pos", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
     out = (
         members.groupBy("device_serial", "block", "window_idx")

@@ -14,5 +14,5 @@ def ingest(
     slice_col: str | None = None,
 ) -> DataFrame:
     """Raw telemetry rows of all accepted messages of a batch."""
-    parsed = ms.assign_serial(ms.with_segments(messages), order, slice_col)
+    parsed = ms.with_segments(ms.assign_serial(messages, order, slice_col))
     return ms.telemetry_rows(ms.enrich(ms.observations(parsed), catalog))

@@ -44,7 +44,7 @@ _TIME = "CASE WHEN length(timestamp) >= 14 THEN try_strptime(substr(timestamp, 1
 
 
 def _parsed(spark, sf):
-    return ms.assign_serial(ms.with_segments(ad.messages(spark, sf)).drop("timestamp"))
+    return ms.with_segments(ms.assign_serial(ad.messages(spark, sf).drop("timestamp")))
 
 
 def _observations(spark, sf):

@@ -159,3 +159,43 @@ def test_scaling(spark):
     assert rows[0].a == pytest.approx(-np.sqrt(1.5))
     vector = Scaler.fit(filled, ["a", "c"]).vector(filled).first()
     assert vector.x[1] == 0.0
+
+
+def ragged(spark, padded: bool):
+    """Windows of 4 and of 6 rows with two features, one empty and one longer than the rest."""
+    rng = np.random.default_rng(3)
+    tensors = [rng.normal(size=(6 if i % 3 else 4, 2)) for i in range(60)]
+    pad = lambda x: x.tolist() + [[None, None]] * (6 - len(x) if padded else 0)
+    rows = [(i, len(x), pad(x)) for i, x in enumerate(tensors)]
+    return tensors, spark.createDataFrame(rows, "id int, n_samples int, tensor array<array<double>>")
+
+
+@pytest.mark.parametrize("padded", [False, True])
+def test_windows_of_two_lengths_fit_and_score(spark, padded):
+    tensors, df = ragged(spark, padded)
+    model = Reconstruction.fit(df, 2, k=3)
+    flat = [x.reshape(-1) for x in tensors]
+    mean = np.array([np.mean([v[j] for v in flat if len(v) > j]) for j in range(12)])
+    assert model.mean == pytest.approx(mean)
+    x = np.array([np.concatenate([v, mean[len(v):]]) for v in flat]) - mean
+    pc = np.linalg.svd(x, full_matrices=False)[2][:3].T
+    miss = (x - x @ pc @ pc.T) ** 2
+    for r in model.score_per_feature(df).collect():
+        n = len(flat[r["id"]])
+        assert r["errors"] == pytest.approx(miss[r["id"], :n].reshape(-1, 2).mean(axis=0))
+    scores = {r["id"]: r["anomaly_score"] for r in model.score(df).collect()}
+    assert scores[0] == pytest.approx(miss[0, :8].mean())
+
+
+def test_empty_and_longer_windows_have_a_defined_score(spark):
+    _, df = ragged(spark, False)
+    model = Reconstruction.fit(df, 2, k=3)
+    one = df.where("id = 1").first()["tensor"]
+    odd = spark.createDataFrame(
+        [(0, []), (1, one), (2, one + one), (3, None), (4, [[None, None]] * 2)], "id int, tensor array<array<double>>"
+    )
+    scores = {r["id"]: r["anomaly_score"] for r in model.score(odd).collect()}
+    assert scores[0] is None and scores[3] is None
+    assert scores[2] == pytest.approx(scores[1]) and scores[4] > 0
+    with pytest.raises(ValueError):
+        Reconstruction.fit(odd.where("id = 0"), 2)

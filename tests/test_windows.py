@@ -95,6 +95,8 @@ def test_tensor_order_and_padding(spark):
     members = windows.sliding_windows(df, FEATURES)
     tensor = windows.window_tensor(members, FEATURES, length=8).orderBy("window_idx").first()
     assert len(tensor.tensor) == 8 and tensor.tensor[7] == [None, None]
+    longest = windows.window_tensor(members, FEATURES, length="longest").first()
+    assert len(longest.tensor) == longest.n_samples == 6
     first = df.orderBy("timestamp").select(*FEATURES).limit(6).collect()
     assert [tuple(r) for r in tensor.tensor[:6]] == [tuple(r) for r in first]
 
