@@ -84,9 +84,9 @@ def near_vectors(
         F.col("label").cast("string").alias("label"),
     )
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    largest = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))  # squares may underflow
     usable = (
-        F.col("v").isNotNull() & F.col("label").isNotNull() & ~F.coalesce(bad, F.lit(True)) & (norm > 0)
+        F.col("v").isNotNull() & F.col("label").isNotNull() & ~F.coalesce(bad, F.lit(True)) & (largest > 0)
     )
     keyed = rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
     good = (

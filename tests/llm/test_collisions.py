@@ -88,5 +88,16 @@ def test_recall_at_the_threshold():
     assert hits >= 285
 
 
+def test_tiny_and_huge_vectors_link(spark):
+    """Finite vectors that are not zero link whatever their size, down to the least double."""
+    one = [1.0, -2.0, 0.5, 3.0]
+    table = [(i, [x * s for x in one], 1) for i, s in enumerate((1.0, 1e-200, 1e200, 1e-300))]
+    table += [(8, [5e-324, 0.0, 0.0, 0.0], 2), (9, [1.0, 0.0, 0.0, 0.0], 2), (10, [0.0] * 4, 2)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")
+    assert rows(collisions.near_vectors(df), "vec_id", "n_links", "component_id") == sorted(
+        [(0, 3, 0), (1, 3, 0), (2, 3, 0), (3, 3, 0), (8, 1, 8), (9, 1, 8), (10, 0, 10)], key=repr
+    )
+
+
 def test_no_rows(spark):
     assert collisions.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
