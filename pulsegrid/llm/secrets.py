@@ -24,13 +24,23 @@ _HEX = re.compile(r"[0-9a-f]+")
 #: Any run of a length that can pass; found fast, then the whole pattern is judged by itself.
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Known digests by length of their hex text (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and
-#: the usual form of a universally unique identifier: fixed values.
+#: Lengths of the hex text of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512, the names that
+#: announce a digest, and the usual form of a universally unique identifier: fixed values.
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
+_ANNOUNCED = re.compile(
+    r"(?<![A-Za-z])(?:md5|sha-?(?:1|224|256|384|512)|digest|checksum|commit|etag|fingerprint)(?:sum)?"
+    r"[\"']?\x20{0,3}[:=(-]?\x20{0,3}[\"']?\Z",
+    re.IGNORECASE | re.ASCII,
+)
+_HEX_TAIL = re.compile(r"[0-9a-fA-F]*\Z")
+#: Digests of nothing, which stand for "no content" in many a listing.
+_EMPTY = {hashlib.new(n, b"").hexdigest() for n in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: snake_case, kebab-case, CamelCase and paths of words, each word with at most a short number.
 _IDENTIFIER = re.compile(r"[/_-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[A-Z](?=[A-Z][a-z]))\d{0,4}[/_-]*)+\Z")
 
+_BREAKS = set("=-_/+")
+
 
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) of the fixed patterns: leftmost, not overlapping within a kind."""
@@ -52,30 +62,68 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in map(value.count, set(value)))
 
 
+def known_digest(text: str, start: int, value: str) -> bool:
+    """A hex string of a digest's length that a name before it (md5:, sha256=, commit ...) announces,
+    or the digest of nothing. Any other hex string may be a key."""
+    tail = _HEX_TAIL.search(value)  # a name joined by = or - is in the run itself
+    start, value = start + tail.start(), tail.group()
+    if not _DIGEST.match(value):
+        return False
+    return value.lower() in _EMPTY or bool(_ANNOUNCED.search(text[max(0, start - 24) : start]))
+
+
 def token_spans(text: str, count: Callable[[str], int], ratio: float, bits: float) -> list[Span]:
     """Runs of 16 or more key characters that the vocabulary splits into short tokens: fewer than
     ``ratio`` characters per token, and at least ``bits`` of entropy a character, so that rules and
     repeated filler are left alone. Known digests, identifiers, plain words and numbers are not
-    looked at."""
+    looked at; letters alone are."""
     found: list[Span] = []
     for m in _CANDIDATE.finditer(text):
         value = m.group().strip("=-_/+")
+        start = m.start() + len(m.group()) - len(m.group().lstrip("=-_/+"))
         if (
             len(value) < 16
-            or not re.search(r"\d", value)
             or not re.search(r"[A-Za-z]", value)
-            or _DIGEST.match(value)
             or _UUID.match(value)
             or _IDENTIFIER.match(value)
+            or known_digest(text, start, value)
             or entropy(value) < bits
         ):
             continue
         if len(value) < ratio * count(value):
-            start = text.index(value, m.start())
             found.append(("random", start, start + len(value)))
     return found
 
 
+def uncovered(text: str, spans: list[Span], base: list[Span], least: int = 4) -> list[Span]:
+    """The parts of ``spans`` that no span of ``base`` covers. Parts of a cut span that are shorter than
+    ``least``, or an identifier set apart from the base span by a separator (the name before a
+    value), are left out."""
+    found: list[Span] = []
+    blocks = sorted((a, b) for _, a, b in base)
+    for kind, start, end in spans:
+        at = start
+        for a, b in [*blocks, (end, end)]:
+            if b <= at and a < end:
+                continue
+            stop = min(a, end)
+            part = text[at:stop]
+            apart = (at > start and part[:1] in _BREAKS) or (stop < end and part[-1:] in _BREAKS)
+            name = apart and _IDENTIFIER.match(part.strip("=+"))
+            if (at, stop) == (start, end) or (stop - at >= least and not name):
+                found.append((kind, at, stop))
+            if a >= end:
+                break
+            at = max(at, b)
+    return found
+
+
+def all_spans(text: str, count: Callable[[str], int], ratio: float, bits: float) -> tuple[list[Span], list[Span]]:
+    """Spans of the fixed patterns, and what the token-efficiency test adds outside them."""
+    base = base_spans(text)
+    return base, uncovered(text, token_spans(text, count, ratio, bits), base)
+
+
 def joined(spans: list[Span]) -> str:
     """kind:start:end by start, then kind as listed, comma-joined."""
     order = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -102,8 +150,8 @@ def scan(
     """Secrets of each row of ``docs`` (doc_id, text): rows (doc_id, n_assign, n_access, n_hex,
     base, spans), the last two as text kind:start:end in code points, end exclusive.
 
-    ``base`` has the fixed patterns; ``spans`` adds what the token-efficiency test finds outside
-    them (kind random). Null and empty texts hold none. Repeated rows, null ids and other columns
+    ``base`` has the fixed patterns; ``spans`` adds what the token-efficiency test finds (kind random),
+    of a run that meets a base span the parts outside it. Null and empty texts hold none. Repeated rows, null ids and other columns
     are of no effect on the scan of a row.
     """
 
@@ -113,11 +161,7 @@ def scan(
             rows = []
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                base = base_spans(text)
-                more = [
-                    s for s in token_spans(text, count, ratio, bits)
-                    if all(s[2] <= b[1] or b[2] <= s[1] for b in base)
-                ]
+                base, more = all_spans(text, count, ratio, bits)
                 counts = [sum(k == s[0] for s in base) for k in KINDS[:3]]
                 rows.append((*counts, joined(base), joined(base + more)))
             columns = list(zip(*rows)) or [()] * 5
@@ -149,9 +193,9 @@ def redact(
             for value in batch.column("text"):
                 text = value.as_py()
                 if text:
-                    spans = base_spans(text) + token_spans(text, count, ratio, bits)
+                    base, more = all_spans(text, count, ratio, bits)
                     done, end = [], 0
-                    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+                    for _, a, b in sorted(base + more, key=lambda s: s[1:]):
                         if a >= end:
                             done += [text[end:a], "[secret]"]
                         end = max(end, b)

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 
@@ -39,6 +41,43 @@ def test_token_efficiency():
     assert not find("1111111111111111111111a aaaaaaaaaaaaaaaaaaaaaaaaaaa1 2024-01-01-12-30-00-00")
 
 
+def test_random_strings_of_every_form_are_found():
+    """Letters only, upper-case hex keys and long keys with a hex run inside; brute force over the text."""
+    count, rng = secrets._counter("byte_bpe_50k.tiktoken"), random.Random(11)
+    letters, digits = string.ascii_letters, string.digits
+    makers = {
+        "letters": lambda: "".join(rng.choices(letters, k=24)),
+        "base62": lambda: "".join(rng.choices(letters + digits, k=20)),
+        "upper hex": lambda: "".join(rng.choices("0123456789ABCDEF", k=32)),
+    }
+    for name, make in makers.items():
+        keys = [make() for _ in range(200)]
+        found = 0
+        for key in keys:
+            text = f"the value {key} was seen"
+            base, more = secrets.all_spans(text, count, 2.2, 3.0)
+            found += any(a <= 10 and b >= 10 + len(key) for _, a, b in base + more)
+        assert found >= 190, (name, found)
+    for _ in range(50):
+        head, tail = ("".join(rng.choices("GHJKMNPQRSTVWXYZ23456789", k=20)) for _ in range(2))
+        key = head + "".join(rng.choices("0123456789abcdef", k=32)) + tail
+        base, more = secrets.all_spans(f"a {key} b", count, 2.2, 3.0)
+        covered = {i for _, a, b in base + more for i in range(a, b)}
+        assert covered == set(range(2, 2 + len(key)))
+        assert all(y[1] >= x[2] for x, y in zip(sorted(base + more, key=lambda s: s[1]), sorted(base + more, key=lambda s: s[1])[1:]))
+
+
+def test_digests_and_names_are_left_alone():
+    count = secrets._counter("byte_bpe_50k.tiktoken")
+    find = lambda t: secrets.all_spans(t, count, 2.2, 3.0)[1]
+    value = "9F86D081884C7D659A2FEAA0C55AD015"
+    assert find(f"x {value} y") == [("random", 2, 34)]
+    for name in ("md5: ", "MD5(", "sha-256=", 'checksum "', "commit "):
+        assert not find(f"{name}{value}")
+    assert not find("Donaudampfschifffahrtsgesellschaft src/main/resources/application internationalisation")
+    assert not find("my_service_api_key=9f86d081884c7d659a2feaa0c55ad015")
+
+
 def test_redact(spark):
     docs = awkward(spark)
     out = {(r.doc_id, r["key"]): r for r in secrets.redact(docs).collect()}
