@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid import dims, fixed
 from pulsegrid.functions.text import status_column
-from pulsegrid.operators.ordered import carry_last
+from pulsegrid.operators.ordered import carry_in_place, carry_last
 
 
 def segments(message: Column) -> Column:
@@ -77,6 +77,25 @@ def assign_serial(
     ).drop("_own", "_part")
 
 
+def assign_serial_in_place(
+    messages: DataFrame,
+    order: list[str] | None = None,
+    slices: list[str] | None = None,
+    slice_col: str | None = None,
+) -> DataFrame:
+    """As :func:`assign_serial`, for messages as they are read from files: no message is shuffled.
+
+    ``slices`` (default: ``block``) name the piece of a file a message was read from. Where slices
+    of one source overlap in ``order`` (default: ``seq``, ``part``), messages are shuffled after all, by
+    ``slice_col`` or ranges of the first order column."""
+    order, slices = order or ["seq", "part"], slices or ["block"]
+    df = messages.withColumn("_own", message_serial(F.col("message")))
+    filled = carry_in_place(df, ["src"], order, slices, "_own", "device_serial")
+    if filled is None:
+        return assign_serial(messages, order, slice_col)
+    return filled.withColumn("device_serial", F.coalesce("device_serial", F.lit("unknown"))).drop("_own")
+
+
 def observations(
     messages: DataFrame,
     marker: str = fixed.DEVICE_MARKER,
@@ -91,17 +110,17 @@ def observations(
     obx = F.filter("segments", lambda s: s.startswith("OBX"))
     rows = (
         messages.where(passes_gate(F.col("segments"), marker))
-        .select(*keep, F.posexplode(obx).alias("seq", "line"))
-        .withColumn("f", F.split("line", r"\|"))
-        .where(F.size("f") > 5)
+        .select(*keep, F.posexplode(obx).alias("_obx", "_line"))
+        .withColumn("_f", F.split("_line", r"\|"))
+        .where(F.size("_f") > 5)
     )
     return rows.select(
         *keep,
-        F.col("seq").alias("obx"),
-        _root(F.trim(_field(F.col("f"), 3))).alias("variable_id"),
-        _field(F.col("f"), 5).alias("value"),
-        F.nullif(_field(F.col("f"), unit_field), F.lit("")).alias("unit"),
-        F.coalesce(_field(F.col("f"), time_field), F.lit("")).alias("timestamp"),
+        F.col("_obx").alias("obx"),
+        _root(F.trim(_field(F.col("_f"), 3))).alias("variable_id"),
+        _field(F.col("_f"), 5).alias("value"),
+        F.nullif(_field(F.col("_f"), unit_field), F.lit("")).alias("unit"),
+        F.coalesce(_field(F.col("_f"), time_field), F.lit("")).alias("timestamp"),
     )
 
 

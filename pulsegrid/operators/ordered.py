@@ -8,7 +8,14 @@ per slice. The large table is shuffled once on ``(key, slice)``; the slice table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from pulsegrid.session import materialize
 
 
 def time_slice(ts: Column, slice_seconds: int) -> Column:
@@ -92,6 +99,92 @@ def carry_last(
     )
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Let every later scan of the session cut its files alike, whatever executors come and go."""
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
+def slice_starts(df: DataFrame, keys: list[str], order: list[str], slices: list[str], value: str) -> DataFrame:
+    """One row per slice of each key: ``_start``, the last known ``value`` before it, and
+    ``_mixed``, whether its positions reach into those of the slice before."""
+    at = F.struct(*order)
+    per_slice = df.groupBy(*keys, *slices).agg(
+        F.min(at).alias("_from"),
+        F.max(at).alias("_to"),
+        F.max(F.when(F.col(value).isNotNull(), F.struct(*order, value)))[value].alias("_last"),
+    )
+    by_place = W.partitionBy(*keys).orderBy("_from", "_to")
+    before = by_place.rowsBetween(W.unboundedPreceding, -1)
+    return per_slice.select(
+        *keys,
+        *slices,
+        F.last("_last", ignorenulls=True).over(before).alias("_start"),
+        F.coalesce(F.max("_to").over(before) >= F.col("_from"), F.lit(False)).alias("_mixed"),
+    )
+
+
+def carry_in_place(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    slices: list[str],
+    value: str,
+    out: str,
+    most_slices: int = 1_000_000,
+) -> DataFrame | None:
+    """Last non-null ``value`` at or before each row of the key, without moving a row.
+
+    ``slices`` name the piece of a file that a row was read from, so the rows of a slice are in one
+    task. They are sorted there and filled; what holds at the start of a slice comes from a written
+    table of one row per slice, which is broadcast. Null keys are a key of their own; of rows at the
+    same place the one with the largest value comes last; an empty table gives no rows. None if this
+    cannot be done, because slices of a key overlap in ``order`` or there are more than
+    ``most_slices``: :func:`carry_last` can."""
+    spark = df.sparkSession
+    pin_splits(spark)
+    starts = materialize(
+        slice_starts(df.select(*keys, *order, *slices, value), keys, order, slices, value), "starts"
+    )
+    n, mixed = starts.agg(F.count(F.lit(1)), F.coalesce(F.max("_mixed"), F.lit(False))).first()
+    if mixed or n > most_slices:
+        return None
+    names = [*keys, *slices]
+    firsts = F.broadcast(starts.select(*[F.col(c).alias(f"_of_{c}") for c in names], "_start", F.lit(True).alias("_met")))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names])
+    placed = df.join(firsts, same, "left").drop(*[f"_of_{c}" for c in names])
+    here = F.xxhash64(*names)  # differs from one slice to the next; rows of one slice are together
+    placed = placed.withColumn("_here", here).sortWithinPartitions(
+        *names, *order, F.col(value).asc_nulls_first()
+    )
+    kept = [c for c in df.columns if c != out]
+    schema = df.select(*kept, F.col(value).alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_here, last_value = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not all(batch.column("_met").to_pylist()):
+                raise ValueError("the files were cut differently by two scans of one job")
+            here = batch.column("_here").to_numpy()
+            own = batch.column(value)
+            first = np.concatenate([[here[0] != last_here], here[1:] != here[:-1]])
+            known = own.is_valid().to_numpy(zero_copy_only=False)
+            # rows to take from: the batch's own values, its starts, then what the last batch held
+            at = np.where(known, np.arange(len(own)), np.where(first, len(own) + np.arange(len(own)), -1))
+            if at[0] < 0:
+                at[0] = 2 * len(own)
+            at = at[np.maximum.accumulate(np.where(at >= 0, np.arange(len(own)), 0))]
+            pool = pa.concat_arrays([own, batch.column("_start"), pa.array([last_value], own.type)])
+            filled = pool.take(pa.array(at))
+            last_here, last_value = here[-1], filled[-1].as_py()
+            yield pa.record_batch([*[batch.column(c) for c in kept], filled], names=[*kept, out])
+
+    return placed.mapInArrow(run, schema)
+
+
 def spread(
     rows: DataFrame,
     keys: list[str],

@@ -259,13 +259,15 @@ def attribution_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One device message per event: ``(src, pos, timestamp, message)``.
+def messages(spark: SparkSession, sf_dir: str, located: bool = False) -> DataFrame:
+    """One device message per event: ``(src, pos, timestamp, message)``; if ``located`` with the piece
+    of a file that holds it, ``(file, block)``.
 
     The gateway (``src``) follows the event type, so each source is a fifth of the table. Low
     readings come from another device model, some messages lack the serial number, some times
     are cut short."""
     ev = table(spark, sf_dir, "events").withColumn("k", packed())
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
     model = F.when(F.col("value") >= 10, "Elisa 800").otherwise("Elisa 500")
     at = F.date_format("ts", "yyyyMMddHHmmss")
     seen = F.when(F.col("k") == 13, F.substring(at, 1, 8)).when(
@@ -299,4 +301,5 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             obx("4", "NM", F.lit("2046"), F.when(F.col("k") < 50, "0").otherwise("1")),
             own,
         ).alias("message"),
+        *(place if located else []),
     )

@@ -44,7 +44,9 @@ _TIME = "CASE WHEN length(timestamp) >= 14 THEN try_strptime(substr(timestamp, 1
 
 
 def _parsed(spark, sf):
-    return ms.with_segments(ms.assign_serial(ad.messages(spark, sf).drop("timestamp")))
+    read = ad.messages(spark, sf, located=True).drop("timestamp")
+    known = ms.assign_serial_in_place(read, ["pos"], ["file", "block"])
+    return ms.with_segments(known.drop("file", "block"))
 
 
 def _observations(spark, sf):

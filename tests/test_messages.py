@@ -145,3 +145,62 @@ def test_frames_drop_the_unfinished_one(spark):
     capture = f"noise\x0b{a}\x1c\r\x0b{b}\x1c\r\x0bMSH|cut off"
     got = src.read_frames(spark, write(spark, capture))
     assert [r.message for r in got.orderBy("block", "seq").collect()] == [a, b]
+
+
+def capture(spark, folder_texts):
+    """Plain text captures, one file a source, read in small splits."""
+    path = scratch_path(spark, "captures")
+    for i, texts in enumerate(folder_texts):
+        rows = spark.createDataFrame([("\n".join(t.replace("\r", "\n") for t in texts),)], "value string")
+        rows.coalesce(1).write.mode("append").option("lineSep", "\x00").text(f"{path}/f{i}")
+    return path + "/*"
+
+
+def expected_serials(texts, serials):
+    out, last = [], "unknown"
+    for s in serials:
+        last = s or last
+        out.append(last)
+    return out
+
+
+def shuffled_columns(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_serials_are_filled_where_messages_are_read(spark):
+    serials = [[None, None] + [f"S{i // 300}" if i % 300 == 7 else None for i in range(1500)], [None] * 3, ["A"] + [None] * 900]
+    texts = [
+        [message(obx(1, "635", str(i)), *([obx(2, "1913", s)] if s else []), control=str(i)) for i, s in enumerate(own)]
+        for own in serials
+    ]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        read = src.read_message_files(spark, capture(spark, texts))
+        assert read.rdd.getNumPartitions() > 8
+        filled = ms.assign_serial_in_place(read)
+        got = filled.withColumn("id", ms.control_id(F.col("message")).cast("int")).orderBy("src", "id").collect()
+        rows = ingest(read, order=["seq", "part"], slices=["block"])
+        assert shuffled_columns(filled) == [] and shuffled_columns(rows) == []
+        assert rows.where("variable_id = '635'").count() == sum(map(len, texts))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by_file = {}
+    for r in got:
+        by_file.setdefault(r.src, []).append(r.device_serial)
+    assert [by_file[k] for k in sorted(by_file)] == [expected_serials(t, s) for t, s in zip(texts, serials)]
+
+
+def test_overlapping_slices_null_sources_ties_and_empty_tables(spark):
+    own = [None, "A", None, None, "B", None, "C", "D", None]
+    pos = [0, 1, 2, 3, 4, 5, 6, 6, 7]
+    rows = [(s, p, p // 3, message(obx(1, "635", "1"), *([obx(2, "1913", o)] if o else []))) for s in (None, "gw") for p, o in zip(pos, own)]
+    df = spark.createDataFrame(rows, "src string, pos long, block long, message string").repartition(1)
+    got = ms.assign_serial_in_place(df, ["pos"]).orderBy("src", "pos", "device_serial").collect()
+    want = ["unknown", "A", "A", "A", "B", "B", "C", "D", "D"]
+    assert [r.device_serial for r in got] == want * 2
+    mixed = df.withColumn("block", F.col("pos") % 2).where("src is not null and pos <> 6")
+    got = ms.assign_serial_in_place(mixed, ["pos"]).orderBy("pos").collect()
+    assert [r.device_serial for r in got] == ["unknown", "A", "A", "A", "B", "B", "B"]
+    assert ms.assign_serial_in_place(df.limit(0), ["pos"]).count() == 0
