@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid import dims, fixed
 from pulsegrid.functions.text import status_column
-from pulsegrid.operators.ordered import carry_in_place, carry_last
+from pulsegrid.operators.ordered import carry_in_place, carry_last, pin_splits
 
 
 def segments(message: Column) -> Column:
@@ -82,13 +82,21 @@ def assign_serial_in_place(
     order: list[str] | None = None,
     slices: list[str] | None = None,
     slice_col: str | None = None,
+    min_tasks: int | None = None,
 ) -> DataFrame:
     """As :func:`assign_serial`, for messages as they are read from files: no message is shuffled.
 
     ``slices`` (default: ``block``) name the piece of a file a message was read from. Where slices
     of one source overlap in ``order`` (default: ``seq``, ``part``), messages are shuffled after all, by
-    ``slice_col`` or ranges of the first order column."""
+    ``slice_col`` or ranges of the first order column; so are files that fewer than ``min_tasks``
+    (default: the cores at hand) tasks read, which a shuffle spreads. Either way gives the same."""
     order, slices = order or ["seq", "part"], slices or ["block"]
+    spark = messages.sparkSession
+    pin_splits(spark)
+    if min_tasks is None:
+        min_tasks = spark.sparkContext.defaultParallelism
+    if messages.rdd.getNumPartitions() < min_tasks:
+        return assign_serial(messages, order, slice_col)
     df = messages.withColumn("_own", message_serial(F.col("message")))
     filled = carry_in_place(df, ["src"], order, slices, "_own", "device_serial")
     if filled is None:
