@@ -9,9 +9,9 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm.common import texts
+from pulsegrid.llm.common import arrow_map, cut, kept, texts, union_all
 
 #: ASCII letters in lower case, digits and every byte of a non-ASCII character are kept; the rest
 #: separates words.
@@ -29,168 +29,239 @@ def normalise(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def windows(items: list[tuple[str, bytes]], width: int) -> dict[str, set[str]]:
-    """Window text (words with one space before each and one at the end, one character a byte) to
-    the ids of the items that hold it. An item of fewer than ``width`` words is one window."""
-    found: dict[str, set[str]] = {}
-    for item, text in items:
-        words = normalise(text)
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            window = b" " + b" ".join(words[i : i + width]) + b" "
-            found.setdefault(window.decode("latin-1"), set()).add(item)
-    return found
+#: Windows of one automaton (about 900 bytes each).
+MOST_WINDOWS = 500_000
+#: A word's number is written with two letters, a first of these many and a second from there on: the
+#: automaton looks for a node's next letter among its letters one by one, so they must be few.
+_FIRST = 512
+_PLACES = "array<struct<at:int,start:int,end:int>>"
+
+
+class Matcher:
+    """Aho-Corasick automaton over the word windows of ``items``. A whole word is two letters, so a
+    window of ten words costs at most twenty nodes, however long its words are; an item of fewer
+    than ``width`` words is one window."""
+
+    def __init__(self, items: list[tuple[str, bytes]], width: int):
+        self.letter: dict[bytes, str] = {}
+        found: dict[str, tuple[str, ...]] = {}
+        same: dict[tuple, tuple] = {}  # equal values are one object
+        for item, text in items:
+            words = normalise(text)
+            for w in words:
+                if w not in self.letter:
+                    high, low = divmod(len(self.letter), _FIRST)
+                    self.letter[w] = chr(1 + low) + chr(1 + _FIRST + high)
+            line = "".join(map(self.letter.__getitem__, words))
+            for i in range(max(1, len(words) - width + 1) if words else 0):
+                window = line[2 * i : 2 * (i + width)]
+                ids = found.get(window, ())
+                if item not in ids:
+                    ids = (*ids, item)
+                    found[window] = same.setdefault(ids, ids)
+        self.built = ahocorasick.Automaton()
+        while found:
+            window, ids = found.popitem()
+            value = (len(window) // 2, ids)
+            self.built.add_word(window, same.setdefault(value, value))
+        if len(self.built):
+            self.built.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Which words lie inside an occurrence of a window, and the ids of the items concerned."""
+        hit, items = np.zeros(len(words), bool), set()
+        if words and len(self.built):
+            line = "".join([self.letter.get(w, "\0\0") for w in words])
+            for at, (count, ids) in self.built.iter(line):
+                last = at // 2
+                hit[last - count + 1 : last + 1] = True
+                items.update(ids)
+        return hit, items
 
 
-def automaton(items: list[tuple[str, bytes]], width: int) -> ahocorasick.Automaton:
-    built = ahocorasick.Automaton()
-    for window, ids in windows(items, width).items():
-        built.add_word(window, (window.count(" ") - 1, tuple(sorted(ids))))
-    if len(built):
-        built.make_automaton()
-    return built
+@kept
+def _matcher(shared) -> Matcher:
+    """The automaton of a block, built once by a Python worker for all its tasks."""
+    return Matcher(*shared.value)
 
 
-def scan(built: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-    """Which words lie inside an occurrence of a window, and the ids of the items concerned."""
-    hit, items = np.zeros(len(words), bool), set()
-    if not words or not len(built):
-        return hit, items
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    ends: np.ndarray | None = None
-    for at, (count, ids) in built.iter(line):
-        if ends is None:  # place of the space after each word
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        last = int(np.searchsorted(ends, at))
-        hit[last - count + 1 : last + 1] = True
-        items.update(ids)
-    return hit, items
-
-
-def spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
-    """Ranges of ``text`` (code points, end exclusive) from the first to the last word of each run
-    of hit words."""
-    found: list[dict[str, int]] = []
+def places(text: str, hit: np.ndarray) -> list[dict[str, int]]:
+    """Number and range (code points, end exclusive) of each hit word."""
     if not hit.any():
-        return found
-    before = False
-    for k, m in enumerate(_WORD.finditer(text)):
-        if hit[k]:
-            if before:
-                found[-1]["end"] = m.end()
-            else:
-                found.append({"start": m.start(), "end": m.end()})
-        before = bool(hit[k])
+        return []
+    return [
+        {"at": k, "start": m.start(), "end": m.end()}
+        for k, m in enumerate(_WORD.finditer(text)) if hit[k]
+    ]
+
+
+def spans(words: list[dict[str, int]]) -> list[dict[str, int]]:
+    """Ranges from the first to the last word of each run of neighbouring words."""
+    found: list[dict[str, int]] = []
+    before = None
+    for w in words:
+        if before is not None and w["at"] == before + 1:
+            found[-1]["end"] = w["end"]
+        else:
+            found.append({"start": w["start"], "end": w["end"]})
+        before = w["at"]
     return found
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> list[list[tuple[str, bytes]]]:
-    """Benchmark items in blocks of at most about ``limit`` bytes of text each.
+def _pieces(benchmark: DataFrame, width: int, most: int) -> DataFrame:
+    """Rows (item, words, n): items in pieces of at most about ``most`` windows, neighbours sharing
+    ``width`` - 1 words so that no window is lost and none is added."""
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"({_WORD.pattern})"), F.lit(1))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("w")).where(
+        "item is not null and size(w) > 0"
+    )
+    return items.selectExpr(
+        "item", f"explode(sequence(0, greatest(0, size(w) - {width}), {most})) as at", "w"
+    ).selectExpr("item", f"slice(w, at + 1, {most + width - 1}) as w").selectExpr(
+        "item", "concat_ws(' ', w) as words", "size(w) as n"
+    )
+
+
+def _blocks(benchmark: DataFrame, width: int, limit: int) -> list[DataFrame]:
+    """The benchmark in blocks of at most about ``limit`` windows; one, unless it holds more."""
+    limit = min(limit, MOST_WINDOWS)
+    pieces = _pieces(benchmark, width, max(1, limit // 16))
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total <= limit:
+        return [pieces]
+    n = -(-3 * total // (2 * limit))  # hashing leaves some blocks fuller than others
+    pieces = cut(pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n))), "benchmark")
+    return [pieces.where(F.col("block") == k) for k in range(n)]
+
 
-    One block, and so one automaton, unless the benchmark is larger than the limit; blocks are
-    taken one after the other, so neither the driver nor a task holds more than one."""
-    rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where(
-        "item_id is not null and text is not null"
+def _share(spark: SparkSession, block: DataFrame, width: int):
+    """A block's pieces, sent to the tasks (its size is bounded by the block's windows)."""
+    rows = [(r["item"], r["words"].encode()) for r in block.select("item", "words").collect()]
+    return spark.sparkContext.broadcast((rows, width))
+
+
+def _hits(docs: DataFrame, shared, only_hit: bool) -> DataFrame:
+    """Rows (doc_id, text_sha, n_words, items, places) of ``docs`` (doc_id, text) for one block."""
+    schema = pa.schema(
+        {
+            "doc_id": pa.int64(), "text_sha": pa.binary(), "n_words": pa.int64(), "items": pa.list_(pa.string()),
+            "places": pa.list_(pa.struct({"at": pa.int32(), "start": pa.int32(), "end": pa.int32()})),
+        }
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(shared)
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
+                words = normalise(text)
+                hit, ids = matcher.scan(words)
+                if ids or not only_hit:
+                    sha = hashlib.sha256(text).digest() if only_hit else None
+                    rows.append((doc, sha, len(words), sorted(ids), places(text.decode(), hit)))
+            columns = list(zip(*rows)) or [()] * len(schema)
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return docs.mapInArrow(
+        run, f"doc_id long, text_sha binary, n_words long, items array<string>, places {_PLACES}"
+    )
+
+
+def _key() -> Column:
+    """SHA-256 of the text, null as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+
+
+def _passes(docs: DataFrame, blocks: list[DataFrame], width: int) -> DataFrame:
+    """Hits of several blocks, one row per different (doc_id, text) that has any: a job per block, each
+    with one automaton in a worker's memory, each written with the hit documents only."""
+    found = []
+    for block in blocks:
+        shared = _share(docs.sparkSession, block, width)
+        part = _hits(docs, shared, only_hit=True)
+        # copies of a row give the same: one of each leaves a task
+        part = part.groupBy("doc_id", "text_sha").agg(F.first("items").alias("items"), F.first("places").alias("places"))
+        found.append(cut(part, "hits"))
+        shared.destroy()
+    return union_all(found).groupBy("doc_id", "text_sha").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"),
     )
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // limit))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1].encode()) for r in part.collect()]
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = 32 << 20
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = MOST_WINDOWS
 ) -> DataFrame:
     """Scan ``docs`` (doc_id, text) once for windows of ``width`` words of ``benchmark`` (item_id,
     text): rows (doc_id, n_words, n_hit, n_items, items, spans).
 
-    ``items`` are the ids as text, sorted; ``spans`` lie in the original text, in code points. The
-    automaton travels to the tasks; the text it is built from is measured first, and a benchmark
-    above ``limit`` bytes is scanned in several passes of that size each, whose hits are united.
+    ``items`` are the ids as text, sorted; ``spans`` lie in the original text, in code points. One
+    automaton serves a benchmark of at most ``limit`` windows, counted first. A larger one is
+    scanned in blocks of about that size, one job after the other, so no worker holds more than
+    one block; long items are cut in pieces. Their hits are united by document and text.
     Null and empty texts have no words; items without words or id have no windows; an empty
-    benchmark hits nothing. Repeated rows are scanned each. Other columns are ignored.
+    benchmark hits nothing. Repeated rows each have their row. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    out = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.array().cast("array<int>").alias("hit"),
-        F.array().cast("array<string>").alias("items"),
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    for items in _blocks(benchmark, limit):
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(items), width), out.schema)
-
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, text, hits, items in zip(
-                batch.column("doc_id").to_pylist(), texts(batch.column("text")),
-                batch.column("hit"), batch.column("items"),
-            ):
-                n, hits = len(normalise(text)), hits.values.to_numpy(zero_copy_only=False)
-                mask = np.zeros(n, bool)
-                mask[hits] = True
-                ids = sorted(set(items.as_py()))
-                rows.append((doc, n, int(mask.sum()), len(ids), ids, spans(text.decode(), mask)))
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    schema = pa.schema(
-        {
-            "doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(),
-            "items": pa.list_(pa.string()),
-            "spans": pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()})),
-        }
+    blocks = _blocks(benchmark, width, limit)
+    if len(blocks) == 1:
+        out = _hits(plain, _share(docs.sparkSession, blocks[0], width), only_hit=False)
+    else:
+        hits = _passes(plain, blocks, width).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_sha", "_sha")
+        words = F.regexp_count("text", F.lit(_WORD.pattern))
+        every = plain.select("doc_id", _key().alias("text_sha"), F.coalesce(words, F.lit(0)).cast("long").alias("n_words"))
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_sha") == F.col("_sha"))
+        out = every.join(hits, same, "left").select(
+            "doc_id", "n_words",
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+            F.coalesce("places", F.array().cast(_PLACES)).alias("places"),
+        )
+
+    def final(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs = [spans(p) for p in batch.column("places").to_pylist()]
+        return pa.record_batch(
+            [
+                batch.column("doc_id"), batch.column("n_words"), batch.column("n_hit"), batch.column("n_items"),
+                batch.column("items"), pa.array(runs, pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()}))),
+            ],
+            names=["doc_id", "n_words", "n_hit", "n_items", "items", "spans"],
+        )
+
+    counted = out.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"), "items", "places",
     )
-    return out.mapInArrow(
-        final,
+    return arrow_map(
+        counted, final,
         "doc_id long, n_words long, n_hit long, n_items long, items array<string>, "
         "spans array<struct<start:int,end:int>>",
     )
 
 
-def _pass(shared, width: int):
-    """Add to each row the hit words and items that one block of the benchmark gives."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(shared.value, width)
-        for batch in batches:
-            hits, items = [], []
-            for text, old, ids in zip(
-                texts(batch.column("text")), batch.column("hit"), batch.column("items")
-            ):
-                mask, found = scan(built, normalise(text))
-                hits.append(np.concatenate([old.values.to_numpy(zero_copy_only=False), np.flatnonzero(mask)]).astype(np.int32))
-                items.append([*ids.as_py(), *found])
-            yield pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id"), "text": batch.column("text"),
-                    "hit": pa.array(hits, pa.list_(pa.int32())),
-                    "items": pa.array(items, pa.list_(pa.string())),
-                }
-            )
-
-    return run
-
-
 def digest(items: list[str]) -> str:
     """Lowercase hex SHA-256 of the sorted ids, comma-joined."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, limit: int = MOST_WINDOWS
+) -> DataFrame:
     """``docs`` without the rows that hold a window of ``benchmark``; rows that repeat an id with
-    another text are judged by their own text, rows without a doc_id as well."""
-    spark = docs.sparkSession
-    out = docs
-    for items in _blocks(benchmark, 32 << 20):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            built = automaton(shared.value, width)
-            for batch in batches:
-                clean = [not scan(built, normalise(t))[0].any() for t in texts(batch.column("text"))]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+    another text are judged by their own text, rows without a doc_id as well. A benchmark of more than
+    ``limit`` windows is scanned in blocks, and rows with a hit are taken out by their text."""
+    blocks = _blocks(benchmark, width, limit)
+    if len(blocks) > 1:
+        plain = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        bad = _passes(plain, blocks, width).select(F.col("text_sha").alias("_bad_sha"))
+        return docs.join(bad, _key() == F.col("_bad_sha"), "left_anti")
+    shared = _share(docs.sparkSession, blocks[0], width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(shared)
+        for batch in batches:
+            clean = [not matcher.scan(normalise(t))[1] for t in texts(batch.column("text"))]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
