@@ -70,7 +70,7 @@ def test_empty_benchmark(spark):
     assert decontaminate.drop_contaminated(docs, nothing).count() == docs.count()
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 60])
+@pytest.mark.parametrize("limit", [32 << 20, 600])
 def test_long_items_and_many_blocks(spark, limit):
     """Items of more windows than a block holds, shared windows, words of one number's half."""
     long = " ".join(f"w{i % 700}x{i // 700}" for i in range(1500))
