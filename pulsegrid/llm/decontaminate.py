@@ -71,7 +71,8 @@ class Matcher:
         """Which words lie inside an occurrence of a window, and the ids of the items concerned."""
         hit, items = np.zeros(len(words), bool), set()
         if words and len(self.built):
-            line = "".join([self.letter.get(w, "\0\0") for w in words])
+            letter = self.letter.get
+            line = "".join([letter(w, "\0\0") for w in words])
             for at, (count, ids) in self.built.iter(line):
                 last = at // 2
                 hit[last - count + 1 : last + 1] = True
@@ -140,31 +141,47 @@ def _share(spark: SparkSession, block: DataFrame, width: int):
     return spark.sparkContext.broadcast((rows, width))
 
 
-def _hits(docs: DataFrame, shared, only_hit: bool) -> DataFrame:
-    """Rows (doc_id, text_sha, n_words, items, places) of ``docs`` (doc_id, text) for one block."""
-    schema = pa.schema(
-        {
-            "doc_id": pa.int64(), "text_sha": pa.binary(), "n_words": pa.int64(), "items": pa.list_(pa.string()),
-            "places": pa.list_(pa.struct({"at": pa.int32(), "start": pa.int32(), "end": pa.int32()})),
-        }
-    )
+_PLACE = pa.struct({"at": pa.int32(), "start": pa.int32(), "end": pa.int32()})
+_SPAN = pa.struct({"start": pa.int32(), "end": pa.int32()})
+_HITS = pa.schema(
+    {"doc_id": pa.int64(), "text_sha": pa.binary(), "items": pa.list_(pa.string()), "places": pa.list_(_PLACE)}
+)
+_FOUND = pa.schema(
+    {
+        "doc_id": pa.int64(), "n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(),
+        "items": pa.list_(pa.string()), "spans": pa.list_(_SPAN),
+    }
+)
+_FOUND_SQL = (
+    "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<start:int,end:int>>"
+)
+
+
+def _scanned(docs: DataFrame, shared, row, schema: pa.Schema, sql: str) -> DataFrame:
+    """What ``row(doc_id, text, hit words, item ids)`` gives of each document for one block; rows of
+    ``schema``, none where it gives None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(shared)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))):
-                words = normalise(text)
-                hit, ids = matcher.scan(words)
-                if ids or not only_hit:
-                    sha = hashlib.sha256(text).digest() if only_hit else None
-                    rows.append((doc, sha, len(words), sorted(ids), places(text.decode(), hit)))
+                made = row(doc, text, *matcher.scan(normalise(text)))
+                if made is not None:
+                    rows.append(made)
             columns = list(zip(*rows)) or [()] * len(schema)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.mapInArrow(
-        run, f"doc_id long, text_sha binary, n_words long, items array<string>, places {_PLACES}"
-    )
+    return docs.mapInArrow(run, sql)
+
+
+def _whole_row(doc, text: bytes, hit: np.ndarray, ids: set[str]) -> tuple:
+    runs = spans(places(text.decode(), hit)) if ids else []
+    return doc, len(hit), int(np.count_nonzero(hit)), len(ids), sorted(ids), runs
+
+
+def _hit_row(doc, text: bytes, hit: np.ndarray, ids: set[str]) -> tuple | None:
+    return (doc, hashlib.sha256(text).digest(), sorted(ids), places(text.decode(), hit)) if ids else None
 
 
 def _key() -> Column:
@@ -178,7 +195,9 @@ def _passes(docs: DataFrame, blocks: list[DataFrame], width: int) -> DataFrame:
     found = []
     for block in blocks:
         shared = _share(docs.sparkSession, block, width)
-        part = _hits(docs, shared, only_hit=True)
+        part = _scanned(
+            docs, shared, _hit_row, _HITS, f"doc_id long, text_sha binary, items array<string>, places {_PLACES}"
+        )
         # copies of a row give the same: one of each leaves a task
         part = part.groupBy("doc_id", "text_sha").agg(F.first("items").alias("items"), F.first("places").alias("places"))
         found.append(cut(part, "hits"))
@@ -207,37 +226,26 @@ def decontaminate(
     )
     blocks = _blocks(benchmark, width, limit)
     if len(blocks) == 1:
-        out = _hits(plain, _share(docs.sparkSession, blocks[0], width), only_hit=False)
-    else:
-        hits = _passes(plain, blocks, width).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_sha", "_sha")
-        words = F.regexp_count("text", F.lit(_WORD.pattern))
-        every = plain.select("doc_id", _key().alias("text_sha"), F.coalesce(words, F.lit(0)).cast("long").alias("n_words"))
-        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_sha") == F.col("_sha"))
-        out = every.join(hits, same, "left").select(
-            "doc_id", "n_words",
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-            F.coalesce("places", F.array().cast(_PLACES)).alias("places"),
-        )
+        shared = _share(docs.sparkSession, blocks[0], width)
+        return _scanned(plain, shared, _whole_row, _FOUND, _FOUND_SQL)
+    hits = _passes(plain, blocks, width).withColumnRenamed("doc_id", "_doc").withColumnRenamed("text_sha", "_sha")
+    words = F.regexp_count("text", F.lit(_WORD.pattern))
+    every = plain.select("doc_id", _key().alias("text_sha"), F.coalesce(words, F.lit(0)).cast("long").alias("n_words"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_sha") == F.col("_sha"))
+    joined = every.join(hits, same, "left").select(
+        "doc_id", "n_words",
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("places", F.array().cast(_PLACES)).alias("places"),
+    )
 
     def final(batch: pa.RecordBatch) -> pa.RecordBatch:
-        runs = [spans(p) for p in batch.column("places").to_pylist()]
-        return pa.record_batch(
-            [
-                batch.column("doc_id"), batch.column("n_words"), batch.column("n_hit"), batch.column("n_items"),
-                batch.column("items"), pa.array(runs, pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()}))),
-            ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items", "spans"],
-        )
+        rows = [
+            (doc, n, len(at), len(ids), ids, spans(at))
+            for doc, n, ids, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "items", "places")))
+        ]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _FOUND)], schema=_FOUND)
 
-    counted = out.select(
-        "doc_id", "n_words", F.size("places").cast("long").alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"), "items", "places",
-    )
-    return arrow_map(
-        counted, final,
-        "doc_id long, n_words long, n_hit long, n_items long, items array<string>, "
-        "spans array<struct<start:int,end:int>>",
-    )
+    return arrow_map(joined, final, _FOUND_SQL)
 
 
 def digest(items: list[str]) -> str:
