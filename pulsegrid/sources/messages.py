@@ -20,12 +20,13 @@ def _located(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_message_files(spark: SparkSession, path: str) -> DataFrame:
+def read_message_files(spark: SparkSession, path: str, line_end: str = "\n") -> DataFrame:
     """Messages of plain text captures: a line starting ``MSH`` opens a message.
 
-    Records are cut at newline + ``MSH`` while reading, so large files stay splittable; captures
-    with other line ends are cut further inside the record."""
-    records = _located(spark.read.option("lineSep", "\nMSH").text(path))
+    Records are cut at ``line_end`` + ``MSH`` while reading, so large files stay splittable; captures
+    with other line ends give the same messages, but only of one record. Pass ``"\r"`` for captures
+    whose lines end in carriage returns alone."""
+    records = _located(spark.read.option("lineSep", line_end + "MSH").text(path))
     text = F.regexp_replace(F.concat(F.lit("\nMSH"), F.col("value")), "\r", "\n")
     first = (F.col("block") == 0) & F.col("value").rlike(r"^\s*MSH")
     text = F.when(first, F.regexp_replace("value", "\r", "\n")).otherwise(text)

@@ -140,6 +140,20 @@ def test_large_capture_is_read_in_splits(spark):
     assert ids == [str(i) for i in range(2000)]
 
 
+def test_carriage_return_capture_is_read_in_splits(spark):
+    texts = [message(obx(1, "635", str(i)), control=str(i)) for i in range(2000)]
+    path = write(spark, "\r".join(texts))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = src.read_message_files(spark, path, line_end="\r")
+        spread = got.groupBy("block").count().collect()
+        ids = [r[0] for r in got.orderBy("block", "seq", "part").select(ms.control_id(F.col("message"))).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [i for i in ids if i not in ("", "\x00")] == [str(i) for i in range(2000)]
+    assert len(spread) > 3 and max(r["count"] for r in spread) < 1000
+
+
 def test_frames_drop_the_unfinished_one(spark):
     a, b = message(control="1"), message(control="2")
     capture = f"noise\x0b{a}\x1c\r\x0b{b}\x1c\r\x0bMSH|cut off"
