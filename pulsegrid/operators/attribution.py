@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache, cached_property
 from math import factorial
 
 import numpy as np
@@ -15,49 +17,180 @@ from pulsegrid.models.forest import KEY, FlatTree, IsolationForest, flat_trees
 from pulsegrid.models.linear_svm import subsample
 
 
-def _leaf_boxes(tree: FlatTree):
-    """For each leaf: its value and, per distinct feature on the path, the interval it accepts."""
-    stack = [(0, {})]
+@dataclass
+class _Table:
+    """Part of a tree whose Shapley values are looked up: the bits of a row's code that its splits
+    set, and one line of values per feature, by code."""
+
+    splits: list[tuple[int, float, int]]  # feature, threshold, bit
+    features: list[int]
+    values: np.ndarray
+
+
+@dataclass
+class _Split:
+    """A split above the tables; what it accepts is kept in one bit of the code per feature."""
+
+    feature: int
+    threshold: float
+    bit: int
+    again: bool
+    left: "_Split | _Table | list"
+    right: "_Split | _Table | list"
+
+
+@cache
+def _shares(n: int) -> np.ndarray:
+    """Values of a leaf with ``n`` path features and unit mass: (background code, code * features)."""
+    codes = np.arange(1 << n)
+    bits = (codes[:, None] >> np.arange(n)) & 1 == 1
+    z, x = bits[:, None, :], bits[None, :, :]
+    for_x, for_z, dead = x & ~z, ~x & z, (~x & ~z).any(axis=2)
+    a, b = for_x.sum(axis=2), for_z.sum(axis=2)
+    plus, minus = np.where(dead, 0.0, _PLUS[a, b]), np.where(dead, 0.0, _MINUS[a, b])
+    out = for_x * plus[:, :, None] - for_z * minus[:, :, None]
+    return out.reshape(len(codes), len(codes) * n)
+
+
+def _inner(tree: FlatTree, node: int) -> list[int]:
+    """Splits of the subtree below ``node``."""
+    todo, found = [node], []
+    while todo:
+        at = todo.pop()
+        if tree.feature[at] >= 0:
+            found.append(at)
+            todo += [tree.right[at], tree.left[at]]
+    return found
+
+
+def _accepted(tree: FlatTree, node: int, known: dict, goes_left: dict):
+    """For each leaf below ``node``: its value and, per path feature, whether it accepts, given that
+    of the ``known`` path and of each split."""
+    f = int(tree.feature[node])
+    if f < 0:
+        yield tree.value[node], known
+        return
+    here = goes_left[node]
+    for side, on in ((tree.left[node], here), (tree.right[node], ~here)):
+        yield from _accepted(tree, side, {**known, f: known[f] & on if f in known else on}, goes_left)
+
+
+def _table(tree: FlatTree, node: int, slots: dict[int, int], code: np.ndarray, base: np.ndarray) -> _Table:
+    """Values of the leaves below ``node``, summed, for every code of path features and splits;
+    ``code`` is that of the path features of the background rows ``base``."""
+    splits = _inner(tree, node)
+    bit = {at: len(slots) + k for k, at in enumerate(splits)}
+    placed = [(int(tree.feature[at]), tree.threshold[at], bit[at]) for at in splits]
+    at_base = _coded(placed, code, base)
+    codes = np.arange(1 << (len(slots) + len(splits)))
+    is_on = lambda k: (codes >> k) & 1 == 1
+    known = {f: is_on(k) for f, k in slots.items()}
+    features = list(dict.fromkeys([*slots, *(f for f, _, _ in placed)]))
+    values = np.zeros((len(features), len(codes)))
+    for value, accepts in _accepted(tree, node, known, {at: is_on(k) for at, k in bit.items()}):
+        own = np.zeros(len(codes), np.intp)
+        for k, on in enumerate(accepts.values()):
+            own |= on.astype(np.intp) << k
+        mass = np.bincount(own[at_base], minlength=1 << len(accepts)) * value
+        z = np.flatnonzero(mass)
+        shares = (mass[z] @ _shares(len(accepts))[z]).reshape(-1, len(accepts))
+        for k, f in enumerate(accepts):
+            values[features.index(f)] += shares[own, k]
+    return _Table(placed, features, values)
+
+
+def _coded(splits: list[tuple[int, float, int]], code: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """``code`` with the bits of ``splits``; ``columns`` are (feature, row)."""
+    out = code.astype(np.intp)
+    for f, threshold, bit in splits:
+        out |= (columns[f] < threshold).astype(np.intp) << bit
+    return out
+
+
+def _sides(split: _Split, code: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of both children of a split above the tables."""
+    on = (columns[split.feature] < split.threshold).astype(code.dtype) << code.dtype.type(split.bit)
+    one = code.dtype.type(1 << split.bit)
+    if split.again:
+        return code & (on | ~one), code & ~on
+    return code | on, code | (on ^ one)
+
+
+def _tabled(tree: FlatTree, node: int, slots: dict[int, int], code: np.ndarray, base: np.ndarray, box: dict):
+    """A tree, or the part of it below ``node``, as splits and tables. Where a path has more features
+    than a code has bits, its leaves stand as they are (see :func:`_by_pattern`)."""
+    if len(slots) + len(_inner(tree, node)) <= BITS:
+        return _table(tree, node, slots, code, base)
+    f, cut = int(tree.feature[node]), tree.threshold[node]
+    if f not in slots and len(slots) == BITS:
+        return _patterns(tree, node, box, base)
+    low, high = box.get(f, (-np.inf, np.inf))
+    out = _Split(f, cut, slots.get(f, len(slots)), f in slots, [], [])
+    slots = {**slots, f: out.bit}
+    to_left, to_right = _sides(out, code, base)
+    out.left = _tabled(tree, tree.left[node], slots, to_left, base, {**box, f: (low, min(high, cut))})
+    out.right = _tabled(tree, tree.right[node], slots, to_right, base, {**box, f: (max(low, cut), high)})
+    return out
+
+
+def _patterns(tree: FlatTree, node: int, box: dict, base: np.ndarray) -> list[tuple]:
+    """Leaves below ``node``: per distinct feature on the path the interval it accepts, and the
+    acceptance patterns of the background rows with their mass."""
+    out, stack = [], [(node, box)]
     while stack:
         node, box = stack.pop()
         f = int(tree.feature[node])
-        if f < 0:
-            if box:
-                yield tree.value[node], box
+        if f >= 0:
+            low, high = box.get(f, (-np.inf, np.inf))
+            cut = tree.threshold[node]
+            stack.append((tree.left[node], {**box, f: (low, min(high, cut))}))
+            stack.append((tree.right[node], {**box, f: (max(low, cut), high)}))
             continue
-        low, high = box.get(f, (-np.inf, np.inf))
-        cut = tree.threshold[node]
-        stack.append((tree.left[node], {**box, f: (low, min(high, cut))}))
-        stack.append((tree.right[node], {**box, f: (max(low, cut), high)}))
-
-
-def prepared(trees: list[FlatTree], background: np.ndarray) -> list[tuple]:
-    """What does not depend on the rows to explain: each leaf's box and value, and the acceptance
-    patterns of the background rows with their counts."""
-    out = []
-    for tree in trees:
-        for value, box in _leaf_boxes(tree):
-            feats = list(box)
-            low = np.array([box[f][0] for f in feats])
-            high = np.array([box[f][1] for f in feats])
-            weight = 1 << np.arange(len(feats))
-            code_z = ((background[:, feats] >= low) & (background[:, feats] < high)) @ weight
-            z_codes, z_count = np.unique(code_z, return_counts=True)
-            out.append((feats, low, high, weight, (z_codes[:, None] & weight) > 0, z_count * value))
+        feats = list(box)
+        low, high = (np.array([box[f][k] for f in feats])[:, None] for k in (0, 1))
+        weight = 1 << np.arange(len(feats))
+        z_codes, z_count = np.unique(weight @ ((base[feats] >= low) & (base[feats] < high)), return_counts=True)
+        out.append((feats, low, high, weight, (z_codes[:, None] & weight) > 0, z_count * tree.value[node]))
     return out
 
 
+def prepared(trees: list[FlatTree], background: np.ndarray) -> list:
+    """What does not depend on the rows to explain: each tree as splits and tables."""
+    base, none = np.ascontiguousarray(background.T), np.zeros(len(background), np.uint16)
+    return [_tabled(t, 0, {}, none, base, {}) for t in trees]
+
+
 def shapley(
-    trees: list[FlatTree], x: np.ndarray, background: np.ndarray, leaves: list[tuple] | None = None
+    trees: list[FlatTree], x: np.ndarray, background: np.ndarray, parts: list | None = None
 ) -> np.ndarray:
     """Interventional Shapley values of the forest's mean path length.
 
-    For a leaf, only which path features accept the row and the background row matters. Rows are
-    grouped by that acceptance pattern, so the cost per leaf follows the number of patterns.
-    ``leaves`` are those of :func:`prepared`, where many batches are explained."""
-    out = np.zeros_like(x)
-    for feats, low, high, weight, z_bits, mass in prepared(trees, background) if leaves is None else leaves:
-        code_x = ((x[:, feats] >= low) & (x[:, feats] < high)) @ weight
+    For a leaf, only which path features accept the row and the background row matters. Values are
+    summed over the background once for every acceptance pattern, of several leaves together, and
+    looked up by the rows. ``parts`` are those of :func:`prepared`, where many batches are explained."""
+    columns = np.ascontiguousarray(x.T)
+    out = np.zeros(columns.shape)
+    for part in prepared(trees, background) if parts is None else parts:
+        stack = [(part, np.zeros(len(x), np.uint16))]
+        while stack:
+            part, code = stack.pop()
+            if isinstance(part, _Split):
+                left, right = _sides(part, code, columns)
+                stack += [(part.right, right), (part.left, left)]
+            elif isinstance(part, _Table):
+                at = _coded(part.splits, code, columns)
+                for f, line in zip(part.features, part.values):
+                    out[f] += line.take(at)
+            else:
+                _by_pattern(part, columns, out)
+    return out.T / (len(background) * max(len(trees), 1))
+
+
+def _by_pattern(leaves: list[tuple], columns: np.ndarray, out: np.ndarray) -> None:
+    """Add the values of leaves whose paths have more features than a code has bits. Rows are grouped
+    by what they are accepted by, so the cost per leaf follows the number of patterns."""
+    for feats, low, high, weight, z_bits, mass in leaves:
+        code_x = weight @ ((columns[feats] >= low) & (columns[feats] < high))
         x_codes, x_at = np.unique(code_x, return_inverse=True)
         x_bits = (x_codes[:, None] & weight) > 0
         for_x = x_bits[:, None, :] & ~z_bits[None, :, :]
@@ -68,10 +201,11 @@ def shapley(
         plus = _PLUS[a, b] * share
         minus = _MINUS[a, b] * share
         part = (for_x * plus[:, :, None] - for_z * minus[:, :, None]).sum(axis=1)
-        out[:, feats] += part[x_at.ravel()]
-    return out / (len(background) * max(len(trees), 1))
+        out[feats] += part[x_at.ravel()].T
 
 
+#: Bits of a code: a table has a line of 512 numbers per feature, some 60 MB for 200 trees.
+BITS = 9
 _DEEP = 70
 _PLUS = np.zeros((_DEEP, _DEEP))
 _MINUS = np.zeros((_DEEP, _DEEP))
@@ -83,6 +217,18 @@ for _a in range(_DEEP):
             _MINUS[_a, _b] = factorial(_a) * factorial(_b - 1) / factorial(_a + _b)
 
 
+@dataclass
+class _Explained:
+    """A forest and its background rows; a worker prepares them once."""
+
+    trees: list[FlatTree]
+    background: np.ndarray
+
+    @cached_property
+    def parts(self) -> list:
+        return prepared(self.trees, self.background)
+
+
 def shap_values(
     model: IsolationForest, vectors: DataFrame, background: DataFrame | None = None,
     n_background: int = 500, seed: int = 42,
@@ -93,15 +239,14 @@ def shap_values(
     spark = vectors.sparkSession
     chosen = subsample(vectors if background is None else background, n_background, seed)
     rows = np.vstack([r["x"] for r in chosen.select("x").collect()])
-    shared = spark.sparkContext.broadcast((flat_trees(model.nodes.toPandas()), rows))
+    shared = spark.sparkContext.broadcast(_Explained(flat_trees(model.nodes.toPandas()), rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees, base = shared.value
-        leaves = None
+        model = shared.value
         for pdf in batches:
             if len(pdf):
-                leaves = prepared(trees, base) if leaves is None else leaves
-                values = shapley(trees, np.vstack(pdf["x"].to_numpy()).astype(float), base, leaves)
+                x = np.vstack(pdf["x"].to_numpy()).astype(float)
+                values = shapley(model.trees, x, model.background, model.parts)
                 pdf = pdf.assign(shap=list(values))
             else:
                 pdf = pdf.assign(shap=pd.Series(dtype=object))

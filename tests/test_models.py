@@ -199,3 +199,59 @@ def test_empty_and_longer_windows_have_a_defined_score(spark):
     assert scores[2] == pytest.approx(scores[1]) and scores[4] > 0
     with pytest.raises(ValueError):
         Reconstruction.fit(odd.where("id = 0"), 2)
+
+
+def grown(trees, sample=256, width=12, limit=8):
+    from pulsegrid.models.forest import _grow, flat_trees
+
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (4000, width))
+    names = ["tree", "node", "feature", "threshold", "left", "right", "size", "depth"]
+    nodes = [(t, *n) for t in range(trees) for n in _grow(x[rng.choice(4000, sample, False)], rng, limit)]
+    return flat_trees(pd.DataFrame(nodes, columns=names)), x
+
+
+def test_explaining_rows_costs_lookups_not_the_background():
+    import time
+
+    trees, x = grown(40)
+    base, parts = x[:500], at.prepared(trees, x[:500])
+    before = time.process_time()
+    values = at.shapley(trees, x, base, parts)
+    assert time.process_time() - before < 1.5  # some 4 s where every leaf groups the rows of a batch
+    want = path_lengths(trees, x) - path_lengths(trees, base).mean()
+    np.testing.assert_allclose(values.sum(axis=1), want, atol=1e-9)
+
+
+@pytest.mark.parametrize("bits", [0, 1, 3, 5])
+def test_tables_and_patterns_explain_alike(monkeypatch, bits):
+    trees, x = grown(4, width=6, limit=9)
+    want = at.shapley(trees, x[:50], x[100:140])
+    monkeypatch.setattr(at, "BITS", bits)
+    np.testing.assert_allclose(at.shapley(trees, x[:50], x[100:140]), want, atol=1e-12)
+
+
+def test_scoring_follows_each_tree_to_its_leaf():
+    trees, x = grown(5)
+
+    def depth(t, row):
+        node = 0
+        while t.feature[node] >= 0:
+            node = (t.left if row[t.feature[node]] < t.threshold[node] else t.right)[node]
+        return t.value[node]
+
+    x[3, :] = np.nan
+    want = [np.mean([depth(t, row) for t in trees]) for row in x[:40]]
+    assert path_lengths(trees, x[:40]).tolist() == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("values", [[-np.inf, 0.0, np.inf], [1.0, np.nextafter(1, 2)], [5e-324, 1e-323, -0.0], [-1.7e308, 0.0, 1.7e308]])
+def test_quantiles_of_extreme_values(spark, values):
+    known = [v for v in values for _ in range(40)]
+    df = spark.createDataFrame([(float(v),) for v in known] + [(None,), (float("nan"),)], "a double").repartition(3)
+    for q in (0.0, 0.2, 1.0):
+        at_ = int(q * (len(known) - 1))
+        got = exact_quantiles(df, ["a"], q, small=2)["a"]
+        assert sorted(known)[at_] <= got <= sorted(known)[min(at_ + 1, len(known) - 1)]
