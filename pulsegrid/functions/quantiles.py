@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-SMALL = 200_000
+SMALL = 20_000
 BUCKETS = 1024
 MOST = 8e307
 
@@ -18,22 +21,18 @@ def exact_quantiles(
     smallest and largest values.
 
     A column's value range is narrowed round by round: count rows per bucket of the current range
-    (a bounded, map-side combined aggregate) and keep the bucket that holds the wanted rank, until
+    (a bounded table per task, then an aggregate) and keep the bucket that holds the wanted rank, until
     at most ``small`` rows remain in it; those are sorted, one group per column. Columns that
     start small skip the rounds. Only per-column bounds reach the driver. ``df`` is scanned once
     per round (two or three rounds cover 10^11 rows), so it should be a stored table.
     """
-    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
-    stats = df.agg(
-        *[F.expr(f"count({c}) as n{i}") for i, c in enumerate(columns)],
-        *[F.expr(f"cast(min({c}) as double) as lo{i}") for i, c in enumerate(columns)],
-        *[F.expr(f"cast(max({c}) as double) as hi{i}") for i, c in enumerate(columns)],
-    ).first()
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    stats = _extent(df, columns)
     # (column, low, high) -> (rows in the range, {wanted rank: its position in the range})
     open_: dict[tuple, tuple[int, dict[int, int]]] = {}
     found: dict[tuple[str, int], float] = {}
     for i, c in enumerate(columns):
-        n, lo, hi = stats[f"n{i}"], stats[f"lo{i}"], stats[f"hi{i}"]
+        n, lo, hi = stats.get(i, (0, None, None))
         if n:
             at = q * (n - 1)
             open_[(c, lo, hi)] = (n, {r: r for r in {math.floor(at), math.ceil(at)}})
@@ -43,10 +42,10 @@ def exact_quantiles(
 
     out: dict[str, float | None] = {}
     for i, c in enumerate(columns):
-        if not stats[f"n{i}"]:
+        if i not in stats:
             out[c] = None
             continue
-        at = q * (stats[f"n{i}"] - 1)
+        at = q * (stats[i][0] - 1)
         low, high = found[(c, math.floor(at))], found[(c, math.ceil(at))]
         share = at - math.floor(at)
         out[c] = low + (high - low) * share if share and low != high else low
@@ -58,35 +57,82 @@ def literal(x: float) -> str:
     return f"{x!r}D" if math.isfinite(x) else f"cast('{x}' as double)"
 
 
-def _bucket(lo: float, hi: float) -> str:
-    """Bucket of ``x``; infinite bounds stand beyond half the largest number."""
-    lo, hi = max(lo, -MOST), min(hi, MOST)
-    inside = f"least(greatest(x, {lo!r}D), {hi!r}D)"
-    return f"least(floor(({inside} - {lo!r}D) / {(hi / BUCKETS - lo / BUCKETS)!r}D), {BUCKETS - 1})"
+def _bucket(x: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Bucket of each value; infinite bounds stand beyond half the largest number."""
+    low, high = max(lo, -MOST), min(hi, MOST)
+    width = high / BUCKETS - low / BUCKETS
+    if width <= 0:
+        return np.where(x > lo, BUCKETS - 1, 0)
+    return np.minimum((np.clip(x, low, high) - low) / width, BUCKETS - 1).astype(np.int64)
+
+
+def _known(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """Values of a column that are neither null nor NaN."""
+    x = batch.column(column).to_numpy(zero_copy_only=False)
+    return x[~np.isnan(x)]
+
+
+def _extent(df: DataFrame, columns: list[str]) -> dict[int, tuple[int, float, float]]:
+    """Number of values, smallest and largest of each column that has any, by position. Dozens of
+    columns are counted batch by batch in the tasks, a row per column and task is left to Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, lo, hi = np.zeros(len(columns), np.int64), np.full(len(columns), np.inf), np.full(len(columns), -np.inf)
+        for batch in batches:
+            for i, c in enumerate(columns):
+                if len(x := _known(batch, c)):
+                    n[i], lo[i], hi[i] = n[i] + len(x), min(lo[i], x.min()), max(hi[i], x.max())
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(v) for v in (at, n[at], lo[at], hi[at])], names=["j", "n", "lo", "hi"])
+
+    parts = df.mapInArrow(run, "j long, n long, lo double, hi double")
+    rows = parts.groupBy("j").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return {r["j"]: (r["n"], r["lo"], r["hi"]) for r in rows.collect()}
 
 
 def _values(df: DataFrame, keys: list[tuple]) -> DataFrame:
     """Long ``(j, x)`` table of the values inside each key's range."""
-    items = ", ".join(
-        f"case when {c} between {literal(lo)} and {literal(hi)} then struct({j} as j, cast({c} as double) as x) end"
-        for j, (c, lo, hi) in enumerate(keys)
-    )
-    return df.selectExpr(f"inline(array_compact(array({items})))")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j, (c, lo, hi) in enumerate(keys):
+                x = _known(batch, c)
+                x = x[(lo <= x) & (x <= hi)]
+                if len(x):
+                    yield pa.record_batch([pa.array(np.full(len(x), j)), pa.array(x)], names=["j", "x"])
+
+    return df.select(*{c for c, _, _ in keys}).mapInArrow(run, "j long, x double")
+
+
+def _cells(df: DataFrame, keys: list[tuple]) -> DataFrame:
+    """``(j, b, n, lo, hi)``: values inside each key's range, counted by bucket, a row per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = (len(keys), BUCKETS)
+        n, low, high = np.zeros(shape, np.int64), np.full(shape, np.inf), np.full(shape, -np.inf)
+        for batch in batches:
+            for j, (c, lo, hi) in enumerate(keys):
+                x = _known(batch, c)
+                x = x[(lo <= x) & (x <= hi)]
+                b = _bucket(x, lo, hi)
+                n[j] += np.bincount(b, minlength=BUCKETS)
+                np.minimum.at(low[j], b, x)
+                np.maximum.at(high[j], b, x)
+        j, b = np.nonzero(n)
+        columns = [j, b, n[j, b], low[j, b], high[j, b]]
+        yield pa.record_batch([pa.array(v) for v in columns], names=["j", "b", "n", "lo", "hi"])
+
+    return df.select(*{c for c, _, _ in keys}).mapInArrow(run, "j long, b long, n long, lo double, hi double")
 
 
 def _narrow(df: DataFrame, open_: dict, small: int) -> dict:
     """One round over the ranges that still hold many rows."""
     todo = [k for k, (n, _) in open_.items() if n > small and k[1] < k[2]]
     left = {k: v for k, v in open_.items() if k not in todo}
-    arms = " ".join(
-        f"when {j} then {_bucket(lo, hi)}"
-        for j, (_, lo, hi) in enumerate(todo)
-    )
     cells = (
-        _values(df, todo)
-        .selectExpr("j", f"cast(case j {arms} end as int) as b", "x")
+        _cells(df, todo)
         .groupBy("j", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         .orderBy("j", "b")
         .collect()
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -61,13 +62,8 @@ def fit_nodes(vectors: DataFrame, trees: int, seed: int, sample: int, n: int) ->
     psi = min(sample, n)
     share = min(1.0, (psi + 6 * math.sqrt(psi) + 8) / n)
     draw = lambda t: F.pmod(F.xxhash64(*KEY, t, F.lit(seed + 1)), F.lit(_SPACE))
-    chosen = vectors.select(
-        *KEY,
-        "x",
-        F.explode(
-            F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < int(_SPACE * share))
-        ).alias("tree"),
-    ).withColumn("draw", draw(F.col("tree")))
+    offered = vectors.select(*KEY, "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    chosen = offered.withColumn("draw", draw(F.col("tree"))).where(F.col("draw") < int(_SPACE * share))
     limit = max(1, math.ceil(math.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,6 +90,18 @@ class FlatTree:
     value: np.ndarray  # depth plus the expected rest of the path; meaningful at leaves
     depth: int
 
+    @cached_property
+    def column(self) -> np.ndarray:
+        """Feature of each node, 0 at leaves."""
+        return np.maximum(self.feature, 0).astype(np.intp)
+
+    @cached_property
+    def child(self) -> np.ndarray:
+        """Left and right child of each node in turn; a leaf is its own."""
+        own, leaf = np.arange(len(self.feature)), self.feature < 0
+        both = [np.where(leaf, own, side) for side in (self.left, self.right)]
+        return np.column_stack(both).ravel().astype(np.intp)
+
 
 def flat_trees(nodes: pd.DataFrame) -> list[FlatTree]:
     out = []
@@ -113,16 +121,14 @@ def flat_trees(nodes: pd.DataFrame) -> list[FlatTree]:
 
 def path_lengths(trees: list[FlatTree], x: np.ndarray) -> np.ndarray:
     """Mean path length of each row over the forest."""
-    total = np.zeros(len(x))
-    rows = np.arange(len(x))
+    total, flat = np.zeros(len(x)), np.ascontiguousarray(x, dtype=float).ravel()
+    first = np.arange(len(x)) * x.shape[1]
     for t in trees:
-        at = np.zeros(len(x), dtype=int)
+        at = np.zeros(len(x), dtype=np.intp)
         for _ in range(t.depth):
-            f = t.feature[at]
-            inner = f >= 0
-            goes_left = x[rows, np.maximum(f, 0)] < t.threshold[at]
-            at = np.where(inner, np.where(goes_left, t.left[at], t.right[at]), at)
-        total += t.value[at]
+            goes_left = flat.take(first + t.column.take(at)) < t.threshold.take(at)
+            at = t.child.take(2 * at + ~goes_left)
+        total += t.value.take(at)
     return total / max(len(trees), 1)
 
 
