@@ -30,6 +30,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]")
 _MARK = re.compile("[0-9@]")
 _NUMBER = re.compile("[0-9]{2,}")
+#: What a reported learned span holds: a digit, an @, or the word at before a dotted name.
+_SHOWN = re.compile(r"[0-9@]|\bat\b[^A-Za-z0-9]{1,3}[A-Za-z0-9-]+\.[A-Za-z]", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -174,11 +176,45 @@ class Network:
         grads[d + "h"], grads[d + "b"] = states.T @ flat, flat.sum(axis=0)
         return dz @ self.p[d + "x"].T
 
+    def _read(self, d: str, ids: np.ndarray, out: np.ndarray) -> None:
+        """Scores (T, tags, B) of the hidden states of :meth:`_lstm` over ``ids``; a symbol's share in the
+        gates is looked up, and all gates go through one exponential."""
+        size, batch = self.hidden, ids.shape[1]
+        scale = np.repeat(np.array([-1, -1, -1, -2], np.float32), size)
+        shares = ((self.p["e"] @ self.p[d + "x"] + self.p[d + "b"]) * scale).astype(np.float32)
+        ways = np.ascontiguousarray((self.p[d + "h"] * scale).T.astype(np.float32))
+        tags = self.p["o"][:size] if d == "f" else self.p["o"][size:]
+        tags = np.ascontiguousarray(tags.T.astype(np.float32))
+        h, c, tc = (np.zeros((size, batch), np.float32) for _ in range(3))
+        z = np.empty((4 * size, batch), np.float32)
+        with np.errstate(over="ignore"):  # of an exponential; its gate is 0
+            for t in range(len(ids)):
+                np.matmul(ways, h, out=z)
+                z += shares.take(ids[t], axis=0).T
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                new = z[3 * size :]
+                new *= 2
+                new -= 1
+                c *= z[size : 2 * size]
+                new *= z[:size]
+                c += new
+                np.multiply(c, -2, out=tc)
+                np.exp(tc, out=tc)
+                tc += 1
+                np.divide(2, tc, out=tc)
+                tc -= 1
+                np.multiply(tc, z[2 * size : 3 * size], out=h)
+                np.matmul(tags, h, out=out[t])
+
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """Scores (T, B, tags) of symbols (T, B)."""
-        x = self.p["e"][ids]
-        both = np.concatenate([self._lstm("f", x, None), self._lstm("b", x[::-1], None)[::-1]], axis=2)
-        return both @ self.p["o"] + self.p["ob"]
+        ahead, back = (np.empty((len(ids), _TAGS, ids.shape[1]), np.float32) for _ in range(2))
+        self._read("f", ids, ahead)
+        self._read("b", ids[::-1], back)
+        ahead += back[::-1]
+        return np.ascontiguousarray(ahead.transpose(0, 2, 1)) + self.p["ob"]
 
     def transitions(self) -> np.ndarray:
         return self.p["t"] + _barred()
@@ -257,6 +293,31 @@ class Network:
         position."""
         score, move = self.emissions(ids), self.transitions()
         steps, batch = ids.shape
+        none = score[:, :, 0] + move[0, 0]
+        maybe = np.flatnonzero(self._may_hold(score, move))
+        path, own = np.zeros((steps, batch), np.int64), none.copy()
+        if len(maybe):
+            path[:, maybe], own[:, maybe] = self._best(score[:, maybe], move)
+        return path, own, none
+
+    @staticmethod
+    def _may_hold(score: np.ndarray, move: np.ndarray) -> np.ndarray:
+        """Whether a window's best path may hold a span: none does where every run of one kind costs
+        more than it and leaving it can gain."""
+        none = score[:, :, :1] + move[0, 0]
+        enter = score[:, :, 1::2] + move[:-1, 1::2].max(axis=0) - none
+        enter[0] = score[0, :, 1::2] + move[-1, 1::2] - score[0, :, :1] - move[-1, 0]
+        stay = score[:, :, 2::2] - none + np.array([move[[k - 1, k], k].max() for k in range(2, _TAGS, 2)], np.float32)
+        run, most = enter[0], enter[0].copy()
+        for t in range(1, len(score)):
+            run = np.maximum(enter[t], run + stay[t])
+            np.maximum(most, run, out=most)
+        return most.max(axis=1) + max(0.0, float((move[:-1, 0] - move[0, 0]).max())) >= -1e-3
+
+    @staticmethod
+    def _best(score: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tag path (T, B) and its scores."""
+        steps, batch = score.shape[:2]
         best, back = score[0] + move[-1], np.zeros(score.shape, np.int8)
         for t in range(1, steps):
             ways = best[:, :, None] + move[None, :-1]
@@ -270,7 +331,7 @@ class Network:
         own = score[np.arange(steps)[:, None], at, path]
         own[1:] += move[path[:-1], path[1:]]
         own[0] += move[-1, path[0]]
-        return path, own, score[:, :, 0] + move[0, 0]
+        return path, own
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -375,6 +436,13 @@ def windows(text: str, width: int) -> list[int]:
     return starts
 
 
+def every_window(text: str, width: int) -> range:
+    """Starts of all windows of a text, which share 96 code points with the next, or half of them if
+    that is less; the last one reaches the end."""
+    shared = min(width // 2, 96)
+    return range(0, max(1, len(text) - shared), width - shared) if text else range(0)
+
+
 def reconciled(pieces: list[tuple[str, int, int, float, bool, bool]]) -> list[tuple[str, int, int, float]]:
     """Spans of a whole text from those of its windows (kind, start, end, weight, cut off at its
     start, at its end): overlapping ones of a kind that a window edge cuts are one, a cut one that no
@@ -410,11 +478,15 @@ def reconciled(pieces: list[tuple[str, int, int, float, bool, bool]]) -> list[tu
 
 def learned_spans(texts: list[str], net: Network, width: int, margin: float, batch: int = 256) -> list[list[Span]]:
     """Spans the network finds in each text, in all its windows, that pass :func:`plausible`."""
-    places = [(k, s) for k, text in enumerate(texts) for s in windows(text, width)]
+    places = [(k, s) for k, text in enumerate(texts) for s in every_window(text, width)]
+    # short windows are padded to a multiple of 96, whichever windows they are read with
+    steps = [min(width, -(-(len(texts[k]) - s) // 96) * 96) for k, s in places]
+    alike: dict[int, list] = {}
+    for place, n in zip(places, steps):
+        alike.setdefault(n, []).append(place)
     pieces: list[list] = [[] for _ in texts]
-    for at in range(0, len(places), batch):
-        some = places[at : at + batch]
-        ids = np.zeros((width, len(some)), np.int64)
+    for n, some in ((n, of[at : at + batch]) for n, of in alike.items() for at in range(0, len(of), batch)):
+        ids = np.zeros((n, len(some)), np.int64)
         for c, (k, s) in enumerate(some):
             part = symbols(texts[k][s : s + width])
             ids[: len(part), c] = part
@@ -444,14 +516,14 @@ def learned_spans(texts: list[str], net: Network, width: int, margin: float, bat
     return out
 
 
-def scan(docs: DataFrame, net: Network | None, width: int = 192, margin: float = 2.0) -> DataFrame:
+def scan(docs: DataFrame, net: Network | None, width: int = 768, margin: float = 2.0) -> DataFrame:
     """Personal data of each row of ``docs`` (doc_id, text): rows (doc_id, n_email, n_ip, n_card,
     n_phone, base, spans), the last two as text kind:start:end in code points, end exclusive.
 
     ``base`` has the fixed patterns; ``spans`` adds what the network finds clear of them, by at least
-    ``margin`` over no span there. Windows of ``width`` code points that hold neither a digit nor an @
-    are not read: a learned span without either is none. Null and empty texts hold nothing. Repeated
-    rows, null ids and other columns are of no effect on the scan of a row.
+    ``margin`` over no span there. Every window of ``width`` code points is read; a learned span holds
+    a digit, an @ or the word at before a dotted name. Null and empty texts hold nothing. Repeated rows,
+    null ids and other columns are of no effect on the scan of a row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -460,12 +532,12 @@ def scan(docs: DataFrame, net: Network | None, width: int = 192, margin: float =
             texts = [v.as_py() or "" for v in batch.column("text")]
             base: list[list[Span]] = [[] for _ in texts]
             more: list[list[Span]] = [[] for _ in texts]
-            marked = [k for k, text in enumerate(texts) if _MARK.search(text)]
-            for k in marked:
-                base[k] = base_spans(texts[k])
+            for k, text in enumerate(texts):
+                if _MARK.search(text):
+                    base[k] = base_spans(text)
             if shared.value is not None:
-                for k, found in zip(marked, learned_spans([texts[k] for k in marked], shared.value, width, margin)):
-                    more[k] = [s for s in found if _MARK.search(texts[k], s[1], s[2]) and all(s[2] <= a or b <= s[1] for _, a, b in base[k])]
+                for k, found in enumerate(learned_spans(texts, shared.value, width, margin)):
+                    more[k] = [s for s in found if _SHOWN.search(texts[k], s[1], s[2]) and all(s[2] <= a or b <= s[1] for _, a, b in base[k])]
             columns = [batch.column("doc_id")]
             columns += [pa.array([sum(s[0] == kind for s in own) for own in base], pa.int64()) for kind in KINDS]
             columns += [pa.array([joined(b) for b in base], pa.string()), pa.array([joined(b + m) for b, m in zip(base, more)], pa.string())]

@@ -111,3 +111,32 @@ def test_awkward_and_empty_tables_train_and_scan(spark):
     net = personal.train(tricky(spark))
     got = personal.scan(awkward(spark), net)
     assert rows(got, "doc_id") == rows(awkward(spark), "doc_id")
+
+
+def test_every_position_is_read(spark, monkeypatch):
+    read = []
+    whole = personal.Network.decode
+    monkeypatch.setattr(personal.Network, "decode", lambda self, ids: read.append(ids) or whole(self, ids))
+    net = personal.Network.fresh(np.random.default_rng(1), 4, 4)
+    texts = ["plain words " * 300, "", "x", "write to john at example.com " + "y" * 2000]
+    personal.learned_spans(texts, net, 192, 2.0)
+    assert sum(int((ids > 0).sum()) for ids in read) >= sum(map(len, texts))
+    for n in (0, 1, 95, 96, 97, 192, 193, 500, 2000):
+        starts = personal.every_window("x" * n, 192)
+        assert {p for s in starts for p in range(s, min(n, s + 192))} == set(range(n))
+
+
+def test_windows_without_a_span_are_told_before_their_path():
+    rng = np.random.default_rng(7)
+    for seed in range(3):
+        net = personal.Network.fresh(np.random.default_rng(seed), 6, 8)
+        net.p["ob"][1::2] -= 1.5
+        net.p["t"][:] = rng.normal(size=net.p["t"].shape)
+        ids = rng.integers(0, 131, (40, 300))
+        score, move = net.emissions(ids), net.transitions()
+        path, own = net._best(score, move)
+        got = net.decode(ids)
+        assert (got[0] == path).all() and np.allclose(got[1].sum(axis=0), own.sum(axis=0), atol=1e-3)
+        x = net.p["e"][ids]
+        both = np.concatenate([net._lstm("f", x, None), net._lstm("b", x[::-1], None)[::-1]], axis=2)
+        assert np.allclose(score, both @ net.p["o"] + net.p["ob"], atol=1e-4)
