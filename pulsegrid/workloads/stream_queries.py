@@ -21,6 +21,15 @@ def _stream(df, label, **options):
     return reader.parquet(path)
 
 
+def _delivered(parts, label, start):
+    """Parts written one after the other, each by as many tasks as it has; ``start`` drains what has come
+    as one micro-batch."""
+    path = scratch_path(parts[0].sparkSession, label)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        start(part.sparkSession.readStream.schema(part.schema).parquet(path)).awaitTermination()
+
+
 _LATE = "(SELECT max(timestamp) FROM telemetry) - INTERVAL 1 DAY"
 _SIX = "make_timestamp((epoch_us(timestamp) // 21600000000) * 21600000000)"
 
@@ -33,14 +42,10 @@ _SIX = "make_timestamp((epoch_us(timestamp) // 21600000000) * 21600000000)"
 def stream_hl7(spark, sf):
     """Messages to stored telemetry rows in three micro-batches, each source's messages in order."""
     sent = ad.messages(spark, sf).select("src", "pos", "message")
-    path, out, serials, checkpoint = (
-        scratch_path(spark, n) for n in ("stream-messages", "stream-rows", "last-serials", "ingest-checkpoint")
-    )
+    out, serials, checkpoint = (scratch_path(spark, n) for n in ("stream-rows", "last-serials", "ingest-checkpoint"))
     third = (sent.agg(F.max("pos")).first()[0] or 0) // 3 + 1
-    for k in range(3):
-        sent.where(F.floor(F.col("pos") / third) == k).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    jobs.ingest_stream(stream, serials, out, checkpoint).awaitTermination()
+    parts = [sent.where(F.floor(F.col("pos") / third) == k) for k in range(3)]
+    _delivered(parts, "stream-messages", lambda stream: jobs.ingest_stream(stream, serials, out, checkpoint))
     return spark.read.parquet(out).drop("batch_id")
 
 
@@ -95,16 +100,15 @@ def stream_alerts(spark, sf):
     scores = ad.scores(spark, sf)
     first, last = (r.timestamp() for r in scores.agg(F.min("timestamp"), F.max("timestamp")).first())
     third = int((last - first) / 3) + 1
-    path, out, state = (scratch_path(spark, n) for n in ("stream-scores", "stream-alerts", "alert-state"))
+    out, state = (scratch_path(spark, n) for n in ("stream-alerts", "alert-state"))
     part = F.floor((F.unix_seconds("timestamp") - int(first)) / third)
-    for k in range(3):
-        for half in range(2):
-            some = scores.where((part == k) & (F.pmod(F.xxhash64("device_serial"), F.lit(2)) == half))
-            some.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    half = F.pmod(F.xxhash64("device_serial"), F.lit(2))
     rules = (THRESHOLD, SUSTAINED, CRITICAL, ad.SLICE)
     registry = ad.registry(spark, sf)
     checkpoint = scratch_path(spark, "alerts-checkpoint")
-    jobs.alert_stream(stream, registry, state, out, checkpoint, *rules, lateness=f"{third + 1}s").awaitTermination()
+    parts = [scores.where((part == k) & (half == h)) for k in range(3) for h in range(2)]
+    _delivered(parts, "stream-scores", lambda stream: jobs.alert_stream(
+        stream, registry, state, out, checkpoint, *rules, lateness=f"{third + 1}s"
+    ))
     jobs.close_alerts(scores.schema, spark, registry, state, out, *rules)
     return jobs.latest_alerts(spark.read.parquet(out))

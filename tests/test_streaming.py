@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pulsegrid.operators.alerts import sustained_alerts
 from pulsegrid.operators.rank import fleet_percentile
@@ -89,3 +90,23 @@ def test_resent_messages_are_dropped_across_batches(spark):
         once = jobs.deduplicate_stream(spark.readStream.schema(df.schema).parquet(source), "1h")
         once.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
     assert sorted(r.control_id for r in spark.read.parquet(out).collect()) == ["1", "2", "3"]
+
+
+def test_queries_deliver_parts_by_many_tasks_and_in_order(spark, monkeypatch):
+    from pulsegrid.workloads import stream_queries as sq
+
+    source = scratch_path(spark, "events")
+    spark.range(400).withColumn("k", F.col("id") % 2).repartition(4).write.parquet(source)
+    files, seen = [], []
+
+    def start(stream):
+        def each(batch, number):
+            files.append(len({r[0] for r in batch.select(F.input_file_name()).collect()}))
+            seen.append(sorted(r["id"] for r in batch.collect()))
+
+        return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    checkpoint, events = scratch_path(spark, "cp"), spark.read.schema("id long, k long").parquet(source)
+    events = events.repartition(4)
+    sq._delivered([events.where(f"id div 200 = {k}") for k in range(2)], "parts", start)
+    assert seen == [list(range(200)), list(range(200, 400))] and min(files) > 1
