@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from pulsegrid.session import materialize
@@ -133,19 +134,25 @@ def carry_in_place(
     value: str,
     out: str,
     most_slices: int = 1_000_000,
+    chunk: int = 8192,
 ) -> DataFrame | None:
     """Last non-null ``value`` at or before each row of the key, without moving a row.
 
     ``slices`` name the piece of a file that a row was read from, so the rows of a slice are in one
-    task. They are sorted there and filled; what holds at the start of a slice comes from a written
-    table of one row per slice, which is broadcast. Null keys are a key of their own; of rows at the
-    same place the one with the largest value comes last; an empty table gives no rows. None if this
-    cannot be done, because slices of a key overlap in ``order`` or there are more than
-    ``most_slices``: :func:`carry_last` can."""
+    task, and every scan gives them in one order. They are sorted and filled ``chunk`` rows at a time, so
+    a task holds no more whatever the size of its pieces; what holds at the start of a chunk comes from a
+    written table of one row per key, slice and chunk, which is broadcast. Null keys are a key of their
+    own; of rows at the same place the one with the largest value comes last; an empty table gives no
+    rows. None if this cannot be done, because chunks of a key overlap in ``order`` or there are more
+    than ``most_slices`` of them: :func:`carry_last` can."""
     spark = df.sparkSession
     pin_splits(spark)
+    # a task's numbers start at a multiple of 2**33: no chunk reaches into two tasks
+    df_chunks = df.withColumn("_chunk", F.monotonically_increasing_id())
+    df_chunks = df_chunks.withColumn("_chunk", F.expr(f"_chunk div {chunk}"))
+    slices = [*slices, "_chunk"]
     starts = materialize(
-        slice_starts(df.select(*keys, *order, *slices, value), keys, order, slices, value), "starts"
+        slice_starts(df_chunks.select(*keys, *order, *slices, value), keys, order, slices, value), "starts"
     )
     n, mixed = starts.agg(F.count(F.lit(1)), F.coalesce(F.max("_mixed"), F.lit(False))).first()
     if mixed or n > most_slices:
@@ -153,34 +160,43 @@ def carry_in_place(
     names = [*keys, *slices]
     firsts = F.broadcast(starts.select(*[F.col(c).alias(f"_of_{c}") for c in names], "_start", F.lit(True).alias("_met")))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in names])
-    placed = df.join(firsts, same, "left").drop(*[f"_of_{c}" for c in names])
-    here = F.xxhash64(*names)  # differs from one slice to the next; rows of one slice are together
-    placed = placed.withColumn("_here", here).sortWithinPartitions(
-        *names, *order, F.col(value).asc_nulls_first()
-    )
+    placed = df_chunks.join(firsts, same, "left").drop(*[f"_of_{c}" for c in names])
+    placed = placed.withColumn("_here", F.xxhash64(*names))  # differs from one slice of a key to the next
     kept = [c for c in df.columns if c != out]
     schema = df.select(*kept, F.col(value).alias(out)).schema
+    by = [(c, "ascending") for c in dict.fromkeys(["_here", *order, value])]
+
+    def fill(rows: pa.Table) -> pa.RecordBatch:
+        """Whole chunks, with what was last known at each row."""
+        if not all(rows["_met"].to_pylist()):
+            raise ValueError("the files were cut differently by two scans of one job")
+        places = pc.sort_indices(rows.select([c for c, _ in by]), sort_keys=by, null_placement="at_start").to_numpy()
+        ordered = rows.select([value, "_here", "_start"]).take(pa.array(places)).combine_chunks()
+        own, here = ordered[value], ordered["_here"].to_numpy()
+        first = np.concatenate([[True], here[1:] != here[:-1]])
+        known = own.combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        # rows to take from: the chunk's own values, then its starts
+        at = np.where(known, np.arange(len(here)), np.where(first, len(here) + np.arange(len(here)), -1))
+        at = at[np.maximum.accumulate(np.where(at >= 0, np.arange(len(here)), 0))]
+        back = np.empty(len(here), np.int64)
+        back[places] = at
+        pool = pa.concat_arrays([own.combine_chunks(), ordered["_start"].combine_chunks()])
+        filled = pool.take(pa.array(back))
+        return pa.RecordBatch.from_arrays([*[rows[c].combine_chunks() for c in kept], filled], names=[*kept, out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_here, last_value = None, None
+        rest = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if not all(batch.column("_met").to_pylist()):
-                raise ValueError("the files were cut differently by two scans of one job")
-            here = batch.column("_here").to_numpy()
-            own = batch.column(value)
-            first = np.concatenate([[here[0] != last_here], here[1:] != here[:-1]])
-            known = own.is_valid().to_numpy(zero_copy_only=False)
-            # rows to take from: the batch's own values, its starts, then what the last batch held
-            at = np.where(known, np.arange(len(own)), np.where(first, len(own) + np.arange(len(own)), -1))
-            if at[0] < 0:
-                at[0] = 2 * len(own)
-            at = at[np.maximum.accumulate(np.where(at >= 0, np.arange(len(own)), 0))]
-            pool = pa.concat_arrays([own, batch.column("_start"), pa.array([last_value], own.type)])
-            filled = pool.take(pa.array(at))
-            last_here, last_value = here[-1], filled[-1].as_py()
-            yield pa.record_batch([*[batch.column(c) for c in kept], filled], names=[*kept, out])
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if rows.num_rows:
+                part = rows["_chunk"].to_numpy()
+                done = int(np.searchsorted(part, part[-1]))  # the last chunk may go on
+                if done:
+                    yield fill(rows.slice(0, done))
+                rest = rows.slice(done)
+        if rest is not None and rest.num_rows:
+            yield fill(rest)
 
     return placed.mapInArrow(run, schema)
 

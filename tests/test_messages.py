@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,31 @@ def test_overlapping_slices_null_sources_ties_and_empty_tables(spark):
     got = ms.assign_serial_in_place(mixed, ["pos"], min_tasks=1).orderBy("pos").collect()
     assert [r.device_serial for r in got] == ["unknown", "A", "A", "A", "B", "B", "B"]
     assert ms.assign_serial_in_place(df.where("pos < 0"), ["pos"], min_tasks=0).count() == 0
+
+
+def test_serials_are_carried_over_chunks_that_are_not_sorted(spark):
+    from pulsegrid.operators.ordered import carry_in_place
+
+    rng, rows = np.random.default_rng(2), []
+    for start in range(0, 600, 50):  # chunks of 50 rows a file piece, in no order inside
+        part = [(k % 2, i, "x" * 50, f"S{i}" if i % 37 == 5 else None) for i in range(start, start + 25) for k in range(2)]
+        rows += [part[j] for j in rng.permutation(len(part))]
+    df = spark.createDataFrame(rows, "src long, pos long, message string, own string").repartition(1)
+    df = spark.read.schema(df.schema).parquet(written(spark, df)).withColumn("block", F.lit(0))
+    filled = carry_in_place(df, ["src"], ["pos"], ["block"], "own", "last", chunk=50)
+    assert "Sort" not in filled._jdf.queryExecution().executedPlan().toString()  # whole messages are not sorted
+    want, last = {}, {}
+    for src_, pos, _, own in sorted(rows, key=lambda r: r[:2]):
+        last[src_] = own or last.get(src_)
+        want[src_, pos] = last[src_]
+    got = filled.collect()
+    assert len(got) == len(rows) and {(r.src, r.pos): r["last"] for r in got} == want
+    assert carry_in_place(df, ["src"], ["pos"], ["block"], "own", "last", chunk=30) is None
+    plain = carry_in_place(df, ["src"], ["pos"], ["block"], "own", "own", chunk=700)
+    assert {(r.src, r.pos): r["own"] for r in plain.collect()} == want
+
+
+def written(spark, df):
+    path = scratch_path(spark, "captured")
+    df.write.parquet(path)
+    return path
