@@ -204,7 +204,7 @@ def _by_pattern(leaves: list[tuple], columns: np.ndarray, out: np.ndarray) -> No
         out[feats] += part[x_at.ravel()].T
 
 
-#: Bits of a code: a table has a line of 512 numbers per feature, some 60 MB for 200 trees.
+#: Bits of a code: a table has a line of 512 numbers per feature, some 50 MB for 200 trees.
 BITS = 9
 _DEEP = 70
 _PLUS = np.zeros((_DEEP, _DEEP))
