@@ -2,21 +2,23 @@
 
 The network learns from spans that the patterns label, shown as they stand and respelled in ways the
 patterns miss. It reads texts in overlapping windows; what the windows find is put together over the
-whole text. It is written and trained in numpy.
+whole text. It is trained in numpy; windows are read by ONNX Runtime.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import onnxruntime
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.llm.common import cut, union_all
+from pulsegrid.llm.graphs import graph, node, session, tensor
 
 Span = tuple[str, int, int]
 
@@ -124,6 +126,7 @@ class Network:
 
     p: dict[str, np.ndarray]
     hidden: int
+    reader: onnxruntime.InferenceSession | None = field(default=None, repr=False, compare=False)
 
     @staticmethod
     def fresh(rng: np.random.Generator, embed: int, hidden: int) -> Network:
@@ -176,45 +179,44 @@ class Network:
         grads[d + "h"], grads[d + "b"] = states.T @ flat, flat.sum(axis=0)
         return dz @ self.p[d + "x"].T
 
-    def _read(self, d: str, ids: np.ndarray, out: np.ndarray) -> None:
-        """Scores (T, tags, B) of the hidden states of :meth:`_lstm` over ``ids``; a symbol's share in the
-        gates is looked up, and all gates go through one exponential."""
-        size, batch = self.hidden, ids.shape[1]
-        scale = np.repeat(np.array([-1, -1, -1, -2], np.float32), size)
-        shares = ((self.p["e"] @ self.p[d + "x"] + self.p[d + "b"]) * scale).astype(np.float32)
-        ways = np.ascontiguousarray((self.p[d + "h"] * scale).T.astype(np.float32))
-        tags = self.p["o"][:size] if d == "f" else self.p["o"][size:]
-        tags = np.ascontiguousarray(tags.T.astype(np.float32))
-        h, c, tc = (np.zeros((size, batch), np.float32) for _ in range(3))
-        z = np.empty((4 * size, batch), np.float32)
-        with np.errstate(over="ignore"):  # of an exponential; its gate is 0
-            for t in range(len(ids)):
-                np.matmul(ways, h, out=z)
-                z += shares.take(ids[t], axis=0).T
-                np.exp(z, out=z)
-                z += 1
-                np.reciprocal(z, out=z)
-                new = z[3 * size :]
-                new *= 2
-                new -= 1
-                c *= z[size : 2 * size]
-                new *= z[:size]
-                c += new
-                np.multiply(c, -2, out=tc)
-                np.exp(tc, out=tc)
-                tc += 1
-                np.divide(2, tc, out=tc)
-                tc -= 1
-                np.multiply(tc, z[2 * size : 3 * size], out=h)
-                np.matmul(tags, h, out=out[t])
+    def _reader(self) -> onnxruntime.InferenceSession:
+        """The network's reading for ONNX Runtime: scores (T, tags, B) of symbols (T, B) and states of
+        zeros (H, B). A step multiplies the weights with the last states above the symbols' inputs."""
+        size, p = self.hidden, {n: w.astype(np.float32) for n, w in self.p.items()}
+        nodes = [node("Gather", "inputs symbol_ids", "rows"), node("Transpose", "rows", "read", perm=[0, 2, 1])]
+        tensors = [
+            tensor("inputs", np.concatenate([p["e"], np.ones((_SYMBOLS, 1), np.float32)], axis=1)),
+            tensor("third", np.full(3, size, np.int64)), tensor("ob", p["ob"][:, None]),
+        ]
+        for d, back in (("f", 0), ("b", 1)):
+            ways = np.concatenate([p[d + "h"], p[d + "x"], p[d + "b"][None]]).T
+            tags = p["o"][size:] if back else p["o"][:size]
+            tensors += [tensor("gates" + d, ways[: 3 * size]), tensor("new" + d, ways[3 * size :]), tensor("tags" + d, tags.T)]
+            step = [
+                node("Concat", "h x", "hx", axis=0),
+                node("MatMul", f"gates{d} hx", "z"), node("Sigmoid", "z", "gates"),
+                node("Split", "gates third", "in forget out", axis=0),
+                node("MatMul", f"new{d} hx", "w"), node("Tanh", "w", "new"),
+                node("Mul", "forget c", "old"), node("Mul", "in new", "add"), node("Add", "old add", "c_next"),
+                node("Tanh", "c_next", "tc"), node("Mul", "out tc", "h_next"), node("MatMul", f"tags{d} h_next", "y"),
+            ]
+            body = graph(step, [], {"h": 2, "c": 2, "x": 2}, {"h_next": 2, "c_next": 2, "y": 2})
+            nodes.append(node(
+                "Scan", "zeros zeros read", f"h{d} c{d} score{d}", body=body, num_scan_inputs=1,
+                scan_input_directions=[back], scan_output_directions=[back],
+            ))
+        nodes += [node("Add", "scoref scoreb", "both"), node("Add", "both ob", "score")]
+        return session(graph(nodes, tensors, {"symbol_ids": 2, "zeros": 2}, {"score": 3}))
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """Scores (T, B, tags) of symbols (T, B)."""
-        ahead, back = (np.empty((len(ids), _TAGS, ids.shape[1]), np.float32) for _ in range(2))
-        self._read("f", ids, ahead)
-        self._read("b", ids[::-1], back)
-        ahead += back[::-1]
-        return np.ascontiguousarray(ahead.transpose(0, 2, 1)) + self.p["ob"]
+        """Scores (T, B, tags) of symbols (T, B). The weights are no longer changed once this is called."""
+        if self.reader is None:
+            self.reader = self._reader()
+        zeros = np.zeros((self.hidden, ids.shape[1]), np.float32)
+        return self.reader.run(None, {"symbol_ids": ids, "zeros": zeros})[0].transpose(0, 2, 1)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"reader": None}
 
     def transitions(self) -> np.ndarray:
         return self.p["t"] + _barred()
@@ -297,7 +299,7 @@ class Network:
         maybe = np.flatnonzero(self._may_hold(score, move))
         path, own = np.zeros((steps, batch), np.int64), none.copy()
         if len(maybe):
-            path[:, maybe], own[:, maybe] = self._best(score[:, maybe], move)
+            path[:, maybe], own[:, maybe] = self._best(np.ascontiguousarray(score[:, maybe]), move)
         return path, own, none
 
     @staticmethod

@@ -1,4 +1,6 @@
+import pickle
 import re
+import time
 
 import numpy as np
 import pytest
@@ -140,3 +142,31 @@ def test_windows_without_a_span_are_told_before_their_path():
         x = net.p["e"][ids]
         both = np.concatenate([net._lstm("f", x, None), net._lstm("b", x[::-1], None)[::-1]], axis=2)
         assert np.allclose(score, both @ net.p["o"] + net.p["ob"], atol=1e-4)
+
+
+def test_reading_is_quick_and_equals_the_trained_network():
+    net = personal.Network.fresh(np.random.default_rng(4), 12, 16)
+    net.p["ob"] += np.arange(9, dtype=np.float32)
+    copy = pickle.loads(pickle.dumps(net))
+
+    def plain(ids):
+        x = net.p["e"][ids]
+        return np.concatenate([net._lstm("f", x, None), net._lstm("b", x[::-1], None)[::-1]], axis=2) @ net.p["o"] + net.p["ob"]
+
+    def seconds(read, ids):
+        took = []
+        for _ in range(5):
+            start = time.thread_time()
+            read(ids)
+            took.append(time.thread_time() - start)
+        return min(took)
+
+    rng = np.random.default_rng(6)
+    for steps, batch in ((1, 1), (96, 3), (768, 17), (192, 256)):
+        ids = rng.integers(0, 131, (steps, batch))
+        score = net.emissions(ids)
+        assert score.shape == (steps, batch, 9) and np.allclose(score, plain(ids), atol=1e-4)
+        assert np.allclose(pickle.loads(pickle.dumps(net)).emissions(ids), score, atol=1e-5)
+    assert np.allclose(copy.emissions(ids), score, atol=1e-5)
+    # step by step in numpy, all gates through one exponential, it took 0.6 of it
+    assert seconds(net.emissions, ids) < 0.45 * seconds(plain, ids), (seconds(net.emissions, ids), seconds(plain, ids))
